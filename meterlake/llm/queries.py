@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .line_dedup import drop_repeated_lines
 from .packing import pack
+from .simhash import near_duplicate_classes
+from .substrings import remove_repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +28,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_passages(_table(spark, sf_dir, "documents"), rejoin=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op7_simhash": op7_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 _LINES = f"""
