@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import drop_repeated_lines
 from .packing import pack
+from .quality import score_quality
 from .simhash import near_duplicate_classes
 from .substrings import remove_repeated_passages
 
@@ -32,6 +33,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeated_passages(_table(spark, sf_dir, "documents"), rejoin=True)
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
