@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .scratch import Scratch
 
-BLANKS = " \t\n\x0b\f\r"
+BLANKS = b" \t\n\x0b\f\r"
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: bytes) -> bytes:
     """The line without blanks at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
+    return line.strip(BLANKS).lower()
+
+
+def long_keys(text: str | None, min_chars: int) -> list[bytes]:
+    """The distinct keys of at least ``min_chars`` code points, in their order."""
+    keys = dict.fromkeys(map(line_key, (text or "").encode().split(b"\n")))
+    return [k for k in keys if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars)]
+
+
+def key_hashes(keys: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
 
 
 def drop_repeated_lines(
@@ -45,26 +56,28 @@ def drop_repeated_lines(
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars))
-    keyed = documents.select(F.col(id_col).alias("_id"), keys.alias("_keys")).where(F.size("_keys") > 0)
-    hashed = keyed.withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
-
-    filled = spark.sparkContext.broadcast(bloom.repeated_filter(hashed.select("_hashes"), log2_bits))
-
-    @F.arrow_udf("array<boolean>")
-    def suspected(hashes: pa.Array) -> pa.Array:
-        values = hashes.flatten().to_numpy(zero_copy_only=False)
-        hit = bloom.has_bits(filled.value, bloom.positions(values, log2_bits)) if len(values) else np.zeros(0, bool)
-        lengths = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))])
-        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(hit))
-
-    suspects = scratch.table(
-        hashed.withColumn("_hit", suspected("_hashes"))
-        .select("_id", F.filter("_keys", lambda k, i: F.get("_hit", i)).alias("_keys"))
-        .where(F.size("_keys") > 0)
-    ).select("_id", F.explode("_keys").alias("_key"))
-    repeated = suspects.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [key_hashes(long_keys(t.as_py(), min_chars)).view(np.int64) for t in batch.column(0)]
+            yield pa.record_batch([pa.array(own, pa.list_(pa.int64()))], ["_hashes"])
+
+    filled = spark.sparkContext.broadcast(bloom.repeated_filter(texts.select("_text").mapInArrow(hashes, "_hashes array<bigint>"), log2_bits))
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [long_keys(t.as_py(), min_chars) for t in batch.column(1)]
+            rows = np.repeat(np.arange(len(batch)), [len(k) for k in keys])
+            flat = [k for own in keys for k in own]
+            hit = bloom.has_bits(filled.value, bloom.positions(key_hashes(flat), log2_bits)) if flat else np.zeros(0, bool)
+            found = [k for k, h in zip(flat, hit.tolist(), strict=True) if h]
+            yield pa.record_batch([batch.column(0).take(pa.array(rows[hit])), pa.array(found, pa.binary()).cast(pa.string())], ["_id", "_key"])
+
+    id_type = documents.schema[id_col].dataType.simpleString()
+    suspects = scratch.table(texts.mapInArrow(suspected, f"_id {id_type}, _key string"))
+    counts = suspects.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper"))
+    repeated = scratch.table(counts.where(F.col("_n") >= min_docs).drop("_n"))  # apart, so that the join can split a hot key
     lost = (
         suspects.join(repeated, "_key")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
@@ -82,7 +95,7 @@ def drop_repeated_lines(
                 continue
             gone = {k.as_py().encode() for k in own}
             before = text.as_py().encode().split(b"\n")
-            after = [x for x in before if x.strip(BLANKS.encode()).lower() not in gone]
+            after = [x for x in before if line_key(x) not in gone]
             kept.append(b"\n".join(after).decode())
             dropped.append(len(before) - len(after))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], ["text", "dropped"])
