@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -15,29 +16,63 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
+LOOK_AHEAD = 16
 
 
 class ChunkIds(dict):
     """Ids of each blank-separated chunk of text, as little-endian bytes, kept for the next time.
 
-    The pre-tokenizer of these files splits at white space and drops it, so that chunks tokenize alone
-    as they do in the text. ``limit`` bounds the entries kept.
+    The pre-tokenizer of these files splits at white space, which it drops, and between letters and other
+    characters; so chunks tokenize alone as they do in the text. Most chunks are a Latin word, with a full
+    stop or comma at times: these need one entry of the word in lower case, as the normalizer has it, and
+    many words tokenize in one call, as a token of the vocabulary tells where a word ends. ``limit`` bounds
+    the entries kept.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000):
+    def __init__(self, tokenizer_json: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.limit = limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops = {c: self.ids([c])[0] for c in ",."}
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def __missing__(self, chunk: str) -> bytes:
+        part = self[chunk] = self.ids([chunk])[0]
+        return part
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.limit:
+        new = {c for c in chunks if c not in self}
+        if len(self) + 2 * len(new) > self.limit:
+            first = dict(islice(self.items(), self.limit // 4))  # what a task meets first is what it meets most
             self.clear()
-            new = list(chunks)
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+            self.update(first)
+            new = {c for c in chunks if c not in self}
+        plain, other = {}, []
+        for c in new:
+            word = c.lower()
+            if word[-1:] in self.stops:
+                word = word[:-1]
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                plain[c] = word
+            else:
+                other.append(c)
+        words = [w for w in set(plain.values()) if w not in self]
+        if words:
+            ids = np.frombuffer(self.ids([" ".join(words)])[0], "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            buffer = ids.tobytes()
+            parts = [buffer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(words) + 1 else self.ids(words)
+            self.update(zip(words, parts, strict=True))
+        for c, word in plain.items():
+            self[c] = self[word] if len(c) == len(word) else self[word] + self.stops[c[-1]]
+        self.update(zip(other, self.ids(other), strict=True))
 
 
 def stretches(text: str) -> Iterator[list[str]]:
@@ -106,15 +141,19 @@ def pack(
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = []
-                for chunks in stretches(text.as_py() or ""):
-                    known.learn(set(chunks))
-                    parts.append(b"".join(map(known.__getitem__, chunks)))
-                parts.append(last)
-                ids = b"".join(parts)
-                total = len(ids) // 4
-                out += [(doc, s, min(capacity, total - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), total) for s in range(0, total, capacity)]
+            for k in range(0, len(batch), LOOK_AHEAD):
+                texts = [t or "" for t in batch.column(1)[k : k + LOOK_AHEAD].to_pylist()]
+                known.learn({c for t in texts if len(t) < STRETCH for chunks in stretches(t) for c in chunks})
+                for doc, text in zip(batch.column(0)[k : k + LOOK_AHEAD].to_pylist(), texts, strict=True):
+                    parts = []
+                    for chunks in stretches(text):
+                        if len(text) >= STRETCH:
+                            known.learn(set(chunks))
+                        parts.append(b"".join(map(known.__getitem__, chunks)))
+                    parts.append(last)
+                    ids = b"".join(parts)
+                    total = len(ids) // 4
+                    out += [(doc, s, min(capacity, total - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), total) for s in range(0, total, capacity)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5,
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
