@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import drop_repeated_lines
+from .minhash import fingerprints
 from .neighbours import near_vectors
 from .packing import pack
 from .quality import score_quality
@@ -40,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
