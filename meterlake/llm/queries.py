@@ -14,6 +14,7 @@ from .minhash import fingerprints
 from .neighbours import near_vectors
 from .packing import pack
 from .quality import score_quality
+from .sentencepieces import piece_codec
 from .simhash import near_duplicate_classes
 from .substrings import remove_repeated_passages
 from .toxicity import score_toxicity
@@ -59,6 +60,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode, decode, checksum = piece_codec(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = texts.withColumn("ids", encode("text")).withColumn("decoded", decode("ids"))
+    return told.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        checksum("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("same_text"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -68,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _LINES = f"""
