@@ -54,7 +54,7 @@ POINTS_SQL = """points AS (
     FROM events)"""
 
 SETS_SQL = """sets AS (
-    SELECT concat('t', o_custkey % 4) AS tenant_id, o_orderkey AS session_id, l_linenumber AS set_number, o_orderdate AS at,
+    SELECT concat('t', o_custkey % 4) AS tenant_id, o_orderkey AS session_id, l_linenumber AS set_number, o_orderdate AS "at",
            p_brand AS exercise_title, p_type AS muscle_group, l_extendedprice AS weight_kg, l_quantity AS reps,
            l_partkey AS part, l_suppkey AS supplier
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
