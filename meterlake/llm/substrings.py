@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import free_names
 from .scratch import Scratch
 
 #: A perfect difference set: any two residues modulo 13 have a common shift into the set.
@@ -20,7 +21,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 20
 CHUNK_WORDS = 2_000_000
 BLOBS = "bucket int, hashes binary, docs binary, counts binary, starts binary"
-MARKS = "_id long, _tag long, _at binary"
+MARKS = "_id long, _tag long, _flags binary"
 
 
 class WordHashes(dict):
@@ -96,24 +97,41 @@ def _marks(ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatc
     own = ids[doc[edges[:-1]]] if len(doc) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(own[:, 0], pa.int64()), pa.array(own[:, 1], pa.int64()), pa.array([start[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
-        ["_id", "_tag", "_at"],
+        ["_id", "_tag", "_flags"],
     )
 
 
-def _sent(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    """Blobs or marks as rows of both columns; marks that are settled pass through any bucket."""
-    columns = {n: batch.column(n) for n in batch.schema.names}
-    if "bucket" not in columns:
-        columns["bucket"] = pa.array(batch.column("_id").to_numpy() % buckets, pa.int32())
-    types = {"_id": pa.int64(), "_tag": pa.int64()}
-    names = [c.split()[0] for c in f"{BLOBS}, {MARKS}".split(", ")]
-    return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(len(batch), types.get(n, pa.binary()))) for n in names], names)
+def _by_document(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket of documents, as in _blobs but without hashes."""
+    mixed = (ids[:, 0].astype(np.uint64) * BASE) ^ ids[:, 1].astype(np.uint64)
+    bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[doc]
+    order = np.lexsort((doc, bucket))
+    doc, start, bucket = doc[order], start[order], bucket[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        part = slice(edges[b], edges[b + 1])
+        runs = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1]]))
+        counts = np.diff(np.concatenate([runs, [edges[b + 1] - edges[b]]]))
+        columns = (ids[doc[part][runs]], counts.astype(np.uint32), start[part].astype(np.uint32))
+        yield pa.record_batch([pa.array([b], pa.int32()), pa.nulls(1, pa.binary())] + [pa.array([c.tobytes()], pa.binary()) for c in columns], ["bucket", "hashes", "docs", "counts", "starts"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of each document, from all rows of its bucket."""
+    ids, counts, starts = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for batch in batches:
+        for k in range(len(batch)):
+            ids.append(np.frombuffer(batch.column("docs")[k].as_py(), np.int64).reshape(-1, 2))
+            counts.append(np.frombuffer(batch.column("counts")[k].as_py(), np.uint32))
+            starts.append(np.frombuffer(batch.column("starts")[k].as_py(), np.uint32))
+    distinct, index = np.unique(np.concatenate(ids), axis=0, return_inverse=True)
+    yield _marks(distinct, np.repeat(index.ravel(), np.concatenate(counts)), np.concatenate(starts))
 
 
 def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFrame:
     """Marks (document, starts) of the windows that occur more than once.
 
-    ``picked``: columns _id, _tag, _text and _flags (array of binaries: anchor starts; ignored for anchors).
+    ``picked``: columns _id, _tag, _text and _flags (binary: anchor starts as 32-bit numbers; ignored for anchors).
     ``mode`` "all" marks every occurrence of a repeated window, "later" all but the first in the order of
     id, tag and start. Equal windows of a task's chunk are settled there, and one of them goes on. So the
     rows that meet for one window are at most one for each chunk, however often it occurs.
@@ -130,9 +148,8 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
             told = later | np.concatenate([later[1:], [False]]) if anchors else later
             ids = np.stack([np.array(chunk.ids, np.int64), np.array(chunk.tags, np.int64)], axis=1)
             if told.any():
-                yield _sent(_marks(ids, doc[told], start[told]), buckets)
-            for blob in _blobs(chunk, h[~later], doc[~later], start[~later], buckets):
-                yield _sent(blob, buckets)
+                yield from _by_document(ids, doc[told], start[told], buckets)
+            yield from _blobs(chunk, h[~later], doc[~later], start[~later], buckets)
 
         for batch in batches:
             for i in range(len(batch)):
@@ -143,7 +160,7 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
                 if anchors:
                     at = (np.arange(0, n, PERIOD)[:, None] + cover).ravel()
                 else:
-                    flags = np.concatenate([np.frombuffer(x, np.uint32) for x in batch.column(3)[i].as_py()]).astype(np.int64)
+                    flags = np.frombuffer(batch.column(3)[i].as_py(), np.uint32).astype(np.int64)
                     at = np.unique((flags[:, None] - np.arange(PERIOD)).ravel())
                 chunk.add(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), at[(at >= 0) & (at < n)])
                 if chunk.size >= CHUNK_WORDS:
@@ -154,8 +171,8 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, ids, counts, starts = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
         for batch in batches:
-            settled = batch.column("_id").is_valid()
-            yield batch.filter(settled).select(["_id", "_tag", "_at"])
+            settled = batch.column("hashes").is_null()
+            yield batch.filter(settled)
             batch = batch.filter(pc.invert(settled))
             for k in range(len(batch)):
                 h.append(np.frombuffer(batch.column(1)[k].as_py(), np.uint64))
@@ -171,14 +188,14 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
         if not anchors and len(order):
             o = order[np.lexsort((start[order], ids[doc[order], 1], ids[doc[order], 0], h[order]))]
             order = o[np.concatenate([[False], h[o][1:] == h[o][:-1]])]
-        yield _marks(ids, doc[order], start[order])
+        yield from _by_document(ids, doc[order], start[order], buckets)
 
-    sent = picked.mapInArrow(spread, f"{BLOBS}, {MARKS}").repartitionById(buckets, F.col("bucket"))
-    return sent.mapInArrow(settle, MARKS).groupBy("_id", "_tag").agg(F.collect_list("_at").alias("_flags"))
+    by_hash = picked.mapInArrow(spread, BLOBS).repartitionById(buckets, F.col("bucket"))
+    return by_hash.mapInArrow(settle, BLOBS).repartitionById(buckets, F.col("bucket")).mapInArrow(_assemble, MARKS)
 
 
 #: Ids of up to this many documents are broadcast (16 bytes each); beyond, texts meet their marks by a shuffle of all.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def remove_repeated_passages(
@@ -208,19 +225,18 @@ def remove_repeated_passages(
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("_tag")]
-    texts = documents.select(*key, F.col(text_col).alias("_text"))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)]
+    texts = documents.select(key[0].alias("_id"), key[1].alias("_tag"), F.col(text_col).alias("_text"))
 
-    def met(marks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    def met(marks: DataFrame, docs: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame | None]:
         """Documents with their marks; apart from them those without, where the marked ids are few enough."""
-        ids = marks.select("_id", "_tag")
         if marks.count() > BROADCAST_ROWS:
-            return docs.join(marks.hint("shuffle_hash"), ["_id", "_tag"], "left"), None
-        ids = F.broadcast(ids)
-        return docs.join(ids, ["_id", "_tag"], "left_semi").join(marks.hint("shuffle_hash"), ["_id", "_tag"]), docs.join(ids, ["_id", "_tag"], "left_anti")
+            return docs.join(marks.hint("shuffle_hash"), on, "left"), None
+        ids = F.broadcast(marks.select(*on))
+        return docs.join(ids, on, "left_semi").join(marks.hint("shuffle_hash"), on), docs.join(ids, on, "left_anti")
 
-    flagged = scratch.table(_repeats(texts.withColumn("_flags", F.lit(None).cast("array<binary>")), "all", WINDOW - PERIOD + 1, buckets))
-    suspects = met(flagged, texts)[0].where("_flags IS NOT NULL").select("_id", "_tag", "_text", "_flags")
+    flagged = scratch.table(_repeats(texts.withColumn("_flags", F.lit(None).cast("binary")), "all", WINDOW - PERIOD + 1, buckets))
+    suspects = met(flagged, texts, ["_id", "_tag"])[0].where("_flags IS NOT NULL").select("_id", "_tag", "_text", "_flags")
     doomed = scratch.table(_repeats(suspects, "later", WINDOW, buckets))
 
     @F.arrow_udf("struct<text: string, words: bigint, removed: bigint>")
@@ -230,7 +246,7 @@ def remove_repeated_passages(
             text = text.as_py()
             words = (text or "").encode().split()
             if own.is_valid:
-                at = np.concatenate([np.frombuffer(x, np.uint32) for x in own.as_py()]).astype(np.int64)
+                at = np.frombuffer(own.as_py(), np.uint32).astype(np.int64)
                 step = np.zeros(len(words) + 1, np.int64)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + WINDOW, -1)
@@ -242,12 +258,14 @@ def remove_repeated_passages(
         columns = [list(c) for c in zip(*out, strict=True)] or [[], [], []]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["text", "words", "removed"])
 
-    marked, rest = met(doomed, documents.select("*", *key))
-    rows = marked if rest is None else marked.unionByName(rest.withColumn("_flags", F.lit(None).cast("array<binary>")))
+    id_key, tag_key, marks, out = free_names(documents, "_id", "_tag", "_flags", "_out")
+    doomed = doomed.withColumnsRenamed({"_id": id_key, "_tag": tag_key, "_flags": marks})
+    marked, rest = met(doomed, documents.select("*", key[0].alias(id_key), key[1].alias(tag_key)), [id_key, tag_key])
+    rows = marked if rest is None else marked.unionByName(rest.withColumn(marks, F.lit(None).cast("binary")))
     return (
-        rows.withColumn("_out", left(F.col(text_col), F.col("_flags")))
-        .withColumn(text_col, F.col("_out.text"))
-        .withColumn("n_words", F.col("_out.words"))
-        .withColumn("n_removed", F.col("_out.removed"))
-        .drop("_id", "_tag", "_flags", "_out")
+        rows.withColumn(out, left(F.col(text_col), F.col(marks)))
+        .withColumn(text_col, F.col(f"{out}.text"))
+        .withColumn("n_words", F.col(f"{out}.words"))
+        .withColumn("n_removed", F.col(f"{out}.removed"))
+        .drop(id_key, tag_key, marks, out)
     )
