@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
-LOOK_AHEAD = 16
+LOOK_AHEAD = 64
 
 
 class ChunkIds(dict):
@@ -143,11 +143,12 @@ def pack(
             out = []
             for k in range(0, len(batch), LOOK_AHEAD):
                 texts = [t or "" for t in batch.column(1)[k : k + LOOK_AHEAD].to_pylist()]
-                known.learn({c for t in texts if len(t) < STRETCH for chunks in stretches(t) for c in chunks})
-                for doc, text in zip(batch.column(0)[k : k + LOOK_AHEAD].to_pylist(), texts, strict=True):
+                split = [list(stretches(t)) if len(t) < STRETCH else [] for t in texts]
+                known.learn(set().union(*(chunks for own in split for chunks in own)))
+                for doc, text, own in zip(batch.column(0)[k : k + LOOK_AHEAD].to_pylist(), texts, split, strict=True):
                     parts = []
-                    for chunks in stretches(text):
-                        if len(text) >= STRETCH:
+                    for chunks in own or stretches(text):
+                        if not own:
                             known.learn(set(chunks))
                         parts.append(b"".join(map(known.__getitem__, chunks)))
                     parts.append(last)
