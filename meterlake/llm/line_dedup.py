@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .names import free_names
 from .scratch import Scratch
 
 BLANKS = b" \t\n\x0b\f\r"
@@ -100,13 +101,13 @@ def drop_repeated_lines(
             dropped.append(len(before) - len(after))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], ["text", "dropped"])
 
-    joined = documents.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).join(
-        lost.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left"
-    )
+    key, drops, out = free_names(documents, "_key_of", "_drops", "_out")
+    lost = lost.select(F.col("_id").alias(key), F.col("_lost").alias(drops)).hint("shuffle_hash")
+    joined = documents.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).join(lost, F.col(id_col).eqNullSafe(F.col(key)), "left")
     return (
-        joined.withColumn("_out", without(F.col(text_col), F.col("_lost")))
+        joined.withColumn(out, without(F.col(text_col), F.col(drops)))
         .withColumn("n_lines", F.size(F.split(F.col(text_col), "\n")).cast("long"))
-        .withColumn("n_dropped", F.col("_out.dropped"))
-        .withColumn(text_col, F.col("_out.text"))
-        .drop("_id", "_lost", "_out")
+        .withColumn("n_dropped", F.col(f"{out}.dropped"))
+        .withColumn(text_col, F.col(f"{out}.text"))
+        .drop(key, drops, out)
     )

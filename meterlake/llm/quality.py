@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .labelled import id_remainder, training_texts
+from .names import free_names
 
 #: Columns of the statistics, in the order of a rule's feature numbers.
 STATISTICS = ("chars", "word_chars", "upper", "symbols", "pipes", "bangs", "digits", "stops", "distinct_words", "distinct_lines", "line_words", "longest_word")
 
 
-def statistics(text: Column) -> list[Column]:
-    """Each of STATISTICS over the whole text; shares and ratios are 0 for a text without words."""
+def statistics(text: Column) -> Column:
+    """A struct of STATISTICS over the whole text; shares and ratios are 0 for a text without words."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.split(text, "\n")
 
@@ -42,7 +43,7 @@ def statistics(text: Column) -> list[Column]:
 
     # One array of one element binds the text and its parts to names, so that each is made once.
     bound = F.transform(F.array(F.struct(text.alias("t"), words.alias("w"), lines.alias("l"))), lambda x: told(x["t"], x["w"], x["l"]))
-    return [F.get(bound, F.lit(0)).alias("_stats")]
+    return F.get(bound, F.lit(0))
 
 
 @dataclass
@@ -52,7 +53,7 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[tuple[tuple[int, str, float], ...], float]]
 
-    def column(self, stat: str = "_stats") -> Column:
+    def column(self, stat: str) -> Column:
         holds = {"<=": lambda c, t: c <= t, ">": lambda c, t: c > t}
         terms = [F.when(reduce(lambda a, b: a & b, [holds[op](F.col(f"{stat}.{STATISTICS[f]}"), F.lit(t)) for f, op, t in rule]), F.lit(w)).otherwise(F.lit(0.0)) for rule, w in self.rules]
         return F.lit(1.0) / (F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))) + 1.0)
@@ -113,12 +114,13 @@ def score_quality(
     Statistics and the fitted rules are Spark columns, so that scoring is a projection of the scan.
     """
     sample = training_texts(documents, labels, label_col, modulus, held_out, max_rows, id_col, text_col)
-    rows = sample.select(*statistics(F.col("_text")), "_y").select("_stats.*", "_y").toPandas()
+    rows = sample.select(statistics(F.col("_text")).alias("_stats"), "_y").select("_stats.*", "_y").toPandas()
     model = fit_rules(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
+    (stats,) = free_names(documents, "_stats")
     return (
-        documents.select("*", *statistics(F.coalesce(F.col(text_col), F.lit(""))))
+        documents.withColumn(stats, statistics(F.coalesce(F.col(text_col), F.lit(""))))
         .withColumn("held_out", id_remainder(F.col(id_col), modulus) == held_out)
-        .withColumn("score", model.column())
+        .withColumn("score", model.column(stats))
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-        .drop("_stats")
+        .drop(stats)
     )

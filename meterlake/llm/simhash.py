@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .names import free_names
 from .scratch import Scratch
 
 #: Byte positions in twos. Any two positions miss at least two of these, so that two fingerprints that
@@ -128,5 +129,6 @@ def near_duplicate_classes(
 def keep_first_of_class(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **options) -> DataFrame:
     """The documents of the least id in each near-duplicate class; rows with a null id stay."""
     classes = near_duplicate_classes(documents, id_col, text_col, scratch=scratch, **options)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (gone,) = free_names(documents, "_gone")
+    later = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(later, F.col(id_col) == F.col(gone), "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .boosting import sigmoid
 from .labelled import id_remainder, training_texts
+from .names import free_names
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -262,13 +263,14 @@ def score_toxicity(
                 out.append({"score": s, "spans": spans})
         return pa.array(out, SCORED)
 
+    (out,) = free_names(documents, "_out")
     return (
-        documents.withColumn("_out", scored(F.col(text_col)))
+        documents.withColumn(out, scored(F.col(text_col)))
         .withColumn("held_out", id_remainder(F.col(id_col), modulus) == held_out)
-        .withColumn("score", F.col("_out.score"))
+        .withColumn("score", F.col(f"{out}.score"))
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-        .withColumn("spans", F.col("_out.spans"))
-        .drop("_out")
+        .withColumn("spans", F.col(f"{out}.spans"))
+        .drop(out)
     )
 
 
