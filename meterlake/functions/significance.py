@@ -59,7 +59,7 @@ def p_value(t: Column, df: Column) -> Column:
 
 def correlation_t(r: Column, n: Column) -> Column:
     """The t of a correlation; null for a perfect one."""
-    return F.when(F.abs(r) < 1, r * F.sqrt((n - 2) / (1 - r * r)))
+    return F.when(F.abs(r) < 1, r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r)))
 
 
 def with_q_values(tests: DataFrame, p: str = "p_value", *keys: str) -> DataFrame:

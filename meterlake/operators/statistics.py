@@ -47,7 +47,7 @@ def strength_label(r: Column) -> Column:
 def tested_correlations(series: DataFrame, *keys: str, min_days: int = 10) -> DataFrame:
     """Correlations with p of the headline and q over all pairs of a key."""
     told = correlations(series, *keys, min_days=min_days)
-    tested = told.withColumn("p_value", F.when(F.abs("headline") >= 1, F.lit(0.0)).otherwise(p_value(correlation_t(F.col("headline"), F.col("n")), F.col("n") - 2)))
+    tested = told.withColumn("p_value", F.coalesce(p_value(correlation_t(F.col("headline"), F.col("n")), F.col("n") - 2), F.lit(0.0)))
     return with_q_values(tested, "p_value", *keys)
 
 

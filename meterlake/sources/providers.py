@@ -52,7 +52,8 @@ def weather(payloads: DataFrame) -> DataFrame:
     """Hours in columns: arrays of times and of each variable stand side by side."""
     fields = ", ".join(f"{f}: array<double>" for f in WEATHER)
     hourly = payloads.select(F.from_json("payload", f"hourly struct<time: array<string>, {fields}>").alias("p")).select("p.hourly.*")
-    rows = hourly.select(F.inline(F.arrays_zip("time", *WEATHER)))
+    there = hourly.select("time", *[F.coalesce(f, F.array().cast("array<double>")).alias(f) for f in WEATHER])
+    rows = there.select(F.inline(F.arrays_zip("time", *WEATHER)))
     return _measured(rows, F.try_to_timestamp("time", F.lit("yyyy-MM-dd'T'HH:mm")), WEATHER)
 
 
