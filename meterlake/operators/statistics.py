@@ -28,7 +28,8 @@ def with_ranks(pairs: DataFrame, *keys: str) -> DataFrame:
 def _corr(x: str, y: str) -> Column:
     """Zero where one side doesn't vary."""
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return F.when(flat, F.lit(0.0)).otherwise(F.corr(x, y))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))))
 
 
 def correlations(series: DataFrame, *keys: str, min_days: int = 10, lag_days: int = 0) -> DataFrame:

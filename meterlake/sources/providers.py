@@ -73,16 +73,16 @@ def home_states(payloads: DataFrame) -> DataFrame:
 
 def health_export(payloads: DataFrame) -> DataFrame:
     """Metrics with their samples; a night of sleep is up to five metrics."""
-    sample = "qty: double, avg: double, Avg: double, date: string, source: string, deep: double, rem: double, core: double, awake: double"
-    metric = payloads.select(F.explode(F.from_json("payload", f"data struct<metrics: array<struct<name: string, units: string, data: array<struct<{sample}>>>>>")["data"]["metrics"]).alias("m"))
+    metric = payloads.select(F.explode(F.from_json("payload", "data struct<metrics: array<struct<name: string, units: string, data: array<map<string, string>>>>>")["data"]["metrics"]).alias("m"))
     rows = metric.select("m.name", "m.units", F.explode("m.data").alias("d"))
-    at = F.try_to_timestamp("d.date", F.lit("yyyy-MM-dd HH:mm:ss Z"))
+    given = lambda field: F.try_element_at("d", F.lit(field))
+    at = F.try_to_timestamp(given("date"), F.lit("yyyy-MM-dd HH:mm:ss Z"))
     asleep = F.col("name") == "sleep_analysis"
-    nights = rows.where(asleep)
-    hours = _measured(nights, at, {f: (m, "h") for f, m in SLEEP.items()}, "d.")
+    nights = rows.where(asleep).withColumns({f: given(f).try_cast("double") for f in SLEEP})
+    hours = _measured(nights, at, {f: (m, "h") for f, m in SLEEP.items()})
     minutes = converted(hours.withColumn("target", F.lit("min")), "value", "unit", "target").select("metric_type", "timestamp", F.col("converted").alias("value"), F.col("target").alias("unit"), "metadata")
-    value = F.coalesce("d.qty", "d.avg", "d.Avg")
-    others = rows.where(~asleep & value.isNotNull()).select(F.col("name").alias("metric_type"), at.alias("timestamp"), value.alias("value"), F.col("units").alias("unit"), F.to_json(F.struct("d.source")).alias("metadata"))
+    value = F.coalesce(*[given(f).try_cast("double") for f in ("qty", "avg", "Avg")])
+    others = rows.where(~asleep & value.isNotNull()).select(F.col("name").alias("metric_type"), at.alias("timestamp"), value.alias("value"), F.col("units").alias("unit"), F.to_json(F.struct(given("source").alias("source"))).alias("metadata"))
     return minutes.unionByName(others)
 
 
