@@ -64,7 +64,7 @@ def grow_tree(sample: np.ndarray, rows_each: float, leaf_rows: int, spill: float
         if parent >= 0:
             nodes[parent][side] = me
     columns = [np.array([n[k] for n in nodes]) for k in range(5)]
-    return ProjectionTree(columns[0].reshape(len(nodes), -1), *columns[1:]), leaves
+    return ProjectionTree(columns[0].reshape(len(nodes), sample.shape[1]), *columns[1:]), leaves
 
 
 def grow_forest(sample: np.ndarray, total: int, trees: int, leaf_rows: int, spill: float, seed: int) -> list[tuple[ProjectionTree, int]]:
