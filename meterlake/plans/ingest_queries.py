@@ -89,10 +89,10 @@ def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.deduplicated(G.keyed(own)).select("tenant_id", "source_id", "metric_type", F.col("timestamp").alias("day"), "point_id")
 
 
-@query(_sql("SELECT point_id FROM points WHERE point_id % 3 <> 0"))
+@query(_sql("SELECT point_id FROM points WHERE timestamp >= '2024-01-15'"))
 def new_points_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = G.keyed(points(spark, sf_dir))
-    return G.new_only(own, own.where("point_id % 3 = 0")).select("point_id")
+    return G.new_only(own, own.where("timestamp < '2024-01-15'")).select("point_id")
 
 
 _UNKNOWN = "u AS (SELECT *, 'odd_' || (CAST(json_extract_string(metadata, '$.k') AS BIGINT) % 40) AS raw FROM points WHERE metric_type IN ('steps', 'heart_rate'))"

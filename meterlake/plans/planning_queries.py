@@ -53,12 +53,12 @@ def report_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stale(reports, water).select("tenant_id", "stale")
 
 
-@query(_sql("SELECT tenant_id, source_id, strftime(greatest(min(CAST(timestamp AS DATE)), DATE '2024-01-15'), '%Y-%m-%d') AS first, strftime(max(CAST(timestamp AS DATE)), '%Y-%m-%d') AS last, array_to_string(list_sort(list(DISTINCT 'data.' || metric_type)), ',') AS fields FROM points WHERE point_id % 4 = 1 GROUP BY ALL"))
+@query(_sql("SELECT tenant_id, source_id, strftime(greatest(min(CAST(timestamp AS DATE)), DATE '2024-01-15'), '%Y-%m-%d') AS first, strftime(max(CAST(timestamp AS DATE)), '%Y-%m-%d') AS last, array_to_string(list_sort(list(DISTINCT 'data.' || metric_type)), ',') AS fields FROM points WHERE metric_type IN ('steps', 'heart_rate') AND source_id <> 's2' GROUP BY ALL"))
 def pending_backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, at = F.col("point_id"), F.col("timestamp")
+    at = F.col("timestamp")
     reports = points(spark, sf_dir).select(
         "tenant_id", "source_id", F.concat(F.lit("data."), "metric_type").alias("field_path"), at.alias("first_seen"), at.alias("last_seen"),
-        F.when(k % 2 == 1, at).alias("supported_since"), F.when(k % 4 == 3, at).alias("history_backfilled_at"),
+        F.when(F.col("metric_type").isin("steps", "heart_rate"), at).alias("supported_since"), F.when(F.col("source_id") == "s2", at).alias("history_backfilled_at"),
     )
     found = P.pending_backfills(reports, "2024-01-30", 15)
     return found.withColumn("first", F.date_format("first", "yyyy-MM-dd")).withColumn("last", F.date_format("last", "yyyy-MM-dd"))
@@ -73,11 +73,11 @@ def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.count().na.fill(0)
 
 
-@query("SELECT c_mktsegment AS lane, CASE WHEN count(*) FILTER (WHERE m IS NULL) = 0 THEN strftime(min(m), '%Y-%m-%d') END AS complete_through FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) ON o_custkey = c_custkey WHERE c_custkey % 50 <> 0 GROUP BY ALL")
+@query("SELECT c_mktsegment AS lane, CASE WHEN count(*) FILTER (WHERE m IS NULL) = 0 THEN strftime(min(m), '%Y-%m-%d') END AS complete_through FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) ON o_custkey = c_custkey GROUP BY ALL")
 def lane_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lane is complete through the earliest of its sources' last successes; unknown where one has none."""
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("m"))
-    sources = table(spark, sf_dir, "customer").where("c_custkey % 50 <> 0").join(done, F.col("c_custkey") == F.col("o_custkey"), "left")
+    sources = table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left")
     told = sources.groupBy(F.col("c_mktsegment").alias("lane")).agg(F.min("m").alias("m"), F.count_if(F.col("m").isNull()).alias("unknown"))
     return told.select("lane", F.when(F.col("unknown") == 0, F.date_format("m", "yyyy-MM-dd")).alias("complete_through"))
 

@@ -160,30 +160,30 @@ def window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select("metric_type", "source_id", F.col("sample_count").alias("n"), rounded("sum_value").alias("total"), rounded(F.col("sum_value") / F.col("sample_count")).alias("average"), F.col("max_value").alias("most"), F.col("last_value").alias("latest"), text("last_timestamp").alias("last_at"))
 
 
-_COVERED = "covered AS (SELECT tenant_id, source_id, metric_type, date_trunc('day', timestamp) AS bucket, min(timestamp) AS f, max(timestamp) AS l FROM points WHERE point_id % 3 = 0 GROUP BY ALL)"
+_COVERED = "covered AS (SELECT tenant_id, source_id, metric_type, date_trunc('day', timestamp) AS bucket, min(timestamp) AS f, max(timestamp) AS l FROM points WHERE timestamp < '2024-01-20 12:00:00' GROUP BY ALL)"
 _UNCOVERED = "rest AS (SELECT p.* FROM points p WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.tenant_id = p.tenant_id AND c.source_id = p.source_id AND c.metric_type = p.metric_type AND c.bucket = date_trunc('day', p.timestamp) AND p.timestamp BETWEEN c.f AND c.l))"
 
 
-def _third(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All points, and day rollups that were made when only each third point had come."""
+def _as_of_noon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All points, and day rollups that were made at noon of a day, when the later ones hadn't come."""
     own = points(spark, sf_dir)
-    return own, R.rollup(own.where("point_id % 3 = 0"), "day")
+    return own, R.rollup(own.where("timestamp < '2024-01-20 12:00:00'"), "day")
 
 
 @query(_sql("SELECT point_id, tenant_id, metric_type FROM rest", _COVERED, _UNCOVERED))
 def uncovered_raw_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.uncovered(*_third(spark, sf_dir), "day").select("point_id", "tenant_id", "metric_type")
+    return R.uncovered(*_as_of_noon(spark, sf_dir), "day").select("point_id", "tenant_id", "metric_type")
 
 
-@query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('date_trunc(D, timestamp)')} AS bucket, count(*) AS n, round({COLLAPSE_SQL}, 9) AS value FROM (SELECT * FROM points WHERE point_id % 3 = 0 UNION ALL SELECT * FROM rest) GROUP BY tenant_id, source_id, metric_type, date_trunc(D, timestamp)", _COVERED, _UNCOVERED).replace("date_trunc(D,", "date_trunc('day',"))
+@query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('date_trunc(D, timestamp)')} AS bucket, count(*) AS n, round({COLLAPSE_SQL}, 9) AS value FROM (SELECT * FROM points WHERE timestamp < '2024-01-20 12:00:00' UNION ALL SELECT * FROM rest) GROUP BY tenant_id, source_id, metric_type, date_trunc(D, timestamp)", _COVERED, _UNCOVERED).replace("date_trunc(D,", "date_trunc('day',"))
 def hybrid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.hybrid(*_third(spark, sf_dir), "day")
+    found = R.hybrid(*_as_of_noon(spark, sf_dir), "day")
     return found.select(*R.KEYS, text("bucket_start").alias("bucket"), F.col("sample_count").alias("n"), rounded("value").alias("value"))
 
 
-@query(_sql(f"SELECT metric_type, count(*) AS n, round(avg(value), 9) AS average, min(value) AS least, max(value) AS most, round(sum(value), 9) AS total, {text_sql('max(timestamp)')} AS latest FROM (SELECT * FROM points WHERE point_id % 3 = 0 UNION ALL SELECT * FROM rest) WHERE tenant_id = 't1' GROUP BY metric_type", _COVERED, _UNCOVERED))
+@query(_sql(f"SELECT metric_type, count(*) AS n, round(avg(value), 9) AS average, min(value) AS least, max(value) AS most, round(sum(value), 9) AS total, {text_sql('max(timestamp)')} AS latest FROM (SELECT * FROM points WHERE timestamp < '2024-01-20 12:00:00' UNION ALL SELECT * FROM rest) WHERE tenant_id = 't1' GROUP BY metric_type", _COVERED, _UNCOVERED))
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.summary(*_third(spark, sf_dir), "t1")
+    found = R.summary(*_as_of_noon(spark, sf_dir), "t1")
     return found.select("metric_type", F.col("sample_count").alias("n"), rounded(F.col("weighted_sum") / F.col("weight")).alias("average"), F.col("min_value").alias("least"), F.col("max_value").alias("most"), rounded("sum_value").alias("total"), text("last_timestamp").alias("latest"))
 
 
@@ -206,9 +206,9 @@ def dense_day_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, "day", "1 = 1")
 
 
-@query(_dense_sql("hour", "tenant_id = 't2'"))
+@query(_dense_sql("hour", "1 = 1"))
 def dense_hour_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dense(spark, sf_dir, "hour", "tenant_id = 't2'")
+    return _dense(spark, sf_dir, "hour", "1 = 1")
 
 
 @query(_sql(f"SELECT tenant_id, metric_type, {text_sql('date_trunc(W, timestamp)')} AS week, count(*) AS n, round({COLLAPSE_SQL}, 9) AS value FROM points GROUP BY tenant_id, metric_type, date_trunc(W, timestamp)").replace("(W,", "('week',"))
@@ -218,10 +218,10 @@ def week_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weeks.select("tenant_id", "metric_type", text("week_start").alias("week"), F.col("sample_count").alias("n"), rounded("value").alias("value"))
 
 
-@query(_sql(f"SELECT metric_type, source_id, {text_sql('b')} AS bucket, point_id, value FROM (SELECT *, date_trunc('day', timestamp) AS b, row_number() OVER (PARTITION BY metric_type, source_id, date_trunc('day', timestamp) ORDER BY timestamp DESC, point_id DESC) AS n FROM points WHERE tenant_id = 't0') WHERE n = 1"))
+@query(_sql(f"SELECT tenant_id, metric_type, source_id, {text_sql('b')} AS bucket, point_id, value FROM (SELECT *, date_trunc('day', timestamp) AS b, row_number() OVER (PARTITION BY tenant_id, metric_type, source_id, date_trunc('day', timestamp) ORDER BY timestamp DESC, point_id DESC) AS n FROM points) WHERE n = 1"))
 def latest_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = points(spark, sf_dir).where("tenant_id = 't0'").withColumn("b", F.date_trunc("day", "timestamp"))
-    return P.newest_each(own, "metric_type", "source_id", "b").select("metric_type", "source_id", text("b").alias("bucket"), "point_id", "value")
+    own = points(spark, sf_dir).withColumn("b", F.date_trunc("day", "timestamp"))
+    return P.newest_each(own, "tenant_id", "metric_type", "source_id", "b").select("tenant_id", "metric_type", "source_id", text("b").alias("bucket"), "point_id", "value")
 
 
 @query(_sql("SELECT tenant_id, metric_type, strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, arg_max(value, (timestamp, point_id)) AS value FROM points WHERE metric_type IN ('steps', 'heart_rate_max') GROUP BY tenant_id, metric_type, date_trunc('day', timestamp)"))
@@ -258,9 +258,9 @@ def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.evenly_sampled(hours, 40, "metric_type").select("metric_type", text("bucket_start").alias("bucket"))
 
 
-@query(_sql("SELECT source_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY timestamp, point_id) - 1 AS n, count(*) OVER (PARTITION BY source_id) AS m FROM points WHERE tenant_id = 't0') WHERE n % CAST(greatest(ceil(m / 100.0), 1) AS BIGINT) = 0"))
+@query(_sql("SELECT tenant_id, source_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY timestamp, point_id) - 1 AS n, count(*) OVER (PARTITION BY tenant_id, source_id) AS m FROM points) WHERE n % CAST(greatest(ceil(m / 100.0), 1) AS BIGINT) = 0"))
 def track_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.every_nth(points(spark, sf_dir).where("tenant_id = 't0'"), 100, "timestamp", "source_id").select("source_id", "point_id")
+    return S.every_nth(points(spark, sf_dir), 100, "timestamp", "tenant_id", "source_id").select("tenant_id", "source_id", "point_id")
 
 
 @query("SELECT s_suppkey AS source_id, n_name AS source_type, s_name AS display_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")

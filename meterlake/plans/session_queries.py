@@ -51,9 +51,9 @@ def strength_sets_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 _E1RM = "CASE WHEN reps = 1 THEN weight_kg WHEN reps BETWEEN 2 AND 10 THEN weight_kg * (1 + reps / 30) END"
 
 
-@query(_sets(f"SELECT session_id, set_number, part, round({_E1RM}, 6) AS e1rm FROM sets WHERE tenant_id = 't1'"))
+@query(_sets(f"SELECT session_id, set_number, part, round({_E1RM}, 6) AS e1rm FROM sets"))
 def one_rep_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = sets(spark, sf_dir).where("tenant_id = 't1'")
+    own = sets(spark, sf_dir)
     return own.select("session_id", "set_number", "part", rounded(S.one_rep_max(F.col("weight_kg"), F.col("reps")), 6).alias("e1rm"))
 
 
@@ -77,12 +77,12 @@ def top_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_points(
     "SELECT w.tenant_id, w.session, p.metric_type, count(*) AS n, min(p.value) AS least, max(p.value) AS most FROM w JOIN points p ON p.tenant_id = w.tenant_id AND p.timestamp >= w.s - INTERVAL 300 SECOND AND p.timestamp < w.e + INTERVAL 300 SECOND GROUP BY ALL",
-    "w AS (SELECT tenant_id, point_id AS session, timestamp AS s, timestamp + INTERVAL 90 MINUTE AS e FROM points WHERE metric_type = 'workout_heart_rate' AND point_id % 20 = 0)",
+    "w AS (SELECT tenant_id, point_id AS session, timestamp AS s, timestamp + INTERVAL 90 MINUTE AS e FROM points WHERE metric_type = 'workout_heart_rate')",
 ))
 def session_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was measured around each session, by any source."""
     own = points(spark, sf_dir)
-    starts = own.where("metric_type = 'workout_heart_rate' AND point_id % 20 = 0")
+    starts = own.where("metric_type = 'workout_heart_rate'")
     windows = starts.select("tenant_id", F.col("point_id").alias("session"), F.col("timestamp").alias("start"), (F.col("timestamp") + F.expr("interval 90 minutes")).alias("end"))
     met = S.within_windows(windows, own, pad_seconds=300)
     return met.groupBy("tenant_id", "session", "metric_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))

@@ -180,10 +180,9 @@ def range_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.intersect(a, b, "tenant_id", "source_id").select("tenant_id", "source_id", text("start").alias("range_start"), text("end").alias("range_end"))
 
 
-@query(_sql("SELECT metric_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS sources, round(max(v) - min(v), 7) AS spread FROM (SELECT metric_type, source_id, CAST(date_trunc('day', timestamp) AS DATE) AS day, avg(value) AS v FROM points WHERE tenant_id = 't1' GROUP BY ALL) GROUP BY metric_type, day HAVING count(*) > 1 AND (max(v) - min(v)) / max(abs(v)) > 0.1"))
+@query(_sql("SELECT tenant_id, metric_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS sources, round(max(v) - min(v), 7) AS spread FROM (SELECT tenant_id, metric_type, source_id, CAST(date_trunc('day', timestamp) AS DATE) AS day, avg(value) AS v FROM points GROUP BY ALL) GROUP BY tenant_id, metric_type, day HAVING count(*) > 1 AND (max(v) - min(v)) / max(abs(v)) > 0.1"))
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which sources of a metric differ by more than a tenth."""
-    own = points(spark, sf_dir).where("tenant_id = 't1'")
-    means = own.groupBy("metric_type", "source_id", F.to_date("timestamp").alias("day")).agg(F.avg("value").alias("v"))
-    met = means.groupBy("metric_type", "day").agg(F.count("*").alias("sources"), (F.max("v") - F.min("v")).alias("spread"), F.max(F.abs("v")).alias("most"))
-    return met.where("sources > 1 AND spread / most > 0.1").select("metric_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "sources", rounded("spread", 7).alias("spread"))
+    means = points(spark, sf_dir).groupBy("tenant_id", "metric_type", "source_id", F.to_date("timestamp").alias("day")).agg(F.avg("value").alias("v"))
+    met = means.groupBy("tenant_id", "metric_type", "day").agg(F.count("*").alias("sources"), (F.max("v") - F.min("v")).alias("spread"), F.max(F.abs("v")).alias("most"))
+    return met.where("sources > 1 AND spread / most > 0.1").select("tenant_id", "metric_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "sources", rounded("spread", 7).alias("spread"))
