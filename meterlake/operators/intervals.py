@@ -67,6 +67,15 @@ def daily_gaps(points: DataFrame, start: str, end: str, *keys: str, offset_minut
     return grid.join(seen, [*keys, "day"], "left_anti")
 
 
+def current_streak(days: DataFrame, today: str, *keys: str) -> DataFrame:
+    """Days in a row up to today, or to yesterday as today isn't over; 0 where the last row of days ended before."""
+    distinct = days.select(*keys, "day").distinct()
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy(*keys).orderBy("day")))
+    runs = distinct.where(F.col("day") <= F.lit(today).cast("date")).withColumn("_island", island).groupBy(*keys, "_island").agg(F.count("*").alias("_n"), F.max("day").alias("_last"))
+    alive = F.when(F.col("_last") >= F.date_sub(F.lit(today).cast("date"), 1), F.col("_n")).otherwise(0)
+    return runs.groupBy(*keys).agg(F.max(alive).alias("streak"))
+
+
 def bucket_counts(points: DataFrame, seconds: int, *keys: str) -> DataFrame:
     """Points in buckets of any width, counted from the epoch."""
     at = F.unix_seconds(F.col("timestamp").cast("timestamp"))

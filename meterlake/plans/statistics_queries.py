@@ -10,7 +10,7 @@ from ..operators import intervals as I
 from ..operators import rollups as R
 from ..operators import statistics as S
 from ..operators.points import json_text
-from .driver_tables import COLLAPSE_SQL, POINTS_SQL, points
+from .driver_tables import COLLAPSE_SQL, POINTS_SQL, points, table
 from .register import query, rounded, text, text_sql
 
 DAILY = f"daily AS (SELECT tenant_id, metric_type, CAST(date_trunc('day', timestamp) AS DATE) AS day, {COLLAPSE_SQL} AS value FROM points GROUP BY tenant_id, metric_type, date_trunc('day', timestamp))"
@@ -186,3 +186,10 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = points(spark, sf_dir).groupBy("tenant_id", "metric_type", "source_id", F.to_date("timestamp").alias("day")).agg(F.avg("value").alias("v"))
     met = means.groupBy("tenant_id", "metric_type", "day").agg(F.count("*").alias("sources"), (F.max("v") - F.min("v")).alias("spread"), F.max(F.abs("v")).alias("most"))
     return met.where("sources > 1 AND spread / most > 0.1").select("tenant_id", "metric_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "sources", rounded("spread", 7).alias("spread"))
+
+
+@query("SELECT user_id, max(CASE WHEN e >= DATE '2024-01-29' THEN n ELSE 0 END) AS streak FROM (SELECT user_id, count(*) AS n, max(d) AS e FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS island FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)) GROUP BY user_id, island) GROUP BY user_id")
+def contribution_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in a row on which a user did anything, as of the last day."""
+    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
+    return I.current_streak(days, "2024-01-30", "user_id")
