@@ -29,7 +29,7 @@ class ChunkIds(dict):
     the entries kept.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 1_500_000):
+    def __init__(self, tokenizer_json: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -19,7 +19,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 20
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 BLOBS = "bucket int, hashes binary, docs binary, counts binary, starts binary"
 MARKS = "_id long, _tag long, _flags binary"
 
@@ -27,7 +27,7 @@ MARKS = "_id long, _tag long, _flags binary"
 class WordHashes(dict):
     """XXH64 of words, kept for the next time; cleared when it has ``limit`` entries."""
 
-    limit = 500_000
+    limit = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
