@@ -240,4 +240,5 @@ def piece_codec(spark: SparkSession, model_path: str) -> tuple:
     def checksum(ids: pa.Array) -> pa.Array:
         return pa.array([zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else None for x in ids], pa.int64())
 
-    return encode, decode, checksum
+    # Else Spark would fuse the functions, and encode once for each one that reads the ids.
+    return encode.asNondeterministic(), decode, checksum
