@@ -60,18 +60,27 @@ class Chunk:
         self.size += len(h)
 
     def group(self, length: int) -> tuple[np.ndarray, ...]:
-        """Hash, document and start of each picked window in order of hash, id, tag, start; and which are
-        not the first of their hash."""
+        """Hash, document and start of each picked window in order of hash, id, tag, start; which are not the
+        first row of their hash; and which of these are after it in id, tag or start."""
         offsets = np.concatenate([[0], np.cumsum([len(h) for h in self.hashes])])[:-1]
         doc = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.picked])
         start = np.concatenate(self.picked) if self.picked else np.zeros(0, np.int64)
         h = windows(np.concatenate(self.hashes), start + offsets[doc], length) if len(start) else np.zeros(0, np.uint64)
-        rank = np.empty(len(self.ids), np.int64)
-        rank[np.lexsort((np.array(self.tags, np.int64), np.array(self.ids, np.int64)))] = np.arange(len(self.ids))
+        rank = np.unique(np.array([self.ids, self.tags], np.int64), axis=1, return_inverse=True)[1].ravel()
         order = np.lexsort((start, rank[doc], h))
         h, doc, start = h[order], doc[order], start[order]
-        later = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
-        return h, doc, start, later
+        later, after = _not_first(h, rank[doc], start)
+        return h, doc, start, later, after
+
+
+def _not_first(h: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are not the first of their hash, and which of these are in another place than the first."""
+    later = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
+    moved = np.zeros(len(h), bool)
+    for p in place:
+        moved |= p != p[first]
+    return later, moved
 
 
 def _blobs(chunk: Chunk, h: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +142,7 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
 
     ``picked``: columns _id, _tag, _text and _flags (binary: anchor starts as 32-bit numbers; ignored for anchors).
     ``mode`` "all" marks every occurrence of a repeated window, "later" all but the first in the order of
-    id, tag and start. Equal windows of a task's chunk are settled there, and one of them goes on. So the
+    id, tag and start; rows that tie with the first are no repeat. Equal windows of a task's chunk are settled there, and one of them goes on. So the
     rows that meet for one window are at most one for each chunk, however often it occurs.
     """
     cover, anchors = np.array(COVER), mode == "all"
@@ -144,8 +153,8 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
         def flush() -> Iterator[pa.RecordBatch]:
             if not chunk.ids:
                 return
-            h, doc, start, later = chunk.group(length)
-            told = later | np.concatenate([later[1:], [False]]) if anchors else later
+            h, doc, start, later, after = chunk.group(length)
+            told = later | np.concatenate([later[1:], [False]]) if anchors else after
             ids = np.stack([np.array(chunk.ids, np.int64), np.array(chunk.tags, np.int64)], axis=1)
             if told.any():
                 yield from _by_document(ids, doc[told], start[told], buckets)
@@ -187,7 +196,7 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
         order = order[met]
         if not anchors and len(order):
             o = order[np.lexsort((start[order], ids[doc[order], 1], ids[doc[order], 0], h[order]))]
-            order = o[np.concatenate([[False], h[o][1:] == h[o][:-1]])]
+            order = o[_not_first(h[o], ids[doc[o], 0], ids[doc[o], 1], start[o])[1]]
         yield from _by_document(ids, doc[order], start[order], buckets)
 
     by_hash = picked.mapInArrow(spread, BLOBS).repartitionById(buckets, F.col("bucket"))

@@ -174,6 +174,17 @@ def test_substrings_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got.collect()) == [(0, 0), (4, 30), (4, 30), (9, 30)]
 
 
+@pytest.mark.parametrize("chunk_words", [20, 1_000_000])
+@pytest.mark.parametrize("doc_id", [4, None])
+def test_equal_rows_alone_keep_their_first_passage(spark, doc_id, chunk_words, monkeypatch):
+    monkeypatch.setattr("meterlake.llm.substrings.CHUNK_WORDS", chunk_words)
+    passage = " ".join(f"w{k}" for k in range(30))
+    twice = f"{passage} | {passage}"
+    rows = spark.createDataFrame([(doc_id, twice), (doc_id, twice)], "doc_id long, text string")
+    got = remove_repeated_passages(rows.repartition(2)).collect()
+    assert [(r.text, r.n_removed) for r in got] == [(f"{passage} |", 30)] * 2
+
+
 @pytest.mark.parametrize("operator", [drop_repeated_lines, near_duplicate_classes, keep_first_of_class, remove_repeated_passages])
 def test_empty_tables(no_documents, operator):
     assert operator(no_documents).collect() == []
