@@ -15,7 +15,7 @@ from .minhash import fingerprints
 from .neighbours import near_vectors
 from .packing import pack
 from .quality import score_quality
-from .sentencepieces import piece_codec
+from .sentencepieces import with_pieces
 from .simhash import near_duplicate_classes
 from .substrings import remove_repeated_passages
 from .toxicity import score_toxicity
@@ -66,13 +66,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode, decode, checksum = piece_codec(spark, public_tokenizers.path("piece_bpe_32k.model"))
     texts = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    told = texts.withColumn("ids", encode("text")).withColumn("decoded", decode("ids"))
+    told = with_pieces(texts, public_tokenizers.path("piece_bpe_32k.model"))
     return told.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
-        checksum("ids").alias("ids_crc32"),
+        "ids_crc32",
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("same_text"),
     )

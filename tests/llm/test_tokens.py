@@ -10,9 +10,11 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterlake.llm import sentencepieces
@@ -72,16 +74,39 @@ def test_chunks_tokenize_alone(parts):
         assert got == np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.fixture(scope="module")
+def pieces():
+    return sentencepieces.Pieces(Path(PIECES).read_bytes())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(ODD, max_size=5))
 def test_pieces_are_the_librarys(parts):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     if not hasattr(test_pieces_are_the_librarys, "known"):
-        test_pieces_are_the_librarys.known = sentencepieces.ChunkPieces(sentencepieces.Pieces(Path(PIECES).read_bytes()), limit=200)
+        test_pieces_are_the_librarys.known = sentencepieces.ChunkPieces(sentencepieces.Pieces(Path(PIECES).read_bytes()), limit=20_000)
     known = test_pieces_are_the_librarys.known
     for text, ids in zip(parts, sentencepieces.encoded(known, parts), strict=True):
         assert ids.tolist() == sp.encode(text)
-        assert known.pieces.decode(ids) == text.replace("▁", " ")
+        assert known.pieces.decode(ids.tolist()) == text.replace("▁", " ")
+
+
+def test_texts_that_are_long_or_have_no_blanks(pieces):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(4)
+    known = sentencepieces.ChunkPieces(pieces, limit=200_000)
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(30_000))
+    every = "".join(r.choice("abcdefXYZ0123+/日本語の。é") for _ in range(100_000))
+    words = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9))) for _ in range(300_000))
+    assert len(words) > 1.5e6
+    texts = [letters, every, "a" * 20_000, " " * 5_000, words, "x"]
+    for text, ids in zip(texts, sentencepieces.encoded(known, texts), strict=True):
+        assert ids.tolist() == sp.encode(text)
+    assert known.used < 60_000_000
+
+
+def test_ids_that_are_none(pieces):
+    assert pieces.decode([None, -1, 10**9, 0]) == "\ufffd" * 3 and pieces.decode([]) == ""
 
 
 def test_suffix_array():
@@ -93,11 +118,12 @@ def test_suffix_array():
 
 def test_codec_on_columns(spark, documents, docs, no_documents):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    encode, decode, checksum = sentencepieces.piece_codec(spark, PIECES)
-    told = documents.withColumn("ids", encode("text")).withColumn("back", decode("ids")).withColumn("crc", checksum("ids"))
+    told = sentencepieces.with_pieces(documents.withColumn("_out", F.lit("mine")), PIECES).withColumn("again", sentencepieces.decoder(spark, PIECES)("ids"))
     own = dict(docs)
-    for r in told.collect():
+    rows = told.collect()
+    assert len(rows) == len(docs)
+    for r in rows:
         text = own[r.doc_id]
-        assert r.ids == (None if text is None else sp.encode(text)) and r.back == text
-        assert text is None or r.crc == zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids))
-    assert no_documents.withColumn("ids", encode("text")).collect() == []
+        assert r.ids == (None if text is None else sp.encode(text)) and r.decoded == r.again == r.text == text and r._out == "mine"
+        assert r.ids_crc32 == (None if text is None else zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)))
+    assert sentencepieces.with_pieces(no_documents, PIECES).collect() == []
