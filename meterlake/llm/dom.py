@@ -9,14 +9,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A tag, with quotes only where a value may begin. Nothing is tried twice, so that time is in proportion to the length.
+TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 TOKEN = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[\s\xa0]+")
 SENTENCE = re.compile(r"[.!?;:,](?:\s|$)")
 
 #: Fixed lists of element names, after the HTML standard.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select head title".split())
+CLOSE_OF = {t: re.compile(rf"</{t}[\s/]*+>", re.I) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -24,7 +26,16 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html body tbody td tfoot th thead tr".split())
 SCOPE = frozenset("article aside body div main section table td th li blockquote nav header footer form html dd fieldset".split())
-ALIKE = {"li": ("li", frozenset({"ul", "ol", "menu"})), "dd": ("dd dt", frozenset({"dl"})), "dt": ("dd dt", frozenset({"dl"})), "tr": ("tr", frozenset({"table", "tbody", "thead", "tfoot"})), "td": ("td th", frozenset({"tr"})), "th": ("td th", frozenset({"tr"}))}
+#: Elements that end their like, and what bounds how far they look for it.
+ALIKE = (
+    (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
+    (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    (frozenset({"tr"}), frozenset({"table", "tbody", "thead", "tfoot"})),
+    (frozenset({"td", "th"}), frozenset({"tr"})),
+    (frozenset({"p"}), SCOPE),
+)
+LOOKS = {t: k for k, (names, _) in enumerate(ALIKE[:-1]) for t in names}
+P = len(ALIKE) - 1
 #: Words of class, id and role attributes, by what they tell.
 TOKENS = {
     "body": "article content post entry main body story text page blog news single hentry prose",
@@ -46,7 +57,7 @@ KINDS = ["article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul o
 KIND_OF = {t: k for k, names in enumerate(KINDS) for t in names.split()}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -69,15 +80,18 @@ class Page:
     blocks: list[tuple[int, str]]
 
 
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
 def _attributes(raw: str) -> tuple[tuple[int, ...], bool]:
-    groups, hidden = [0] * len(GROUPS), bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw))
+    groups, hidden = [0] * len(GROUPS), False
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role", "itemprop", "aria-label"):
             for w in TOKEN.findall(value):
                 for k in GROUP_OF.get(w, ()):
                     groups[k] += 1
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
+        elif name == "hidden" or name == "style" and HIDES.search(value) or name == "aria-hidden" and value == "true":
             hidden = True
     return tuple(groups), hidden
 
@@ -85,11 +99,29 @@ def _attributes(raw: str) -> tuple[tuple[int, ...], bool]:
 NONE = (0,) * len(GROUPS)
 
 
+class Open:
+    """An open block element: its node, links that are open in it, and where on the stack the nearest element
+    of each row of ALIKE is that one like it would end (-1 for none)."""
+
+    __slots__ = ("tag", "node", "anchors", "nearest")
+
+    def __init__(self, tag: str, node: int, nearest: tuple[int, ...]):
+        self.tag, self.node, self.anchors, self.nearest = tag, node, 0, nearest
+
+
+def _nearest(tag: str, place: int, above: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple([place if tag in names else -1 if tag in stop else a for (names, stop), a in zip(ALIKE, above, strict=True)])
+
+
 def parse(source: str) -> Page:
     """Elements that aren't closed end where a block that can't be inside them begins or their parent ends.
-    Scripts, styles and other elements without text of the page are skipped with all they hold."""
+    Scripts, styles and other elements without text of the page are skipped with all they hold; so is a tag or
+    comment that never ends. Time is in proportion to the length of the source, whatever it holds: only blocks
+    are on the stack, each knows what it may end, and what isn't closed further on is searched once."""
     nodes, blocks = [Node("html", -1, 0, NONE)], []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; a number below 0 is inline
+    stack = [Open("html", 0, (-1,) * len(ALIKE))]
+    opened: dict[str, int] = {"html": 1}
+    never_closed: set[str] = set()
     text: list[str] = []
     anchors = 0
 
@@ -98,82 +130,91 @@ def parse(source: str) -> Page:
             own = SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if own:
-                node = next(n for _, n in reversed(stack) if n >= 0)
+                node = stack[-1].node
                 blocks.append((node, own))
                 nodes[node].chars += len(own)
                 nodes[node].marks += len(SENTENCE.findall(own))
 
     def pop(to: int) -> None:
         nonlocal anchors
-        if any(n >= 0 for _, n in stack[to:]):
-            flush()
-        anchors -= sum(tag == "a" for tag, _ in stack[to:])
+        flush()
+        for gone in stack[to:]:
+            anchors -= gone.anchors
+            opened[gone.tag] -= 1
         del stack[to:]
 
     def said(part: str) -> None:
         text.append(part)
         if anchors and (n := len(part.strip())):
-            nodes[next(n for _, n in reversed(stack) if n >= 0)].link_chars += n
+            nodes[stack[-1].node].link_chars += n
 
     at, end = 0, len(source)
     while at < end:
-        m = MARKUP.search(source, at)
-        if not m:
+        start = source.find("<", at)
+        if start < 0:
             said(source[at:])
             break
-        if m.start() > at:
-            said(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            said(source[at:start])
+        mark = source[start + 1 : start + 2]
+        if mark in ("!", "?"):
+            comment = source.startswith("<!--", start)
+            stop = source.find("-->", start + 2) if comment else source.find(">", start)
+            at = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        if not (mark.isascii() and mark.isalpha() or mark == "/" and source[start + 2 : start + 3].isascii() and source[start + 2 : start + 3].isalpha()):
+            said("<")
+            at = start + 1
             continue
+        m = TAG.match(source, start)
+        if not m:
+            break
+        at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                close = None if tag in never_closed else CLOSE_OF[tag].search(source, at)
                 if close:
                     at = close.end()
-                elif tag in ("script", "style", "textarea", "template", "noscript"):
-                    at = end
+                else:
+                    never_closed.add(tag)
+                    if tag in ("script", "style", "textarea", "template", "noscript"):
+                        at = end
             text.append(" ")
-        elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in SCOPE:
-                    break
         elif tag in VOID:
             text.append(" ")
-        elif tag in BLOCK:
+        elif tag not in BLOCK:
+            own = stack[-1]
+            if closing:
+                if tag == "a" and own.anchors:
+                    own.anchors -= 1
+                    anchors -= 1
+                continue
+            nodes[own.node].inline += 1
+            if tag == "a":
+                nodes[own.node].links += 1
+                own.anchors += 1
+                anchors += 1
+        elif closing:
+            if opened.get(tag, 0) > (tag == "html"):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                pop(k)
+        else:
             flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            if tag in ALIKE:
-                names, stop = ALIKE[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in names.split():
-                        pop(k)
-                        break
+            if tag in CLOSES_P and stack[-1].nearest[P] >= 0:
+                pop(stack[-1].nearest[P])
+            if tag in LOOKS and stack[-1].nearest[LOOKS[tag]] >= 0:
+                pop(stack[-1].nearest[LOOKS[tag]])
             if tag == "html":
                 continue
-            parent = next(n for _, n in reversed(stack) if n >= 0)
+            parent = stack[-1].node
             tokens, hidden = _attributes(m[3]) if m[3].strip() else (NONE, False)
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, hidden))
             nodes[parent].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
-        else:
-            node = nodes[next(n for _, n in reversed(stack) if n >= 0)]
-            node.inline += 1
-            node.links += tag == "a"
-            anchors += tag == "a"
-            stack.append((tag, -1))
+            stack.append(Open(tag, len(nodes) - 1, _nearest(tag, len(stack), stack[-1].nearest)))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return Page(nodes, blocks)
 

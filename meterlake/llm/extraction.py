@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +14,11 @@ from . import boosting, dom, sample_pages
 Model = tuple[float, list[boosting.Tree]]
 
 
+@cache
 def fit_elements(count: int = 700, seed: int = 5, trees: int = 60, depth: int = 4) -> Model:
-    """Learn from ``count`` made-up pages. An element is main text if most text below it is."""
+    """Learn from ``count`` made-up pages. An element is main text if most text below it is.
+
+    Equal arguments give the same model, which is fitted once in a process."""
     rows, labels = [], []
     for source in sample_pages.pages(count, seed):
         page = dom.parse(source)
