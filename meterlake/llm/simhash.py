@@ -5,20 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .names import free_names
 from .scratch import Scratch
 
-#: Byte positions in twos. Any two positions miss at least two of these, so that two fingerprints that
-#: differ in at most two bytes agree in all four bytes of one of the six pairs of twos.
-TWOS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: Sets of four of the eight byte positions, whose numbers cancel by exclusive or: every three positions are in
+#: exactly one of the fourteen. First the six that are made of twos of positions: any two positions miss one of these.
+FOURS = sorted((q for q in combinations(range(8), 4) if not reduce(xor, q)), key=lambda q: not (q[0] ^ q[1] == q[2] ^ q[3] == 1))
+OF_TWOS = 6
 STRETCH = 1 << 17
 
 
@@ -52,39 +54,45 @@ def with_fingerprint(documents: DataFrame, id_col: str, text_col: str, shingle_w
     return documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(prints, "_id long, _fp long")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """In how many byte positions two fingerprints agree."""
-    differ = a.bitwiseXOR(b)
-    return reduce(lambda x, y: x + y, [(F.shiftright(differ, 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(8)])
+def least_meetings(max_bits: int) -> int:
+    """In how many lists two fingerprints meet at least that differ in ``max_bits`` bits, so in as many bytes at most."""
+    return min(sum(not set(q) & set(gone) for q in FOURS) for gone in combinations(range(8), max_bits))
 
 
-def fingerprint_links(prints: DataFrame, max_bits: int, crowd: int = 128) -> DataFrame:
+def fingerprint_links(prints: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
     """Links between distinct fingerprints (one column _fp) that differ in at most ``max_bits`` (at most 2) bits.
 
-    The inverted index posts each fingerprint under four of its bytes at a time, with their positions. A
-    pair that meets in a posting list is tallied: it needs at least ``8 - max_bits`` shared positional
-    bytes, then its bits are compared. A list of more than ``crowd`` fingerprints isn't paired: there each
-    fingerprint is posted again under itself without any two of the 32 open bits, and all that share such
-    a posting differ in at most two bits, so that each links to the least of them. The links give the same
-    components, and their number stays in proportion to the fingerprints.
+    The inverted index posts each fingerprint under its bytes at four positions, fourteen times. Lists of
+    single bytes would hold one in 256 of all fingerprints; those of four bytes grow only with what is alike.
+    The lists in which a pair meets are tallied, which tells its shared positional bytes: three lists or more
+    for six or more shared bytes, one at most for five or fewer. A pair that differs in two bits shares six
+    bytes at least, so those with fewer than three meetings go; the bits of the others are compared.
+
+    A list of more than ``crowd`` fingerprints isn't paired. A pair's guaranteed meetings are then less by the
+    crowded lists that the first is in. Pairs that meet in crowded lists alone meet in one made of twos:
+    there each fingerprint is posted again under itself without any two of the 32 open bits, and all that
+    share such a posting differ in at most two bits, so that each links to the least of them. The links give
+    the same components as all links, and their number stays in proportion to the fingerprints.
     """
     assert 0 <= max_bits <= 2
-    masks = [sum(0xFF << (8 * k) for k in two) for two in TWOS]
-    keys = [masks[i] | masks[j] for i, j in combinations(range(4), 2)]
+    need = least_meetings(max_bits)
+    keys = [sum(0xFF << (8 * k) for k in q) for q in FOURS]
     signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
     posted = prints.select("_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(F.lit(signed(k))) for k in keys])).alias("_list", "_key"))
     sizes = posted.groupBy("_list", "_key").agg(F.count("*").alias("_n")).where("_n > 1")
     lists = posted.join(sizes, ["_list", "_key"])
 
-    small = lists.where(F.col("_n") <= crowd)
-    a, b = small.select("_list", "_key", F.col("_fp").alias("a")), small.select("_list", "_key", F.col("_fp").alias("b"))
-    agree = (F.col("a") < F.col("b")) & (shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    pairs = a.join(b, ["_list", "_key"]).where(agree & near).select("a", "b")
+    crowds = lists.where(F.col("_n") > crowd).groupBy("_fp").agg(F.count("*").alias("_crowds"))
+    small = lists.where(F.col("_n") <= crowd).join(crowds, "_fp", "left").select("_list", "_key", "_fp", F.coalesce("_crowds", F.lit(0)).alias("_crowds"))
+    a, b = small.select("_list", "_key", F.col("_fp").alias("a"), "_crowds"), small.select("_list", "_key", F.col("_fp").alias("b"))
+    tally = a.join(b, ["_list", "_key"]).where("a < b").groupBy("a", "b", "_crowds").agg(F.count("*").alias("_meetings"))
+    enough = tally.where(F.col("_meetings") + F.col("_crowds") >= need)
+    pairs = enough.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
 
-    open_bits = [[signed(~sum(1 << i for i in bits)) for bits in combinations([i for i in range(64) if not k >> i & 1], max_bits)] for k in keys]
+    open_bits = [[signed(~sum(1 << i for i in bits)) for bits in combinations([i for i in range(64) if not k >> i & 1], max_bits)] for k in keys[:OF_TWOS]]
     per_list = F.get(F.array(*[F.array(*[F.lit(m) for m in own]) for own in open_bits]), F.col("_list"))
-    masked = lists.where(F.col("_n") > crowd).select("_fp", F.explode(per_list).alias("_mask")).select("_fp", "_mask", F.col("_fp").bitwiseAND(F.col("_mask")).alias("_key"))
+    crowded = lists.where((F.col("_n") > crowd) & (F.col("_list") < OF_TWOS))
+    masked = crowded.select("_fp", F.explode(per_list).alias("_mask")).select("_fp", "_mask", F.col("_fp").bitwiseAND(F.col("_mask")).alias("_key"))
     least = masked.groupBy("_mask", "_key").agg(F.min("_fp").alias("b"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     stars = masked.join(least, ["_mask", "_key"]).where("_fp <> b").select(F.col("_fp").alias("a"), "b")
     return pairs.unionByName(stars).distinct()

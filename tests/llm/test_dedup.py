@@ -16,7 +16,7 @@ from meterlake.llm import bloom
 from meterlake.llm.components import connected_components
 from meterlake.llm.line_dedup import drop_repeated_lines
 from meterlake.llm.scratch import Scratch
-from meterlake.llm.simhash import fingerprint_links, keep_first_of_class, near_duplicate_classes
+from meterlake.llm.simhash import FOURS, OF_TWOS, fingerprint_links, keep_first_of_class, least_meetings, near_duplicate_classes
 from meterlake.llm.substrings import COVER, PERIOD, WINDOW, remove_repeated_passages
 
 from .conftest import SCHEMA, texts
@@ -103,7 +103,22 @@ def test_simhash(documents, docs):
     assert {r.doc_id for r in kept.collect()} == {i for i in own if want[i] == i}
 
 
-@pytest.mark.parametrize("crowd", [2, 1000])
+def test_meetings_tell_shared_bytes():
+    for n in range(9):
+        for shared in combinations(range(8), n):
+            met = [k for k, q in enumerate(FOURS) if set(q) <= set(shared)]
+            assert len(met) == {8: 14, 7: 7, 6: 3}.get(n, len(met)) and (n > 5 or len(met) <= 1) and (n < 6 or min(met) < OF_TWOS)
+    assert [least_meetings(k) for k in range(3)] == [14, 7, 3]
+
+
+def test_simhash_of_null_ids_and_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (None, text), (7, text), (7, text), (9, text), (None, "alone and without an id")]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (0, 7), (7, 7), (7, 7), (9, 7)]
+
+
+@pytest.mark.parametrize("crowd", [2, 5, 1000])
 def test_crowded_posting_lists_give_the_same_components(spark, crowd):
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 6)
