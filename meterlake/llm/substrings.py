@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +16,13 @@ from .scratch import Scratch
 #: A perfect difference set: any two residues modulo 13 have a common shift into the set.
 PERIOD = 13
 COVER = (0, 1, 3, 9)
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WINDOW = 20
 CHUNK_WORDS = 1_000_000
-BLOBS = "bucket int, hashes binary, docs binary, counts binary, starts binary"
+#: Hashes of so many bytes of text meet at a time.
+BUCKET_BYTES = 32 << 20
+BLOBS = "bucket int, hashes binary, checks binary, docs binary, counts binary, starts binary"
+BLOB_COLUMNS = [c.split()[0] for c in BLOBS.split(", ")]
 MARKS = "_id long, _tag long, _flags binary"
 
 
@@ -36,11 +38,11 @@ class WordHashes(dict):
         return h
 
 
-def windows(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+def windows(h: np.ndarray, starts: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndarray:
     """A hash of the ``length`` word hashes from each start."""
     total = np.zeros(len(starts), np.uint64)
     for k in range(length):
-        total = total * BASE + h[starts + k]
+        total = total * base + h[starts + k]
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     return total ^ (total >> np.uint64(32))
@@ -59,23 +61,27 @@ class Chunk:
         self.picked.append(starts)
         self.size += len(h)
 
-    def group(self, length: int) -> tuple[np.ndarray, ...]:
-        """Hash, document and start of each picked window in order of hash, id, tag, start; which are not the
-        first row of their hash; and which of these are after it in id, tag or start."""
+    def group(self, length: int, checked: bool) -> tuple[np.ndarray, ...]:
+        """Hash, check, document and start of each picked window in order of these, documents by id and tag;
+        which are not the first row of their hash and check; and which of these are after it in id, tag or
+        start. The check is a second hash; it is zero without ``checked``."""
         offsets = np.concatenate([[0], np.cumsum([len(h) for h in self.hashes])])[:-1]
         doc = np.repeat(np.arange(len(self.ids)), [len(s) for s in self.picked])
         start = np.concatenate(self.picked) if self.picked else np.zeros(0, np.int64)
-        h = windows(np.concatenate(self.hashes), start + offsets[doc], length) if len(start) else np.zeros(0, np.uint64)
+        h = check = np.zeros(len(start), np.uint64)
+        if len(start):
+            words, at = np.concatenate(self.hashes), start + offsets[doc]
+            h, check = windows(words, at, length), windows(words, at, length, OTHER_BASE) if checked else check
         rank = np.unique(np.array([self.ids, self.tags], np.int64), axis=1, return_inverse=True)[1].ravel()
-        order = np.lexsort((start, rank[doc], h))
-        h, doc, start = h[order], doc[order], start[order]
-        later, after = _not_first(h, rank[doc], start)
-        return h, doc, start, later, after
+        order = np.lexsort((start, rank[doc], check, h) if checked else (start, rank[doc], h))
+        h, check, doc, start = h[order], check[order], doc[order], start[order]
+        later, after = _not_first(h, check, rank[doc], start)
+        return h, check, doc, start, later, after
 
 
-def _not_first(h: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are not the first of their hash, and which of these are in another place than the first."""
-    later = np.concatenate([[False], h[1:] == h[:-1]]) if len(h) else np.zeros(0, bool)
+def _not_first(h: np.ndarray, check: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are not the first of their hash and check, and which of these are in another place than the first."""
+    later = np.concatenate([[False], (h[1:] == h[:-1]) & (check[1:] == check[:-1])]) if len(h) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
     moved = np.zeros(len(h), bool)
     for p in place:
@@ -83,19 +89,22 @@ def _not_first(h: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return later, moved
 
 
-def _blobs(chunk: Chunk, h: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _row(bucket: int, *columns: np.ndarray | None) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([bucket], pa.int32())] + [pa.array([None if c is None else c.tobytes()], pa.binary()) for c in columns], BLOB_COLUMNS)
+
+
+def _blobs(chunk: Chunk, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket of hashes: sorted by document, so that ids are stated once for each run."""
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((start, doc, bucket))
-    h, doc, start, bucket = h[order], doc[order], start[order], bucket[order]
+    h, check, doc, start, bucket = h[order], None if check is None else check[order], doc[order], start[order], bucket[order]
     ids = np.stack([np.array(chunk.ids, np.int64), np.array(chunk.tags, np.int64)], axis=1)
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         part = slice(edges[b], edges[b + 1])
         runs = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1]]))
         counts = np.diff(np.concatenate([runs, [edges[b + 1] - edges[b]]]))
-        columns = (h[part], ids[doc[part][runs]], counts.astype(np.uint32), start[part].astype(np.uint32))
-        yield pa.record_batch([pa.array([b], pa.int32())] + [pa.array([c.tobytes()], pa.binary()) for c in columns], ["bucket", "hashes", "docs", "counts", "starts"])
+        yield _row(b, h[part], None if check is None else check[part], ids[doc[part][runs]], counts.astype(np.uint32), start[part].astype(np.uint32))
 
 
 def _marks(ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -121,20 +130,39 @@ def _by_document(ids: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: i
         part = slice(edges[b], edges[b + 1])
         runs = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1]]))
         counts = np.diff(np.concatenate([runs, [edges[b + 1] - edges[b]]]))
-        columns = (ids[doc[part][runs]], counts.astype(np.uint32), start[part].astype(np.uint32))
-        yield pa.record_batch([pa.array([b], pa.int32()), pa.nulls(1, pa.binary())] + [pa.array([c.tobytes()], pa.binary()) for c in columns], ["bucket", "hashes", "docs", "counts", "starts"])
+        yield _row(b, None, None, ids[doc[part][runs]], counts.astype(np.uint32), start[part].astype(np.uint32))
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marks of each document, from all rows of its bucket."""
-    ids, counts, starts = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+def _of_bucket(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, checks (zeros where there are none), documents, counts and starts of a bucket's rows."""
+    read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows if r[c] is not None)])
+    h, check = read("hashes", np.uint64), read("checks", np.uint64)
+    return h, check if len(check) else np.zeros(len(h), np.uint64), read("docs", np.int64).reshape(-1, 2), read("counts", np.uint32), read("starts", np.uint32)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], settled: Callable[[dict], bool]) -> Iterator[pa.RecordBatch | tuple]:
+    """The arrays of each bucket of rows that come in the order of their bucket; rows that are settled pass as they are."""
+    held: list[dict] = []
     for batch in batches:
         for k in range(len(batch)):
-            ids.append(np.frombuffer(batch.column("docs")[k].as_py(), np.int64).reshape(-1, 2))
-            counts.append(np.frombuffer(batch.column("counts")[k].as_py(), np.uint32))
-            starts.append(np.frombuffer(batch.column("starts")[k].as_py(), np.uint32))
-    distinct, index = np.unique(np.concatenate(ids), axis=0, return_inverse=True)
-    yield _marks(distinct, np.repeat(index.ravel(), np.concatenate(counts)), np.concatenate(starts))
+            one = batch.slice(k, 1)
+            row = one.to_pylist()[0]
+            if settled(row):
+                yield one
+                continue
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield _of_bucket(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _of_bucket(held)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marks of each document, from all rows of its bucket."""
+    for _, _, ids, counts, starts in _by_bucket(batches, lambda row: False):
+        distinct, index = np.unique(ids, axis=0, return_inverse=True)
+        yield _marks(distinct, np.repeat(index.ravel(), counts), starts)
 
 
 def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFrame:
@@ -142,8 +170,11 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
 
     ``picked``: columns _id, _tag, _text and _flags (binary: anchor starts as 32-bit numbers; ignored for anchors).
     ``mode`` "all" marks every occurrence of a repeated window, "later" all but the first in the order of
-    id, tag and start; rows that tie with the first are no repeat. Equal windows of a task's chunk are settled there, and one of them goes on. So the
-    rows that meet for one window are at most one for each chunk, however often it occurs.
+    id, tag and start; rows that tie with the first are no repeat. For "all" 64 bits tell windows, as one
+    told too many costs time only; for "later" 128 bits do. Equal windows of a task's chunk are settled
+    there, and one of them goes on. So the rows that meet for one window are at most one for each chunk,
+    however often it occurs. ``buckets`` follow from the size of the text; tasks take them one after the
+    other, sorted by Spark, so that a worker holds one bucket's hashes at a time.
     """
     cover, anchors = np.array(COVER), mode == "all"
 
@@ -153,12 +184,12 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
         def flush() -> Iterator[pa.RecordBatch]:
             if not chunk.ids:
                 return
-            h, doc, start, later, after = chunk.group(length)
+            h, check, doc, start, later, after = chunk.group(length, not anchors)
             told = later | np.concatenate([later[1:], [False]]) if anchors else after
             ids = np.stack([np.array(chunk.ids, np.int64), np.array(chunk.tags, np.int64)], axis=1)
             if told.any():
                 yield from _by_document(ids, doc[told], start[told], buckets)
-            yield from _blobs(chunk, h[~later], doc[~later], start[~later], buckets)
+            yield from _blobs(chunk, h[~later], None if anchors else check[~later], doc[~later], start[~later], buckets)
 
         for batch in batches:
             for i in range(len(batch)):
@@ -178,29 +209,27 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
         yield from flush()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, ids, counts, starts = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for batch in batches:
-            settled = batch.column("hashes").is_null()
-            yield batch.filter(settled)
-            batch = batch.filter(pc.invert(settled))
-            for k in range(len(batch)):
-                h.append(np.frombuffer(batch.column(1)[k].as_py(), np.uint64))
-                ids.append(np.frombuffer(batch.column(2)[k].as_py(), np.int64).reshape(-1, 2))
-                counts.append(np.frombuffer(batch.column(3)[k].as_py(), np.uint32))
-                starts.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint32))
-        ids, h, start = np.concatenate(ids), np.concatenate(h), np.concatenate(starts)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate(counts))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        met = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(h) else np.zeros(0, bool)
-        order = order[met]
-        if not anchors and len(order):
-            o = order[np.lexsort((start[order], ids[doc[order], 1], ids[doc[order], 0], h[order]))]
-            order = o[_not_first(h[o], ids[doc[o], 0], ids[doc[o], 1], start[o])[1]]
-        yield from _by_document(ids, doc[order], start[order], buckets)
-
-    by_hash = picked.mapInArrow(spread, BLOBS).repartitionById(buckets, F.col("bucket"))
-    return by_hash.mapInArrow(settle, BLOBS).repartitionById(buckets, F.col("bucket")).mapInArrow(_assemble, MARKS)
+        for found in _by_bucket(batches, lambda row: row["hashes"] is None):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            h, check, ids, counts, start = found
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+            order = np.argsort(h, kind="stable") if anchors else np.lexsort((check, h))
+            same = (h[order][1:] == h[order][:-1]) & (check[order][1:] == check[order][:-1])
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(h) else order
+            if not anchors and len(order):
+                o = order[np.lexsort((start[order], ids[doc[order], 1], ids[doc[order], 0], check[order], h[order]))]
+                order = o[_not_first(h[o], check[o], ids[doc[o], 0], ids[doc[o], 1], start[o])[1]]
+            yield from _by_document(ids, doc[order], start[order], buckets)
+
+    partitions = int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(partitions, F.pmod("bucket", F.lit(partitions))).sortWithinPartitions("bucket")
+
+    by_hash = dealt(picked.mapInArrow(spread, BLOBS))
+    return dealt(by_hash.mapInArrow(settle, BLOBS)).mapInArrow(_assemble, MARKS)
 
 
 #: Ids of up to this many documents are broadcast (16 bytes each); beyond, texts meet their marks by a shuffle of all.
@@ -229,11 +258,13 @@ def remove_repeated_passages(
     2. Only windows around repeated anchors are extended to 20 words and hashed; these hashes shuffle, and
        all but the first occurrence are told.
     3. Documents meet their marks and drop the words that marked windows cover.
-    Hashes shuffle as packed arrays, once for each chunk of documents; marks shuffle by document.
+    Hashes shuffle as packed arrays, once for each chunk of documents; marks shuffle by document. Windows are
+    told by 128 bits.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text_col)]
     texts = documents.select(key[0].alias("_id"), key[1].alias("_tag"), F.col(text_col).alias("_text"))
 

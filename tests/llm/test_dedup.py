@@ -161,9 +161,10 @@ def brute_passages(own):
     return want
 
 
-@pytest.mark.parametrize("chunk_words", [200, 1_000_000])
-def test_substrings(documents, docs, chunk_words, monkeypatch):
+@pytest.mark.parametrize(("chunk_words", "bucket_bytes"), [(200, 1 << 20), (1_000_000, 1 << 20), (1000, 2000)])
+def test_substrings(documents, docs, chunk_words, bucket_bytes, monkeypatch):
     monkeypatch.setattr("meterlake.llm.substrings.CHUNK_WORDS", chunk_words)
+    monkeypatch.setattr("meterlake.llm.substrings.BUCKET_BYTES", bucket_bytes)
     want = brute_passages(texts(docs))
     got = remove_repeated_passages(documents, rejoin=True).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("sha"))
     assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in got.collect()} == want
