@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 VALUE_BITS = 57
 EMPTY = (1 << VALUE_BITS) - 1
-PROBES = 24
+PROBES = 8
 
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,18 +34,17 @@ def shingle_hashes(text: Column, shingle_words: int) -> Column:
 
 
 def _probe(j: Column, t: int) -> Column:
-    """The bin that empty bin j turns to at its t-th try: each bin has a start and an odd step of its own,
-    so that its tries reach all bins in an order of their own."""
-    return (F.get(F.array(*[F.lit((37 * (b * b + b) // 2 + 11 * b) % BINS) for b in range(BINS)]), j) + t * F.get(F.array(*[F.lit((2 * b * 41 + 77) % BINS | 1) for b in range(BINS)]), j)).bitwiseAND(BINS - 1)
+    """The bin that empty bin j turns to at its t-th try, by a hash of both."""
+    return F.get(F.array(*[F.lit(xxhash.xxh64_intdigest(bytes([b, t])) % BINS) for b in range(BINS)]), j)
 
 
 def fingerprint(text: Column, shingle_words: int = 5) -> Column:
     """Low-order bytes of the least hash in each of BINS bins (array<tinyint>).
 
     A hash's leading bits are its bin. One value for each bin that stands for none is added, all are
-    sorted, and the first of each bin stays. An empty bin takes the value of the first bin of its probes
-    that isn't empty; what it takes depends on which bins are empty, not on their number. A text without
-    words has zeros.
+    sorted, and the first of each bin stays. An empty bin takes the value of the first bin of its PROBES
+    tries that isn't empty, else of that of the least hash with it. Each try is a hash of its own, so what a
+    bin takes depends on which bins are empty and on nothing else. A text without words has zeros.
     """
     guards = F.array(*[F.lit((b - BINS // 2) * (EMPTY + 1) + EMPTY) for b in range(BINS)])
     bin_of = lambda v: F.shiftright(v, VALUE_BITS)
@@ -59,9 +59,9 @@ def fingerprint(text: Column, shingle_words: int = 5) -> Column:
         full = F.array_compact(values)
 
         def far(j: Column) -> Column:
-            """As the probes, for a text of few shingles: the bin of the least try among those not empty."""
-            tries = F.transform(F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda t: F.get(values, _probe_any(j, t)))
-            return F.get(F.array_compact(tries), F.lit(0))
+            """For a text of few shingles: the bin of the least hash with j among those not empty."""
+            ranked = F.transform(values, lambda v, b: F.when(v.isNotNull(), F.struct(F.xxhash64(j, b).alias("h"), v.alias("v"))))
+            return F.array_min(ranked)["v"]
 
         near = lambda v, j: F.coalesce(v, *[F.get(values, _probe(j, t)) for t in range(PROBES)], far(j))
         return F.when(F.size(full) == BINS, values).when(F.size(full) == 0, F.array_repeat(F.lit(-128), BINS)).otherwise(F.transform(values, near))
@@ -70,10 +70,6 @@ def fingerprint(text: Column, shingle_words: int = 5) -> Column:
     return bound(bound(bound(ordered, firsts), packed), densified).cast("array<tinyint>")
 
 
-def _probe_any(j: Column, t: Column) -> Column:
-    return (_probe(j, 0) + t * (_probe(j, 1) - _probe(j, 0))).bitwiseAND(BINS - 1)
-
-
 def as_hex(print_: Column) -> Column:
     digits = F.array(*[F.lit(f"{b:02x}") for b in range(256)])
     return F.array_join(F.transform(print_, lambda v: F.get(digits, v.cast("int") + 128)), "")
@@ -85,8 +81,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same - 1 / 256) / (1 - 1 / 256))
 
 
-def with_next(documents: DataFrame, id_col: str, columns: list[str], rows_per_chunk: int, most_chunks: int) -> DataFrame:
+def with_next(documents: DataFrame, id_col: str, columns: list[str], rows_per_chunk: int, most_chunks: int, more: dict[str, Column] | None = None) -> DataFrame:
     """Each row with the ``columns`` of the next row in ascending id, as next_<column>; the first follows the last.
+    ``more``: columns to add to each row before, which may be among ``columns``.
 
     Ids are cut into chunks at approximate quantiles; each chunk also gets the first row of the next one as
     a guard, so that a window over a chunk finds the follower of its last row too. Texts shuffle once.
@@ -111,7 +108,7 @@ def with_next(documents: DataFrame, id_col: str, columns: list[str], rows_per_ch
     heads = ids.withColumn("_chunk", below(F.col("_k"))).groupBy("_chunk").agg(F.min("_k").alias("_head"))
     ring = heads.select("_chunk", F.coalesce(F.lead("_head").over(by_chunk), F.min("_head").over(Window.orderBy(F.lit(0)))).alias("_k"))
     guards = keyed.drop("_chunk", "_guard").join(F.broadcast(ring), "_k").withColumn("_guard", F.lit(1))  # ring: most_chunks rows at most
-    rows = keyed.unionByName(guards)
+    rows = keyed.unionByName(guards).withColumns(more or {})  # only here, so that guards are told apart before
     follow = Window.partitionBy("_chunk").orderBy("_guard", "_k", *columns)
     led = rows.select("*", *[F.lead(c).over(follow).alias(f"next_{c}") for c in columns])
     return led.where("_guard = 0").drop("_chunk", "_guard", "_k")
@@ -134,8 +131,7 @@ def fingerprints(
     are not read; an empty table gives no rows.
     """
     texts = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    printed = texts.withColumn("print", fingerprint(F.col("text"), shingle_words))
-    led = with_next(printed, "doc_id", ["text", "print"], rows_per_chunk, most_chunks)
+    led = with_next(texts, "doc_id", ["text", "print"], rows_per_chunk, most_chunks, {"print": fingerprint(F.col("text"), shingle_words)})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = led.withColumn("edited", F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half)))

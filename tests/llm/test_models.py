@@ -185,6 +185,21 @@ def test_fingerprints(spark, documents, docs, no_documents):
     assert fingerprints(no_documents).collect() == []
 
 
+def test_fingerprints_of_repeated_ids_and_of_one_row(spark):
+    one = fingerprints(spark.createDataFrame([(3, "a b c d e f")], "doc_id long, text string")).first()
+    assert one.near_edited < 1 and one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"a b c a b c").hexdigest()
+    rows = [(1, "x y"), (1, "a b"), (None, "q"), (2, "")]
+    got = {(r.doc_id, r.n_chars): r.edited_sha256 for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 3 and got[2, 0] == hashlib.sha256(b"").hexdigest() and got[None, 1] == hashlib.sha256(b"q").hexdigest()
+
+
+def test_fingerprints_of_short_texts_tell_their_likeness(spark):
+    r = random.Random(3)
+    texts = [" ".join(str(r.randint(0, 10**6)) for _ in range(n)) for n in (5, 6, 8, 12, 20, 40, 200) for _ in range(12)]
+    rows = fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert np.mean([r.near_next for r in rows]) < 0.02
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(60, 24))
