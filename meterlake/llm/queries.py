@@ -44,7 +44,7 @@ def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return scored.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .boosting import sigmoid
 from .labelled import id_remainder, training_texts
 from .names import free_names
+from .scratch import Scratch
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -31,26 +33,37 @@ def features(word: str) -> list[str]:
     return [word] + [f"{word[:k]}-" for k in PREFIXES if len(word) >= k]
 
 
-def cue_features(texts: list[str], y: np.ndarray, support: int = 3, precision: float = 0.9, most: int = 2000, chance: float = 0.01) -> set[str]:
+#: Texts and labels to learn from; each call reads them anew, one after the other.
+Rows = Callable[[], Iterator[tuple[str, int]]]
+
+
+def cue_features(rows: Rows, support: int = 3, precision: float = 0.9, most: int = 2000, chance: float = 0.01) -> set[str]:
     """Features that tell toxic documents: a token of a toxic document is labelled toxic if it has one.
 
     First those that so many toxic and so few clean documents hold that not one of all features would by
     ``chance``; then, one by one, those that explain most of the toxic documents that are not yet told.
     """
-    held: dict[str, set[int]] = defaultdict(set)
-    clean: Counter[str] = Counter()
-    for i, (text, label) in enumerate(zip(texts, y, strict=True)):
-        own = {f for w in set(tokens(text)) for f in features(w)}
+    own = lambda text: {f for w in set(tokens(text)) for f in features(w)}
+    lists: dict[str, list[int]] = defaultdict(list)
+    toxic = total = 0
+    for text, label in rows():
+        total += 1
         if label:
-            for f in own:
-                held[f].add(i)
-        else:
-            clean.update(own)
+            for f in own(text):
+                lists[f].append(toxic)
+            toxic += 1
+    count = len(lists)
+    held = {f: set(docs) for f, docs in lists.items() if len(docs) >= support}
+    del lists
+    clean: Counter[str] = Counter()
+    for text, label in rows():
+        if not label:
+            clean.update(own(text) & held.keys())
     good = {f: docs for f, docs in held.items() if len(docs) >= support and len(docs) >= precision * (len(docs) + clean[f])}
-    base = min(max(float(np.mean(y)), 1e-3), 0.5) if len(y) else 0.5
-    enough = math.log(max(len(held), 1) / chance) / math.log(1 / base)
+    base = min(max(toxic / total, 1e-3), 0.5) if total else 0.5
+    enough = math.log(max(count, 1) / chance) / math.log(1 / base)
     chosen = set(sorted((f for f, docs in good.items() if len(docs) - 3 * clean[f] >= enough), key=lambda f: (-len(good[f]), f))[:most])
-    left = {i for i in range(len(texts)) if y[i]} - {i for f in chosen for i in good[f]}
+    left = set(range(toxic)) - {i for f in chosen for i in good[f]}
     support = max(support, math.ceil(enough / 2))
     order = sorted(good, key=lambda f: (-len(good[f]), len(f), f))
     while order and len(chosen) < most:
@@ -84,7 +97,7 @@ class ChainField:
 
         A step contracts ratios of messages by a factor that follows from its four scores (Birkhoff)."""
         shrink = abs(math.tanh((self.step[0, 0] + self.step[1, 1] - self.step[0, 1] - self.step[1, 0]) / 4))
-        return 1 if shrink < ERROR else min(4096, math.ceil(math.log(ERROR) / math.log(max(shrink, 1e-9))))
+        return 1 if shrink < ERROR else math.ceil(math.log(ERROR) / math.log(min(max(shrink, 1e-9), 1 - 1e-6)))
 
     def messages(self, unary: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward ratios (state 1 over 0) of each token; ``first`` marks starts of documents.
@@ -92,10 +105,12 @@ class ChainField:
         All documents form one stream, cut into rows of equal length that overlap by reach() at both ends,
         so that the recursion over tokens runs over all rows at once, with work in proportion to the tokens.
         """
-        n, margin = len(unary), self.reach()
+        n = len(unary)
+        margin = min(self.reach(), int(np.diff(np.flatnonzero(np.append(first, True))).max(initial=1)))  # none beyond the longest document
+        width = max(ROW, margin)
         (a, b), (c, d) = np.exp(self.step)
-        rows = max(1, -(-n // ROW))
-        at = (np.arange(rows) * ROW)[:, None] + np.arange(-margin, ROW + margin)
+        rows = max(1, -(-n // width))
+        at = (np.arange(rows) * width)[:, None] + np.arange(-margin, width + margin)
         inside = (at >= 0) & (at < n)
         at = np.clip(at, 0, max(n - 1, 0))
         e = np.where(inside, np.exp(np.clip(unary, -30, 30))[at], 1.0).T.copy()
@@ -113,7 +128,7 @@ class ChainField:
                 s = e[t + 1] * r
                 r = np.where(closes[t], 1.0, (c + d * s) / (a + b * s))
             backward[t] = r
-        cut = slice(margin, margin + ROW)
+        cut = slice(margin, margin + width)
         return forward[cut].T.ravel()[:n], backward[cut].T.ravel()[:n]
 
     def marginals(self, unary: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -125,28 +140,44 @@ class ChainField:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
 
 
-def fit_field(texts: list[str], y: np.ndarray, rounds: int = 120, ridge: float = 1e-3, max_tokens: int = 1_500_000) -> ChainField:
+def stretches_of(cue: np.ndarray, most: int, reach: int = 10) -> list[tuple[int, int]]:
+    """Ranges of a text's tokens, ``most`` in all at most: all of a short text; of a longer one the surroundings of
+    cues (evenly chosen, half of the tokens) and stretches at even distances."""
+    n, width = len(cue), 2 * reach + 1
+    if n <= most:
+        return [(0, n)] if n else []
+    at = np.flatnonzero(cue)
+    near = at[np.unique(np.linspace(0, len(at) - 1, min(len(at), most // (2 * width))).astype(int))] - reach if len(at) else at
+    spread = np.linspace(0, n - width, max(1, most // width - len(near))).astype(int)
+    taken = np.zeros(n + 1, bool)
+    for k in [*near.tolist(), *spread.tolist()]:
+        taken[max(k, 0) : min(k + width, n)] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], taken[:n], [False]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def fit_field(rows: Rows, rounds: int = 120, ridge: float = 1e-3, tokens_per_row: int = 128) -> ChainField:
     """Maximum conditional likelihood of the labelled tokens, by Adam on exact gradients.
 
-    Texts are used in their order until ``max_tokens``, those that hold a toxic token first.
+    Each row gives at most ``tokens_per_row`` tokens (see ``stretches_of``), so that none is left out because
+    another is long; a stretch is a chain of its own.
     """
-    cues = cue_features(texts, y)
+    cues = cue_features(rows)
     if not cues:
         return ChainField()
     vocabulary = {f: k for k, f in enumerate(sorted(cues | {f"{c[:k]}-" for c in cues for k in PREFIXES if len(c.rstrip("-")) >= k}))}
     known: dict[str, tuple[bool, list[int]]] = {}
-    docs, used = [], 0
-    for text, label in sorted(zip(texts, y, strict=True), key=lambda p: -p[1]):
+    docs = []
+    for text, label in rows():
         words = tokens(text)
         for w in words:
             if w not in known:
                 own = features(w)
                 known[w] = any(f in cues for f in own), [vocabulary[f] for f in own if f in vocabulary]
-        if words:
-            docs.append((words, label))
-            used += len(words)
-        if used > max_tokens:
-            break
+        cue = np.fromiter((known[w][0] for w in words), bool, len(words))
+        docs += [(words[a:b], label) for a, b in stretches_of(cue, tokens_per_row)]
+        if len(known) > 500_000:
+            known = {w: known[w] for words, _ in docs for w in words}
     target = np.array([label and known[w][0] for words, label in docs for w in words], float)
     first = np.concatenate([np.arange(len(words)) == 0 for words, _ in docs])
     token, feature = np.array([(i, k) for i, w in enumerate(w for words, _ in docs for w in words) for k in known[w][1]], np.int64).reshape(-1, 2).T
@@ -226,24 +257,32 @@ def score_toxicity(
     held_out: int = 2,
     threshold: float = 0.3,
     max_rows: int = 8_000,
+    tokens_per_row: int = 128,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Add held_out, score (0 to 1, higher: the label 1 is likelier), predicted (1 from ``threshold``) and
     spans (array of start, end, probability: words whose marginal is 0.5 or more, in code points).
 
     Learns from at most ``max_rows`` labelled ids whose CRC-32 leaves another remainder than ``held_out``,
-    and reads nothing but the text. Tokens of toxic documents are labelled by features that only these
+    and reads nothing but the text. The field is fitted to ``tokens_per_row`` tokens of each such row at most;
+    all else reads its whole text. The driver reads these rows one partition after the other. Tokens of toxic documents are labelled by features that only these
     hold; the field is fitted to the labelled tokens, and marginals of its forward-backward pass become a
     document's score by a logistic fit to the labels. A null text scores as an empty one. Without a label
     of either kind the score is one constant. Repeated rows score alike; other columns pass through,
     except that input columns of the four names are replaced. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    sample = training_texts(documents, labels, label_col, modulus, held_out, max_rows, id_col, text_col).toPandas()
-    texts, y = sample["_text"].tolist(), sample["_y"].to_numpy(float)
-    chain = fit_field(texts, y)
-    found = [m for k in range(0, len(texts), 500) for m in document_marginals(chain, texts[k : k + 500], Unaries(chain))]
-    model = spark.sparkContext.broadcast((chain, logistic(evidence(found), y) if len(y) else np.zeros(4)))
-    del sample, texts, found
+    sample = (scratch or Scratch(spark)).table(training_texts(documents, labels, label_col, modulus, held_out, max_rows, id_col, text_col))
+
+    def rows() -> Iterator[tuple[str, int]]:
+        return ((r["_text"], r["_y"]) for r in sample.toLocalIterator())
+
+    chain = fit_field(rows, tokens_per_row=tokens_per_row)
+    told, y, known = [], [], Unaries(chain)
+    for text, label in rows():
+        told.append(evidence(document_marginals(chain, [text], known)))
+        y.append(label)
+    model = spark.sparkContext.broadcast((chain, logistic(np.concatenate(told), np.array(y, float)) if y else np.zeros(4)))
 
     @F.arrow_udf("struct<score: double, spans: array<struct<start: int, end: int, probability: double>>>")
     def scored(text_column: pa.Array) -> pa.Array:
