@@ -38,7 +38,8 @@ def drop_repeated_lines(
     text_col: str = "text",
     min_docs: int = 3,
     min_chars: int = 20,
-    log2_bits: int = 27,
+    log2_bits: int | None = None,
+    most_log2_bits: int = 29,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """Drop lines whose key is in ``min_docs`` or more documents, except in the document of the largest id.
@@ -49,15 +50,20 @@ def drop_repeated_lines(
     repeated line unless no row that holds it has an id. Extra columns of any other name pass through.
 
     1. Every task fills two Bloom filters of ``2**log2_bits`` bits with hashes of its documents' keys, for
-       keys seen once and seen twice; these merge without counting, and the second one is broadcast. Its
-       size is fixed: when a corpus outgrows it more keys become suspects, the result stays exact.
+       keys seen once and seen twice; these merge without counting, and the second one is broadcast. Without
+       ``log2_bits`` they have 8 bits for each line of the corpus, up to ``2**most_log2_bits`` bits (64 MB). A
+       corpus that outgrows this has more suspects and shuffles more; the result stays exact.
     2. Only suspects shuffle, by the key itself, with partial counts before it, so that a key in a third
        of the documents arrives as one row of each task.
-    3. Documents meet the keys that they lose by a join on the id.
+    3. Documents meet the keys that they lose by a join on the id, those without an id on a hash of the text.
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark)
-    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    tag = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0)
+    texts = documents.select(F.col(id_col).alias("_id"), tag.alias("_tag"), F.col(text_col).alias("_text"))
+    if log2_bits is None:
+        lines = texts.agg(F.sum(1 + F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))))).first()[0] or 0
+        log2_bits = min(most_log2_bits, max(16, (8 * lines).bit_length()))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,21 +74,22 @@ def drop_repeated_lines(
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [long_keys(t.as_py(), min_chars) for t in batch.column(1)]
+            keys = [long_keys(t.as_py(), min_chars) for t in batch.column(2)]
             rows = np.repeat(np.arange(len(batch)), [len(k) for k in keys])
             flat = [k for own in keys for k in own]
             hit = bloom.has_bits(filled.value, bloom.positions(key_hashes(flat), log2_bits)) if flat else np.zeros(0, bool)
             found = [k for k, h in zip(flat, hit.tolist(), strict=True) if h]
-            yield pa.record_batch([batch.column(0).take(pa.array(rows[hit])), pa.array(found, pa.binary()).cast(pa.string())], ["_id", "_key"])
+            own = batch.select([0, 1]).take(pa.array(rows[hit]))
+            yield pa.record_batch([*own.columns, pa.array(found, pa.binary()).cast(pa.string())], ["_id", "_tag", "_key"])
 
     id_type = documents.schema[id_col].dataType.simpleString()
-    suspects = scratch.table(texts.mapInArrow(suspected, f"_id {id_type}, _key string"))
+    suspects = scratch.table(texts.mapInArrow(suspected, f"_id {id_type}, _tag long, _key string"))
     counts = suspects.groupBy("_key").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper"))
     repeated = scratch.table(counts.where(F.col("_n") >= min_docs).drop("_n"))  # apart, so that the join can split a hot key
     lost = (
         suspects.join(repeated, "_key")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
-        .groupBy("_id")
+        .groupBy("_id", "_tag")
         .agg(F.collect_set("_key").alias("_lost"))
     )
 
@@ -101,13 +108,14 @@ def drop_repeated_lines(
             dropped.append(len(before) - len(after))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], ["text", "dropped"])
 
-    key, drops, out = free_names(documents, "_key_of", "_drops", "_out")
-    lost = lost.select(F.col("_id").alias(key), F.col("_lost").alias(drops)).hint("shuffle_hash")
-    joined = documents.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).join(lost, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    key, tag_key, own_tag, drops, out = free_names(documents, "_key_of", "_tag_of", "_own_tag", "_drops", "_out")
+    lost = lost.select(F.col("_id").alias(key), F.col("_tag").alias(tag_key), F.col("_lost").alias(drops)).hint("shuffle_hash")
+    rows = documents.withColumn(own_tag, tag).withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
+    joined = rows.join(lost, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own_tag) == F.col(tag_key)), "left")
     return (
         joined.withColumn(out, without(F.col(text_col), F.col(drops)))
         .withColumn("n_lines", F.size(F.split(F.col(text_col), "\n")).cast("long"))
         .withColumn("n_dropped", F.col(f"{out}.dropped"))
         .withColumn(text_col, F.col(f"{out}.text"))
-        .drop(key, drops, out)
+        .drop(key, tag_key, own_tag, drops, out)
     )
