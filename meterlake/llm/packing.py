@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
 LOOK_AHEAD = 64
+CACHE_BYTES = 160 << 20
+#: How the tokenizers split texts that ChunkIds was made for.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class ChunkIds(dict):
@@ -25,16 +30,23 @@ class ChunkIds(dict):
     The pre-tokenizer of these files splits at white space, which it drops, and between letters and other
     characters; so chunks tokenize alone as they do in the text. Most chunks are a Latin word, with a full
     stop or comma at times: these need one entry of the word in lower case, as the normalizer has it, and
-    many words tokenize in one call, as a token of the vocabulary tells where a word ends. ``limit`` bounds
-    the entries kept.
+    many words tokenize in one call, as a token of the vocabulary tells where a word ends. About ``limit``
+    bytes are kept; chunks of over 64 characters are not. Texts of a tokenizer that splits otherwise are
+    tokenized whole.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 700_000):
+    def __init__(self, tokenizer_json: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.limit = limit
+        self.limit, self.used = limit, 0
+        told = json.loads(tokenizer_json)
+        kinds = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == SPLIT and split.get("behavior") == "Removed"
+        if not self.by_chunk:
+            return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -44,16 +56,20 @@ class ChunkIds(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __missing__(self, chunk: str) -> bytes:
-        part = self[chunk] = self.ids([chunk])[0]
-        return part
+        return self.ids([chunk])[0]
+
+    def keep(self, chunks: Iterable[tuple[str, bytes]]) -> None:
+        for chunk, ids in chunks:
+            self[chunk] = ids
+            self.used += 240 + 2 * len(chunk) + len(ids)
 
     def learn(self, chunks: set[str]) -> None:
-        new = {c for c in chunks if c not in self}
-        if len(self) + 2 * len(new) > self.limit:
-            first = dict(islice(self.items(), self.limit // 4))  # what a task meets first is what it meets most
+        if self.used > self.limit:
+            first = list(islice(self.items(), len(self) // 4))  # what a task meets first is what it meets most
             self.clear()
-            self.update(first)
-            new = {c for c in chunks if c not in self}
+            self.used = 0
+            self.keep(first)
+        new = {c for c in chunks if c not in self and len(c) <= 64}
         plain, other = {}, []
         for c in new:
             word = c.lower()
@@ -69,10 +85,20 @@ class ChunkIds(dict):
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             buffer = ids.tobytes()
             parts = [buffer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(words) + 1 else self.ids(words)
-            self.update(zip(words, parts, strict=True))
-        for c, word in plain.items():
-            self[c] = self[word] if len(c) == len(word) else self[word] + self.stops[c[-1]]
-        self.update(zip(other, self.ids(other), strict=True))
+            self.keep(zip(words, parts, strict=True))
+        self.keep([(c, self[word] if len(c) == len(word) else self[word] + self.stops[c[-1]]) for c, word in plain.items()])
+        self.keep(zip(other, self.ids(other), strict=True))
+
+
+_LOADED: dict[int, ChunkIds] = {}
+
+
+def _known(tokenizer: Broadcast) -> ChunkIds:
+    """Read once in each worker, which keeps what it learned for its later tasks."""
+    if hash(tokenizer.value) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[hash(tokenizer.value)] = ChunkIds(tokenizer.value)
+    return _LOADED[hash(tokenizer.value)]
 
 
 def stretches(text: str) -> Iterator[list[str]]:
@@ -129,7 +155,7 @@ def pack(
     their own; the rest of each document is packed within a group. Groups are random but repeatable, by
     a hash of the id, about ``docs_per_group`` documents each, so that a task's memory does not grow with
     the input. Equal lengths are ordered by doc_id. Repeated rows are packed each; rows with a null id are
-    packed with a null doc_id. Other columns are not read; an empty table gives no rows.
+    packed with a null doc_id, spread over the groups by where they were read. Other columns are not read; an empty table gives no rows.
 
     Only spans and check sums shuffle, not ids. The tokenizer file is read once, by the driver.
     """
@@ -137,36 +163,40 @@ def pack(
     tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(tokenizer.value)
+        known = _known(tokenizer)
         last = np.array([end_id], "<u4").tobytes()
+        task, nameless = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for k in range(0, len(batch), LOOK_AHEAD):
                 texts = [t or "" for t in batch.column(1)[k : k + LOOK_AHEAD].to_pylist()]
-                split = [list(stretches(t)) if len(t) < STRETCH else [] for t in texts]
-                known.learn(set().union(*(chunks for own in split for chunks in own)))
+                split = [list(stretches(t)) if known.by_chunk and len(t) < STRETCH else [] for t in texts]
+                if known.by_chunk:
+                    known.learn(set().union(*(chunks for own in split for chunks in own)))
                 for doc, text, own in zip(batch.column(0)[k : k + LOOK_AHEAD].to_pylist(), texts, split, strict=True):
                     parts = []
-                    for chunks in own or stretches(text):
-                        if not own:
+                    for chunks in own or (stretches(text) if known.by_chunk else [[text]]):
+                        if not own and known.by_chunk:
                             known.learn(set(chunks))
                         parts.append(b"".join(map(known.__getitem__, chunks)))
                     parts.append(last)
+                    nameless += doc is None
+                    salt = task << 32 | nameless // 256 if doc is None else 0
                     ids = b"".join(parts)
                     total = len(ids) // 4
-                    out += [(doc, s, min(capacity, total - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), total) for s in range(0, total, capacity)]
+                    out += [(doc, s, min(capacity, total - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), total, salt) for s in range(0, total, capacity)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5,
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6,
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_salt"],
             )
 
     def fill(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(pieces["length"].to_numpy(), capacity)
         pieces["sequence_id"], pieces["offset"] = (int(key[0]) << 32) + bins, offsets
-        return pieces.drop(columns="_group")
+        return pieces.drop(columns=["_group", "_salt"])
 
     groups = max(1, math.ceil(documents.count() / docs_per_group))
-    pieces = documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
-    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    pieces = documents.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, f"{PIECES}, _salt long")
+    grouped = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "_salt"), F.lit(groups)))
     return grouped.groupBy("_group").applyInPandas(fill, f"{PIECES}, sequence_id long, offset long")

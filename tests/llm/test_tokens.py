@@ -51,6 +51,29 @@ def test_packing_of_null_ids_repeats_and_nothing(spark, no_documents):
     assert pack(no_documents, WORD_BPE).collect() == []
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_of_long_texts_and_other_tokenizers(spark, file, monkeypatch):
+    monkeypatch.setattr("meterlake.llm.packing.STRETCH", 1000)
+    r = random.Random(5)
+    own = {1: " ".join(r.choice(["One", "two's", "3,", "vier\n", "日本"]) for _ in range(4000)), 2: "abc" * 3000, 3: "x\n\ny  z"}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
+    got = pack(spark.createDataFrame(list(own.items()), "doc_id long, text string"), public_tokenizers.path(file)).collect()
+    for i, text in own.items():
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        pieces = sorted((p.start, p.length, p.ids_crc32) for p in got if p.doc_id == i)
+        assert [(a, n) for a, n, _ in pieces] == [(k, min(2048, len(ids) - k)) for k in range(0, len(ids), 2048)]
+        assert all(c == zlib.crc32(struct.pack(f"<{n}I", *ids[a : a + n])) for a, n, c in pieces)
+
+
+def test_padding_is_little_and_rows_without_an_id_are_spread(spark):
+    r = random.Random(6)
+    rows = [(k if k % 3 else None, " ".join(["word"] * min(2000, int(r.expovariate(1 / 300))))) for k in range(3000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD_BPE, docs_per_group=500).collect()
+    used, sequences = sum(p.length for p in got), len({p.sequence_id for p in got})
+    assert used > 0.97 * 2048 * sequences
+    assert len({p.sequence_id >> 32 for p in got if p.doc_id is None}) > 2
+
+
 def test_first_fit_is_that_of_a_plain_search():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 101, 400))[::-1]
@@ -65,7 +88,7 @@ def test_first_fit_is_that_of_a_plain_search():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(ODD, max_size=5))
 def test_chunks_tokenize_alone(parts):
-    known = ChunkIds(Path(WORD_BPE).read_text(encoding="utf-8"), limit=30) if not hasattr(test_chunks_tokenize_alone, "known") else test_chunks_tokenize_alone.known
+    known = ChunkIds(Path(WORD_BPE).read_text(encoding="utf-8"), limit=9000) if not hasattr(test_chunks_tokenize_alone, "known") else test_chunks_tokenize_alone.known
     test_chunks_tokenize_alone.known = known
     for text in parts:
         chunks = [c for own in stretches(text) for c in own]
