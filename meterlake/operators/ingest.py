@@ -15,8 +15,12 @@ MAX_NAME = 200
 QUARANTINE_NAMES, QUARANTINE_ROWS = 100, 100_000
 
 
-def reject_reason() -> Column:
-    """The first rule that an event breaks; null for a valid one."""
+def reject_reason(canonical_name: Column | None = None, supplied_key: Column | None = None) -> Column:
+    """The first rule that an event breaks; null for a valid one.
+
+    With its canonical name, an event under a legacy alias is rejected, as its key was made from that name;
+    with the key that came with it, one whose key isn't that of its canonical or, if unknown, its own name.
+    """
     value = F.col("value")
     rules = [
         ("missing_tenant", F.coalesce(F.col("tenant_id"), F.lit("")) == ""),
@@ -26,6 +30,12 @@ def reject_reason() -> Column:
         ("bad_timestamp", F.col("timestamp").isNull()),
         ("not_finite", F.isnan(value) | (F.abs(value) == float("inf"))),
     ]
+    name = F.trim("metric_type")
+    if supplied_key is not None:
+        known = name if canonical_name is None else F.coalesce(canonical_name, name)
+        rules.append(("wrong_key", supplied_key.isNotNull() & (supplied_key != event_key(known))))
+    if canonical_name is not None:
+        rules.append(("legacy_alias", canonical_name.isNotNull() & (canonical_name != name)))
     return reduce(lambda otherwise, rule: F.when(rule[1], F.lit(rule[0])).otherwise(otherwise), reversed(rules), F.lit(None).cast("string"))
 
 
@@ -40,15 +50,19 @@ def new_only(events: DataFrame, stored: DataFrame) -> DataFrame:
     return events.join(stored.select("tenant_id", "idempotency_key", "timestamp"), ["tenant_id", "idempotency_key", "timestamp"], "left_anti")
 
 
+def event_key(metric: Column) -> Column:
+    return idempotency_key(F.col("tenant_id"), F.col("source_id"), metric, F.col("timestamp").cast("string"))
+
+
 def keyed(events: DataFrame) -> DataFrame:
-    return events.withColumn("idempotency_key", idempotency_key(F.col("tenant_id"), F.col("source_id"), F.col("metric_type"), F.col("timestamp").cast("string")))
+    return events.withColumn("idempotency_key", event_key(F.col("metric_type")))
 
 
 def mapped(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events under the rules of their source: map renames and converts, adopt keeps under a target name,
     discard and keep are told. The columns action and metric_type hold the outcome; unknown names without a
     rule have the action quarantine."""
-    told = canonical(events).join(F.broadcast(rules), ["tenant_id", "source_id", "metric_type"], "left")  # at most the rules that users wrote
+    told = canonical(events).join(rules, ["tenant_id", "source_id", "metric_type"], "left")
     known = F.col("canonical").isNotNull()
     action = F.when(known, "accept").otherwise(F.coalesce("action", F.lit("quarantine")))
     target = F.when(known, F.col("canonical")).when(F.col("action").isin("map", "adopt"), F.col("target_metric_type")).otherwise(F.col("metric_type"))
@@ -75,17 +89,20 @@ def quarantine_split(unknown: DataFrame, names: int = QUARANTINE_NAMES, rows: in
 def preaggregated(events: DataFrame, resolution: str) -> DataFrame:
     """Events of each source, metric and bucket as one: the registry's aggregate, how many there were and their
     spread. A provider's total (is_total) replaces the other samples of its day where the metric is summed."""
-    known = with_definition(events, ("aggregation",))
-    day = F.date_trunc("day", "timestamp")
-    total_day = F.max(F.when(F.col("is_total") & (F.col("aggregation") == "sum"), F.lit(1)).otherwise(0)).over(Window.partitionBy("tenant_id", "source_id", "metric_type", day))
-    counted = known.withColumn("_total_day", total_day).where((F.col("_total_day") == 0) | F.col("is_total"))
-    bucket = F.when(F.col("_total_day") == 1, day).otherwise(F.date_trunc(resolution, "timestamp"))
-    order = F.struct("timestamp", "point_id")
-    states = counted.groupBy("tenant_id", "source_id", "metric_type", "aggregation", "_total_day", bucket.cast("timestamp_ntz").alias("bucket_start")).agg(
-        F.sum("value").alias("_sum"), F.max("value").alias("bucket_max"), F.min("value").alias("bucket_min"), F.avg("value").alias("_avg"), F.max_by("value", order).alias("_last"), F.count("*").alias("bucket_samples")
+    keys, day, order = ("tenant_id", "source_id", "metric_type", "aggregation"), F.date_trunc("day", "timestamp"), F.struct("timestamp", "point_id")
+    bucket = F.date_trunc(resolution, "timestamp")
+    # Samples and totals of each bucket apart; what follows sees these states, not points.
+    states = with_definition(events, ("aggregation",)).groupBy(*keys, day.alias("_day"), bucket.alias("_bucket"), F.coalesce("is_total", F.lit(False)).alias("_total")).agg(
+        F.sum("value").alias("_sum"), F.max("value").alias("_max"), F.min("value").alias("_min"), F.count("value").alias("_values"), F.count("*").alias("_n"), F.max_by("value", order).alias("_last"), F.max(order).alias("_at")
+    )
+    total_day = F.max(F.col("_total") & (F.col("aggregation") == "sum")).over(Window.partitionBy(*keys, "_day"))
+    counted = states.withColumn("provider_total", total_day).where(~F.col("provider_total") | F.col("_total"))
+    merged = counted.groupBy(*keys, "provider_total", F.when(F.col("provider_total"), F.col("_day")).otherwise(F.col("_bucket")).cast("timestamp_ntz").alias("bucket_start")).agg(
+        F.sum("_sum").alias("_sum"), F.max("_max").alias("bucket_max"), F.min("_min").alias("bucket_min"), F.sum("_values").alias("_values"), F.sum("_n").alias("bucket_samples"), F.max_by("_last", "_at").alias("_last")
     )
-    value = F.when((F.col("_total_day") == 1) | (F.col("aggregation") == "last"), F.col("_last")).when(F.col("aggregation") == "sum", F.col("_sum")).when(F.col("aggregation") == "max", F.col("bucket_max")).otherwise(F.col("_avg"))
-    return states.withColumn("value", value).withColumn("provider_total", F.col("_total_day") == 1).drop("_sum", "_avg", "_last", "_total_day")
+    kind = F.col("aggregation")
+    value = F.when(F.col("provider_total") | (kind == "last"), F.col("_last")).when(kind == "sum", F.col("_sum")).when(kind == "max", F.col("bucket_max")).otherwise(F.try_divide("_sum", "_values"))
+    return merged.withColumn("value", value).drop("_sum", "_values", "_last")
 
 
 def exploded(batches: DataFrame) -> DataFrame:
@@ -101,11 +118,11 @@ def purgeable(points: DataFrame, as_of: str, overrides: DataFrame | None = None)
     # A metric that the registry doesn't have is kept for 90 days; those that it keeps for good have no number.
     days = F.when(F.col("category") == "custom", 90).otherwise(F.col("retention_days"))
     if overrides is not None:
-        own = overrides.select("tenant_id", "metric_type", F.col("raw_retention_days").alias("_own"))
-        known = known.join(F.broadcast(own), ["tenant_id", "metric_type"], "left")
-        days = F.coalesce("_own", days)
+        own = overrides.select("tenant_id", "metric_type", F.col("raw_retention_days").alias("_own"), F.lit(True).alias("_stated"))
+        known = known.join(own, ["tenant_id", "metric_type"], "left")
+        days = F.when(F.col("_stated"), F.col("_own")).otherwise(days)  # a stated null keeps points for good
     age = F.datediff(F.lit(as_of).cast("date"), F.to_date("timestamp"))
-    return known.where(age > days)
+    return known.where(age > days).select(points.columns)
 
 
 def field_reports(reports: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import with_definition
+
 
 def merge_adjacent(ranges: DataFrame, *keys: str) -> DataFrame:
     """Ranges that overlap or touch become one."""
@@ -33,30 +35,70 @@ def subtract(outer: DataFrame, holes: DataFrame, *keys: str) -> DataFrame:
 
 
 def intersect(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """The parts that both sides' ranges share."""
-    other = right.withColumnsRenamed({"start": "_from", "end": "_to"})
-    met = left.join(other, [*keys]).where((F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")))
-    return met.select(*keys, F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
+    """The parts that both sides' ranges share. They meet by day, on the day on which the shared part begins."""
+    by_day = lambda r: r.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    other = by_day(right).withColumnsRenamed({"start": "_from", "end": "_to"})
+    shared = F.greatest("start", "_from")
+    met = by_day(left).join(other, [*keys, "_day"]).where((F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")) & (F.col("_day") == F.to_date(shared)))
+    return met.select(*keys, shared.alias("start"), F.least("end", "_to").alias("end"))
+
+
+def covered_by_all(ranges: DataFrame, expected: DataFrame, of: str, *keys: str) -> DataFrame:
+    """Where the ranges of every ``of`` (a column) that ``expected`` has for a key overlap, so that none's holes are
+    hidden by another; one without ranges leaves nothing covered."""
+    merged = merge_adjacent(ranges, *keys, of)
+    wanted = expected.select(*keys, of).distinct().groupBy(*keys).agg(F.count("*").alias("_of"))
+    edges = merged.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    steps = edges.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.step").alias("_step"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    open_ = steps.withColumn("_open", F.sum("_step").over(order)).withColumn("end", F.lead("start").over(order))
+    found = open_.join(wanted, [*keys]).where(F.col("_open") == F.col("_of")).select(*keys, "start", "end")
+    return merge_adjacent(found, *keys)
 
 
 def deltas(points: DataFrame, *keys: str) -> DataFrame:
-    """Seconds since the point before, for distinct times."""
-    times = points.select(*keys, "timestamp").distinct()
-    order = Window.partitionBy(*keys).orderBy("timestamp")
-    before = F.lag("timestamp").over(order)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return times.withColumn("previous", before).withColumn("seconds", (micros(F.col("timestamp")) - micros(before)) / 1e6)
+    """Seconds since the point before, for distinct times.
+
+    Points are ordered within a day of a key; the first of a day follows the last of its key's day before,
+    which is told from one row for each day, so that no window holds the whole history of a key.
+    """
+    times = points.select(*keys, "timestamp").distinct().withColumn("_day", F.to_date("timestamp"))
+    days = times.groupBy(*keys, "_day").agg(F.max("timestamp").alias("_last"))
+    ended = days.select(*keys, "_day", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day")).alias("_before"))
+    within = times.withColumn("previous", F.lag("timestamp").over(Window.partitionBy(*keys, "_day").orderBy("timestamp")))
+    joined = within.join(ended, [*keys, "_day"]).withColumn("previous", F.coalesce("previous", "_before")).drop("_day", "_before")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return joined.withColumn("seconds", (micros("timestamp") - micros("previous")) / 1e6)
+
+
+def _usual(steps: DataFrame, *keys: str) -> DataFrame:
+    return steps.where("seconds > 0").groupBy(*keys).agg(F.median("seconds").alias("interval_seconds"), F.count("*").alias("intervals"))
 
 
 def expected_interval(points: DataFrame, *keys: str) -> DataFrame:
     """The median of the seconds between points."""
-    return deltas(points, *keys).where("seconds > 0").groupBy(*keys).agg(F.median("seconds").alias("interval_seconds"), F.count("*").alias("intervals"))
+    return _usual(deltas(points, *keys), *keys)
 
 
-def cadence_gaps(points: DataFrame, *keys: str, tolerance: float = 2.5) -> DataFrame:
-    """Stretches between points that are longer than ``tolerance`` times the usual interval."""
-    usual = expected_interval(points, *keys)
-    return deltas(points, *keys).join(usual, [*keys]).where(F.col("seconds") > tolerance * F.col("interval_seconds")).select(*keys, F.col("previous").alias("start"), F.col("timestamp").alias("end"), "seconds")
+def of_cadence(points: DataFrame, cadence: str) -> DataFrame:
+    """Points of metrics that are expected at a cadence; of others a gap tells nothing."""
+    return with_definition(points, ("cadence",)).where(F.col("cadence") == cadence).drop("cadence")
+
+
+def cadence_gaps(points: DataFrame, start: str, end: str, *keys: str, tolerance: float = 2.5) -> DataFrame:
+    """Stretches of a window that are longer than ``tolerance`` times the usual interval: between points, before the
+    first and after the last. Keys that have points elsewhere and none in the window miss all of it; those with a
+    single time there have no usual interval and no gaps."""
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    within = points.where(F.col("timestamp").between(low, high))
+    steps = deltas(within, *keys)
+    ends = within.groupBy(*keys).agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    seconds = (F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))) / 1e6
+    edges = ends.select(*keys, F.explode(F.array(F.struct(low.alias("start"), F.col("_first").alias("end")), F.struct(F.col("_last").alias("start"), high.alias("end")))).alias("e")).select(*keys, "e.*")
+    spans = steps.where("previous IS NOT NULL").select(*keys, F.col("previous").alias("start"), F.col("timestamp").alias("end")).unionByName(edges).withColumn("seconds", seconds)
+    gaps = spans.join(_usual(steps, *keys), [*keys]).where(F.col("seconds") > tolerance * F.col("interval_seconds")).select(*keys, "start", "end", "seconds")
+    silent = points.select(*keys).distinct().join(ends, [*keys], "left_anti").select(*keys, low.alias("start"), high.alias("end")).withColumn("seconds", seconds)
+    return gaps.unionByName(silent)
 
 
 def daily_gaps(points: DataFrame, start: str, end: str, *keys: str, offset_minutes: int = 0) -> DataFrame:
@@ -68,12 +110,15 @@ def daily_gaps(points: DataFrame, start: str, end: str, *keys: str, offset_minut
 
 
 def current_streak(days: DataFrame, today: str, *keys: str) -> DataFrame:
-    """Days in a row up to today, or to yesterday as today isn't over; 0 where the last row of days ended before."""
-    distinct = days.select(*keys, "day").distinct()
+    """Days in a row up to today, or to yesterday as today isn't over; 0 where the last row of days ended before.
+
+    Rows are days on which something was; with a column ``count`` only those count where it is above zero."""
+    distinct = (days.where(F.col("count") > 0) if "count" in days.columns else days).select(*keys, "day").distinct()
     island = F.date_sub("day", F.row_number().over(Window.partitionBy(*keys).orderBy("day")))
     runs = distinct.where(F.col("day") <= F.lit(today).cast("date")).withColumn("_island", island).groupBy(*keys, "_island").agg(F.count("*").alias("_n"), F.max("day").alias("_last"))
     alive = F.when(F.col("_last") >= F.date_sub(F.lit(today).cast("date"), 1), F.col("_n")).otherwise(0)
-    return runs.groupBy(*keys).agg(F.max(alive).alias("streak"))
+    found = runs.groupBy(*keys).agg(F.max(alive).alias("streak"))
+    return days.select(*keys).distinct().join(found, [*keys], "left").withColumn("streak", F.coalesce("streak", F.lit(0))) if keys else found
 
 
 def bucket_counts(points: DataFrame, seconds: int, *keys: str) -> DataFrame:

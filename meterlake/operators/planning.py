@@ -77,7 +77,11 @@ def sync_window(now: dt.datetime, poll_hours: float, lookback: dt.timedelta, las
     start, reason = last_end - dt.timedelta(hours=overlap_hours(poll_hours)), "overlap"
     if earliest_gap is not None and earliest_gap < start:
         start, reason = earliest_gap, "gap"
-    return (min(max(start, floor), now), now), "lookback" if start < floor else reason
+    if start < floor:
+        start, reason = floor, "lookback"
+    if start >= now:  # a last success that is stamped ahead
+        start, reason = now - dt.timedelta(hours=overlap_hours(poll_hours)), "recheck"
+    return (start, now), reason
 
 
 def progress(processed: Column, expected: Column) -> Column:
@@ -97,6 +101,38 @@ def stale(reports: DataFrame, high_water: DataFrame) -> DataFrame:
     return joined.withColumn("stale", F.coalesce("covers_through", F.lit("1970-01-01").cast("timestamp_ntz")) < F.col("high_water")).withColumn("stale", F.coalesce("stale", F.lit(False)))
 
 
+#: Windows over so many days wait for the reader's night, in hours of theirs, at most so long.
+DEFER_OVER_DAYS, QUIET_HOURS, MOST_DEFERRED_HOURS, MOST_OFFSET_MINUTES = 90, (1, 5), 36, 14 * 60
+
+
+def deferred(now: str, finished_at: Column, window_days: Column, offset_minutes: Column) -> Column:
+    """Whether a scheduled report of a long window waits for the reader's night; never the first one, never for
+    longer than MOST_DEFERRED_HOURS, never for a reader whose hour isn't known."""
+    at = F.lit(now).cast("timestamp_ntz")
+    waited = (F.unix_seconds(at.cast("timestamp")) - F.unix_seconds(finished_at.cast("timestamp"))) / 3600
+    hour = F.hour(at + F.make_dt_interval(mins=F.when(F.abs(offset_minutes) <= MOST_OFFSET_MINUTES, offset_minutes)))
+    quiet = (hour >= QUIET_HOURS[0]) & (hour < QUIET_HOURS[1])
+    return F.coalesce((window_days > DEFER_OVER_DAYS) & (waited < MOST_DEFERRED_HOURS) & ~quiet, F.lit(False))
+
+
+def due_reports(runs: DataFrame, imports: DataFrame, kinds: list[str], now: str, most_age_hours: float, stuck_hours: float) -> DataFrame:
+    """Reports to compute anew: tenant_id, kind and reason (no_report, new_data or max_age).
+
+    ``runs``: tenant_id, kind, status, started_at, finished_at, covers_through, window_days, offset_minutes.
+    ``imports``: tenant_id, status, finished_at. A tenant without a successful import has nothing to report;
+    a report that runs is left alone unless it is stuck. The newest successful run speaks for a kind.
+    """
+    hours = lambda c: (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(c).cast("timestamp"))) / 3600
+    water = imports.where("status = 'success'").groupBy("tenant_id").agg(F.max("finished_at").alias("high_water"))
+    running = runs.where(F.col("status").isin("pending", "running") & (hours("started_at") <= stuck_hours)).select("tenant_id", "kind").distinct()
+    last = runs.where("status = 'success'").groupBy("tenant_id", "kind").agg(F.max(F.struct("finished_at", "window_days", "offset_minutes", "covers_through")).alias("last"))
+    wanted = water.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).join(running, ["tenant_id", "kind"], "left_anti").join(last, ["tenant_id", "kind"], "left")
+    behind = F.col("last.covers_through").isNull() | (F.col("last.covers_through") < F.col("high_water"))
+    reason = F.when(F.col("last").isNull(), "no_report").when(behind, "new_data").when(hours("last.finished_at") >= most_age_hours, "max_age")
+    waits = deferred(now, F.col("last.finished_at"), F.col("last.window_days"), F.col("last.offset_minutes"))
+    return wanted.withColumn("reason", reason).where(F.col("reason").isNotNull() & ~waits).select("tenant_id", "kind", "reason")
+
+
 def pending_backfills(reports: DataFrame, today: str, most_days: int = 90) -> DataFrame:
     """Fields that are supported now but whose history wasn't: the window of each source, at most ``most_days``."""
     open_ = reports.where(F.col("supported_since").isNotNull() & F.col("history_backfilled_at").isNull())

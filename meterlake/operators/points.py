@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,9 +49,8 @@ def json_text(key: str, column: str = "metadata") -> Column:
 
 def json_number(key: str, column: str = "metadata") -> Column:
     """A member of the metadata that is a JSON number; null for any other kind, text that looks like one included."""
-    raw = F.get_json_object(F.to_json(F.struct(F.from_json(column, f"{key} string").alias("x"))), f"$.x.{key}")
-    quoted = F.regexp_extract(F.col(column), f'"{key}"\\s*:\\s*(.)', 1) == '"'
-    return F.when(~quoted, raw.try_cast("double"))
+    member = F.try_variant_get(F.try_parse_json(F.col(column)), f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(member).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(member, "$", "double"))
 
 
 def any_metric(names: Iterable[str], prefixes: Iterable[str] = ()) -> Column:
@@ -86,6 +85,11 @@ def is_purgeable() -> Column:
     return stated.isNull() | stated.isin("raw", "second")
 
 
+def without_tenant(points: DataFrame, tenant: str) -> DataFrame:
+    """What is left of a table once a tenant's rows are wiped; rows of no tenant stay."""
+    return points.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))
+
+
 def page(points: DataFrame, size: int, after: tuple[str, int] | None = None) -> DataFrame:
     """A page in ascending order of (timestamp, point_id), after a key, with one row more to tell of a next page."""
     if after:
@@ -100,7 +104,17 @@ def ranked(points: DataFrame, count: int, descending: bool = True) -> DataFrame:
     return points.where(F.col("value").isNotNull()).orderBy(value, F.col("point_id")).limit(count)
 
 
-def newest_each(points: DataFrame, *keys: str) -> DataFrame:
-    """The last point of each key, by (timestamp, point_id)."""
-    order = Window.partitionBy(*keys).orderBy(F.col("timestamp").desc(), F.col("point_id").desc())
-    return points.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+def newest_each(points: DataFrame, *keys: str, prefer: Column | None = None) -> DataFrame:
+    """The last point of each key, by (timestamp, point_id); among those of the largest ``prefer``, where stated."""
+    rest = [c for c in points.columns if c not in keys]
+    order = F.struct(*([prefer.alias("prefer")] if prefer is not None else []), "timestamp", "point_id")
+    return points.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in points.columns])
+
+
+#: What speaks for a bucket if several do, the worst first.
+RESOLUTION_RANK = ("raw", "second", "minute", "hour", "day")
+
+
+def preference(resolution: Column, from_provider: Column) -> Column:
+    """A coarser resolution before a finer one, what a provider states before what is derived."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(r) for r in RESOLUTION_RANK]), resolution), F.lit(0)) * 2 + F.coalesce(from_provider, F.lit(False)).cast("int")

@@ -25,11 +25,16 @@ def partial_states(value: Column, at: Column, weight: Column | None = None, orde
         F.max(value).alias("max_value"),
         F.min(F.when(there, at)).alias("first_timestamp"),
         F.max(F.when(there, at)).alias("last_timestamp"),
+        F.min(F.when(there, order)).alias("first_key"),
+        F.max(F.when(there, order)).alias("last_key"),
         F.min_by(value, F.when(there, order)).alias("first_value"),
         F.max_by(value, F.when(there, order)).alias("last_value"),
     ]
 
 
+STATE = ("sample_count", "sum_value", "weighted_sum", "weight", "min_value", "max_value", "first_timestamp", "last_timestamp", "first_key", "last_key", "first_value", "last_value")
+
+
 def merged_states() -> list[Column]:
     return [
         F.sum("sample_count").alias("sample_count"),
@@ -40,8 +45,10 @@ def merged_states() -> list[Column]:
         F.max("max_value").alias("max_value"),
         F.min("first_timestamp").alias("first_timestamp"),
         F.max("last_timestamp").alias("last_timestamp"),
-        F.min_by("first_value", "first_timestamp").alias("first_value"),
-        F.max_by("last_value", "last_timestamp").alias("last_value"),
+        F.min("first_key").alias("first_key"),
+        F.max("last_key").alias("last_key"),
+        F.min_by("first_value", "first_key").alias("first_value"),
+        F.max_by("last_value", "last_key").alias("last_value"),
     ]
 
 
@@ -89,7 +96,7 @@ def uncovered(points: DataFrame, rollups: DataFrame, resolution: str) -> DataFra
 
 def hybrid(points: DataFrame, rollups: DataFrame, resolution: str) -> DataFrame:
     """Values of each bucket from rollups and, where these don't cover them, from points; states are merged."""
-    columns = [*KEYS, "bucket_start", *[c for c in ("sample_count", "sum_value", "weighted_sum", "weight", "min_value", "max_value", "first_timestamp", "last_timestamp", "first_value", "last_value")]]
+    columns = [*KEYS, "bucket_start", *STATE]
     rest = rollup(uncovered(points, rollups, resolution), resolution)
     return merge(rollups.select(columns).unionByName(rest.select(columns)), *KEYS, "bucket_start")
 
@@ -99,5 +106,5 @@ def summary(points: DataFrame, rollups: DataFrame, tenant: str) -> DataFrame:
     own = points.where(F.col("tenant_id") == tenant)
     states = rollups.where(F.col("tenant_id") == tenant)
     rest = rollup(uncovered(own, states, "day"), "day")
-    columns = ["metric_type", "sample_count", "sum_value", "weighted_sum", "weight", "min_value", "max_value", "first_timestamp", "last_timestamp", "first_value", "last_value"]
+    columns = ["metric_type", *STATE]
     return merge(states.select(columns).unionByName(rest.select(columns)), "metric_type")

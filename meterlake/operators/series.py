@@ -40,7 +40,7 @@ def primary_source(covered: DataFrame, preferences: DataFrame | None = None) ->
         covered = covered.withColumn("preferred", F.lit(False))
     else:
         wanted = preferences.select("tenant_id", "metric_type", F.col("primary_source_id").alias("_wanted"))
-        covered = covered.join(F.broadcast(wanted), ["tenant_id", "metric_type"], "left").withColumn("preferred", F.coalesce(F.col("_wanted") == F.col("source_id"), F.lit(False))).drop("_wanted")
+        covered = covered.join(wanted, ["tenant_id", "metric_type"], "left").withColumn("preferred", F.coalesce(F.col("_wanted") == F.col("source_id"), F.lit(False))).drop("_wanted")
     order = Window.partitionBy("tenant_id", "metric_type").orderBy(F.col("preferred").desc(), F.col("samples").desc(), "source_id")
     reason = F.when(F.col("preferred"), "preference").when(F.col("_of") == 1, "only_source").otherwise("coverage")
     ranked = covered.withColumn("_n", F.row_number().over(order)).withColumn("_of", F.count("*").over(Window.partitionBy("tenant_id", "metric_type")))

@@ -41,7 +41,7 @@ def session_list(sets: DataFrame) -> DataFrame:
     return sets.groupBy("tenant_id", "session_id").agg(
         F.min("at").alias("start"),
         F.count("*").alias("sets"),
-        F.count_distinct("exercise_title").alias("exercises"),
+        F.size(F.collect_set("exercise_title")).cast("long").alias("exercises"),  # a session is small
         F.array_join(F.sort_array(F.collect_set("muscle_group")), ",").alias("muscle_groups"),
         F.sum(F.col("weight_kg") * F.col("reps")).alias("volume"),
     )
@@ -84,12 +84,15 @@ def within_windows(sessions: DataFrame, points: DataFrame, pad_seconds: int = 0)
 
 
 def decimate(points: DataFrame, seconds: int, *keys: str, least: int = 3, most: int = 8) -> DataFrame:
-    """Means and envelopes of buckets, for the metrics that have enough points, the densest first."""
-    counts = points.groupBy("metric_type").agg(F.count("*").alias("points")).where(F.col("points") >= least)
-    densest = counts.orderBy(F.col("points").desc(), "metric_type").limit(most)
+    """Means and envelopes of buckets, for the ``most`` densest metrics of each key that have enough points.
+
+    Points are aggregated once; what is densest is told from the buckets."""
     at = F.floor(F.unix_seconds(F.col("timestamp").cast("timestamp")) / seconds) * seconds
-    buckets = points.join(F.broadcast(densest.select("metric_type")), "metric_type", "left_semi")  # ``most`` rows
-    return buckets.groupBy("metric_type", *keys, at.alias("bucket_epoch")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    buckets = points.groupBy("metric_type", *keys, at.alias("bucket_epoch")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), F.count("*").alias("n"))
+    counts = buckets.groupBy("metric_type", *keys).agg(F.sum("n").alias("_points")).where(F.col("_points") >= least)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_points").desc(), "metric_type"))
+    densest = counts.withColumn("_rank", rank).where(F.col("_rank") <= most).select("metric_type", *keys)
+    return buckets.join(densest, ["metric_type", *keys], "left_semi")
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

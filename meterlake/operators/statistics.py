@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import with_definition
 from ..functions.significance import correlation_t, p_value, with_q_values
 
 
-def aligned(series: DataFrame, *keys: str, lag_days: int = 0) -> DataFrame:
-    """Pairs of metrics (a before b by name) on shared days; b may lag behind a."""
+def aligned(series: DataFrame, *keys: str, lags: tuple[int, ...] = (0,)) -> DataFrame:
+    """Pairs of metrics (a before b by name) on shared days; b may lag behind a, by each of ``lags`` days."""
     a = series.select(*keys, "day", F.col("metric_type").alias("metric_a"), F.col("value").alias("x"))
-    b = series.select(*keys, F.date_sub("day", lag_days).alias("day"), F.col("metric_type").alias("metric_b"), F.col("value").alias("y"))
+    lagged = series.withColumn("lag_days", F.explode(F.array(*map(F.lit, lags))))
+    b = lagged.select(*keys, "lag_days", F.date_sub("day", F.col("lag_days")).alias("day"), F.col("metric_type").alias("metric_b"), F.col("value").alias("y"))
     return a.join(b, [*keys, "day"]).where("metric_a < metric_b")
 
 
 def with_ranks(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Mid-ranks of both values among the pair's days."""
-    group = [*keys, "metric_a", "metric_b"]
+    """Mid-ranks of both values among the pair's days; one sort for each side."""
+    group = [*keys, "lag_days", "metric_a", "metric_b"]
 
     def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2
+        order = Window.partitionBy(*group).orderBy(c)
+        return F.rank().over(order) + (F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
     return pairs.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
 
@@ -32,10 +35,10 @@ def _corr(x: str, y: str) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))))
 
 
-def correlations(series: DataFrame, *keys: str, min_days: int = 10, lag_days: int = 0) -> DataFrame:
-    """Pearson and Spearman of each pair with enough shared days; the weaker of the two is the headline."""
-    ranked = with_ranks(aligned(series, *keys, lag_days=lag_days), *keys)
-    told = ranked.groupBy(*keys, "metric_a", "metric_b").agg(F.count("*").alias("n"), _corr("x", "y").alias("pearson"), _corr("rx", "ry").alias("spearman")).where(F.col("n") >= min_days)
+def correlations(series: DataFrame, *keys: str, min_days: int = 10, lags: tuple[int, ...] = (0,)) -> DataFrame:
+    """Pearson and Spearman of each pair and lag with enough shared days; the weaker of the two is the headline."""
+    ranked = with_ranks(aligned(series, *keys, lags=lags), *keys)
+    told = ranked.groupBy(*keys, "lag_days", "metric_a", "metric_b").agg(F.count("*").alias("n"), _corr("x", "y").alias("pearson"), _corr("rx", "ry").alias("spearman")).where(F.col("n") >= min_days)
     weaker = F.when(F.abs("pearson") <= F.abs("spearman"), F.col("pearson")).otherwise(F.col("spearman"))
     return told.withColumn("headline", weaker).withColumn("strength", strength_label(F.col("headline")))
 
@@ -54,23 +57,25 @@ def tested_correlations(series: DataFrame, *keys: str, min_days: int = 10) -> Da
 
 def best_lag(series: DataFrame, *keys: str, most: int = 7, min_days: int = 10, least: float = 0.3) -> DataFrame:
     """The lag of 1 to ``most`` days at which b follows a best, by the size of Spearman's rho."""
-    lags = [correlations(series, *keys, min_days=min_days, lag_days=k).withColumn("lag_days", F.lit(k)) for k in range(1, most + 1)]
-    every = lags[0]
-    for more in lags[1:]:
-        every = every.unionByName(more)
-    order = Window.partitionBy(*keys, "metric_a", "metric_b").orderBy(F.round(F.abs("spearman"), 9).desc(), "lag_days")
-    return every.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) & (F.abs("spearman") >= least)).drop("_n")
+    every = correlations(series, *keys, min_days=min_days, lags=tuple(range(1, most + 1)))
+    group = [*keys, "metric_a", "metric_b"]
+    rest = [c for c in every.columns if c not in group]
+    best = every.groupBy(*group).agg(F.max_by(F.struct(*rest), F.struct(F.round(F.abs("spearman"), 9), -F.col("lag_days"))).alias("_best"))
+    return best.select(*group, "_best.*").where(F.abs("spearman") >= least)
 
 
 def trend(series: DataFrame, *keys: str, min_days: int = 7) -> DataFrame:
-    """Least squares over the position of each day, gaps ignored; the direction by a tenth of a deviation."""
+    """Least squares over the position of each day, gaps ignored. Flat is a slope for each day below a tenth of the
+    deviation, or a fit with r2 below 0.1; the change over all days is in percent of the mean."""
     numbered = series.withColumn("i", (F.row_number().over(Window.partitionBy(*keys).orderBy("day")) - 1).cast("double"))
     fit = numbered.groupBy(*keys).agg(
         F.count("*").alias("n"), F.regr_slope("value", "i").alias("slope"), F.regr_intercept("value", "i").alias("intercept"), F.regr_r2("value", "i").alias("r2"), F.stddev_pop("value").alias("deviation"), F.avg("value").alias("mean")
     )
-    change = F.col("slope") * (F.col("n") - 1)
-    direction = F.when(F.abs(change) < 0.1 * F.col("deviation"), "flat").when(change > 0, "up").otherwise("down")
-    return fit.where(F.col("n") >= min_days).withColumn("direction", direction).withColumn("change", change)
+    fit = fit.withColumn("r2", F.when(F.col("deviation") == 0, 0.0).otherwise(F.col("r2")))
+    flat = (F.abs("slope") < 0.1 * F.col("deviation")) | (F.col("r2") < 0.1)
+    direction = F.when(flat, "flat").when(F.col("slope") > 0, "rising").otherwise("falling")
+    change = F.when(F.col("mean") == 0, 0.0).otherwise(F.col("slope") * F.col("n") / F.abs("mean") * 100)
+    return fit.where(F.col("n") >= min_days).withColumn("direction", direction).withColumn("change_percent", change)
 
 
 def moving_average(series: DataFrame, width: int, *keys: str) -> DataFrame:
@@ -87,10 +92,12 @@ def weekday_pattern(series: DataFrame, *keys: str) -> DataFrame:
 
 
 def anomalies(series: DataFrame, *keys: str, threshold: float = 2.5, min_days: int = 10, last: int | None = 20) -> DataFrame:
-    """Values far from the median in units of 1.4826 median absolute deviations; the newest ``last`` of each."""
+    """Values far from the median in units of 1.4826 median absolute deviations, or of the standard deviation where
+    over half the values are equal; the newest ``last`` of each."""
     middle = series.groupBy(*keys).agg(F.median("value").alias("median"), F.count("*").alias("n")).where(F.col("n") >= min_days)
     off = series.join(middle, [*keys]).withColumn("off", F.abs(F.col("value") - F.col("median")))
-    spread = off.groupBy(*keys).agg((F.median("off") * 1.4826).alias("spread"))
+    mad = F.median("off") * 1.4826
+    spread = off.groupBy(*keys).agg(F.when(mad > 0, mad).otherwise(F.stddev_pop("value")).alias("spread"))
     found = off.join(spread, [*keys]).where("spread > 0").withColumn("z", (F.col("value") - F.col("median")) / F.col("spread")).where(F.abs("z") >= threshold)
     found = found.withColumn("anomalies", F.count("*").over(Window.partitionBy(*keys))).drop("off", "n")
     if last is None:
@@ -111,6 +118,9 @@ def compare_periods(series: DataFrame, first: tuple[str, str], second: tuple[str
     return told.withColumn("t", F.col("difference") / F.sqrt(ea + eb)).withColumn("df", freedom.cast("long"))
 
 
-def quality(series: DataFrame, window_days: int, *keys: str) -> DataFrame:
-    """How much of a window a series covers."""
-    return series.groupBy(*keys).agg(F.count_distinct("day").alias("days")).withColumn("coverage", F.col("days") / window_days).withColumn("sufficient", F.col("coverage") >= 0.5)
+def quality(series: DataFrame, window_days: int, *keys: str, min_days: int = 10) -> DataFrame:
+    """How much of a window a series covers, and whether it is enough: ``min_days`` days of any metric (a column of
+    ``series`` and key), and half of all days of one that is expected daily."""
+    told = series.groupBy(*keys).agg(F.count_distinct("day").alias("days")).withColumn("coverage", F.col("days") / window_days)
+    known = with_definition(told, ("cadence",))
+    return known.withColumn("sufficient", (F.col("days") >= min_days) & ((F.col("cadence") != "daily") | (F.col("coverage") >= 0.5)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -32,6 +32,40 @@ def activity_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.activity_name(raw).alias("activity"))
 
 
+#: What providers call activities and muscles, and what these are.
+_ACTIVITY_CASES = [("HKWorkoutActivityTypeTraditionalStrengthTraining", "strength_training"), ("Outdoor Radfahren", "cycling"), ("open water swim", "swimming"), ("Tischtennis", "tennis"), ("Innenräume Ausführen", "running"), ("Rock_climbings", "climbing"), ("Curling", "other"), ("", "other")]
+_MUSCLE_CASES = [(" Upper-Back ", "back"), ("Gesäß", "glutes"), ("Full_Body", "full_body"), ("legs", "quads"), ("Kettlebell", None), ("arme", "other")]
+
+
+def _case_sql(cases: list[tuple[str, str | None]], out: str) -> str:
+    values = ", ".join(f"({k}, '{raw}', {'NULL' if kind is None else chr(39) + kind + chr(39)})" for k, (raw, kind) in enumerate(cases))
+    return f"SELECT p_partkey, kind AS {out} FROM part JOIN (VALUES {values}) AS c(k, raw, kind) ON p_partkey % {len(cases)} = k"
+
+
+def _raw(cases: list[tuple[str, str | None]]) -> Column:
+    return F.get(F.array(*[F.lit(raw) for raw, _ in cases]), (F.col("p_partkey") % len(cases)).cast("int"))
+
+
+@query(_case_sql(_ACTIVITY_CASES, "activity_type"))
+def activity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.activity_metadata(_raw(_ACTIVITY_CASES))["activity_type"].alias("activity_type"))
+
+
+@query(_case_sql(_MUSCLE_CASES, "muscle_group"))
+def muscle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.muscle_group(_raw(_MUSCLE_CASES)).alias("muscle_group"))
+
+
+@query(_sql("SELECT CASE WHEN point_id % 7 = 1 THEN 'wrong_key' WHEN point_id % 5 = 2 AND metric_type = 'steps' THEN 'legacy_alias' ELSE 'valid' END AS reason, count(*) AS n FROM points GROUP BY ALL"))
+def key_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the key of their canonical name; some keys are of another event, some names are legacy aliases."""
+    k = F.col("point_id")
+    keyed = G.keyed(points(spark, sf_dir)).withColumn("idempotency_key", F.when(k % 7 == 1, F.sha2(k.cast("string"), 256)).otherwise(F.col("idempotency_key")))
+    named = canonical(keyed.withColumn("metric_type", F.when((k % 5 == 2) & (F.col("metric_type") == "steps"), "step_count").otherwise(F.col("metric_type"))))
+    reason = G.reject_reason(F.col("canonical"), F.col("idempotency_key"))
+    return named.groupBy(F.coalesce(reason, F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT state, CASE lower(trim(state)) WHEN 'on' THEN 1.0 WHEN 'off' THEN 0.0 ELSE try_cast(state AS DOUBLE) END AS value, n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'On' WHEN 1 THEN 'off ' WHEN 2 THEN 'unavailable' ELSE CAST(user_id AS VARCHAR) || '.5' END AS state, count(*) AS n FROM events GROUP BY ALL)")
 def numeric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
@@ -54,7 +88,7 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(rows, "l_extendedprice", "unit", "target", "kilograms").select("l_orderkey", "l_linenumber", "l_partkey", rounded("kilograms", 6).alias("kilograms"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({f!r} AS DOUBLE))" for (a, b), f in unit_factors().items()) + ") AS t(source, target, factor)")
 def unit_factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a, b, f) for (a, b), f in unit_factors().items()], "source string, target string, factor double")
 
@@ -108,14 +142,14 @@ def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.quarantine_split(_unknown(spark, sf_dir), names=10, rows=50).groupBy("tenant_id", "source_id", "outcome").agg(F.count("*").alias("n"))
 
 
-@query(_sql("SELECT source_id, action, m AS metric_type, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT *, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN 'map' WHEN raw = 'odd_2' AND tenant_id = 't1' AND source_id = 's1' THEN 'discard' ELSE 'quarantine' END AS action, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN 'energy_active' ELSE raw END AS m, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN value / 4.184 ELSE value END AS v FROM u WHERE tenant_id = 't1') GROUP BY ALL", _UNKNOWN))
+@query(_sql("SELECT tenant_id, source_id, action, m AS metric_type, count(*) AS n, round(sum(v), 6) AS total FROM (SELECT *, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN 'map' WHEN raw = 'odd_2' AND tenant_id = 't1' AND source_id = 's1' THEN 'discard' ELSE 'quarantine' END AS action, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN 'energy_active' ELSE raw END AS m, CASE WHEN raw = 'odd_1' AND tenant_id = 't1' AND source_id = 's1' THEN value / 4.184 ELSE value END AS v FROM u) GROUP BY ALL", _UNKNOWN))
 def mapping_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(
         [("t1", "s1", "odd_1", "map", "energy_active", "kJ", "kcal"), ("t1", "s1", "odd_2", "discard", None, None, None)],
         "tenant_id string, source_id string, metric_type string, action string, target_metric_type string, source_unit string, target_unit string",
     )
-    told = G.mapped(_unknown(spark, sf_dir).where("tenant_id = 't1'"), rules)
-    return told.groupBy("source_id", "action", "metric_type").agg(F.count("*").alias("n"), rounded(F.sum("value"), 6).alias("total"))
+    told = G.mapped(_unknown(spark, sf_dir), rules)
+    return told.groupBy("tenant_id", "source_id", "action", "metric_type").agg(F.count("*").alias("n"), rounded(F.sum("value"), 6).alias("total"))
 
 
 @query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('b')} AS bucket, round(CASE WHEN t = 1 OR metric_type = 'body_weight' THEN arg_max(value, (timestamp, point_id)) WHEN metric_type = 'steps' THEN sum(value) WHEN metric_type = 'heart_rate_max' THEN max(value) ELSE avg(value) END, 9) AS value, count(*) AS bucket_samples, min(value) AS bucket_min, max(value) AS bucket_max, t = 1 AS provider_total FROM (SELECT *, CASE WHEN t = 1 THEN date_trunc('day', timestamp) ELSE date_trunc('hour', timestamp) END AS b FROM e WHERE t = 0 OR total) GROUP BY tenant_id, source_id, metric_type, b, t", "e AS (SELECT *, value > 95 AS total, max(CASE WHEN value > 95 AND metric_type = 'steps' THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, source_id, metric_type, date_trunc('day', timestamp)) AS t FROM points)"))
@@ -137,9 +171,9 @@ def envelope_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.exploded(envelopes).select("batch_id", "position", "tenant_id", "mismatch")
 
 
-@query(_sql("SELECT metric_type, count(*) AS n FROM points WHERE date_diff('day', CAST(timestamp AS DATE), DATE '2024-04-10') > CASE WHEN metric_type = 'workout_heart_rate' THEN 365 WHEN metric_type = 'steps' AND tenant_id = 't1' THEN 80 ELSE 90 END GROUP BY ALL"))
+@query(_sql("SELECT metric_type, count(*) AS n FROM points WHERE date_diff('day', CAST(timestamp AS DATE), DATE '2024-04-10') > CASE WHEN metric_type = 'workout_heart_rate' THEN 365 WHEN metric_type = 'steps' AND tenant_id = 't1' THEN 80 WHEN metric_type = 'steps' AND tenant_id = 't2' THEN NULL ELSE 90 END GROUP BY ALL"))
 def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([("t1", "steps", 80)], "tenant_id string, metric_type string, raw_retention_days int")
+    own = spark.createDataFrame([("t1", "steps", 80), ("t2", "steps", None)], "tenant_id string, metric_type string, raw_retention_days int")
     return G.purgeable(points(spark, sf_dir), "2024-04-10", own).groupBy("metric_type").agg(F.count("*").alias("n"))
 
 
@@ -184,6 +218,8 @@ def runs_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.join(runs, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("n_name").agg(F.count("o_orderkey").alias("runs"), F.count_distinct("c_custkey").alias("sources"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def sources_without_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Runs are orders of one status and priority."""
+    runs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
+    return table(spark, sf_dir, "customer").join(runs, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

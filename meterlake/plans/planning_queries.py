@@ -9,6 +9,7 @@ from ..functions.registry import registry
 from ..operators import mapping as M
 from ..operators import planning as P
 from .driver_tables import POINTS_SQL, points, table
+from .point_queries import _METRICS
 from .register import query, rounded, text, text_sql
 
 
@@ -89,10 +90,36 @@ def first_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.agg(F.min_by("value", F.struct("timestamp", "point_id")).alias("value"))
 
 
-@query()
+_OWN = "(VALUES ('t1', 'steps', 'hour', 30), ('t2', 'heart_rate', NULL, NULL)) AS o(tenant_id, metric_type, own_resolution, days)"
+
+
+@query(f"SELECT g.tenant_id, m.metric_type, coalesce(o.own_resolution, m.resolution) AS resolution, CAST(CASE WHEN o.tenant_id IS NULL THEN m.retention_days ELSE o.days END AS DOUBLE) AS retention_days FROM (VALUES ('t1'), ('t2')) AS g(tenant_id) CROSS JOIN ({_METRICS}) m LEFT JOIN {_OWN} ON o.tenant_id = g.tenant_id AND o.metric_type = m.metric_type")
 def effective_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([("t1", "steps", "hour", 30), ("t2", "heart_rate", "odd", None)], "tenant_id string, metric_type string, resolution string, raw_retention_days int")
-    return M.effective_policies(spark, own)
+    return M.effective_policies(spark, own).withColumn("retention_days", F.col("retention_days").cast("double"))
+
+
+_REPORTS = """runs AS (SELECT 't' || (o_custkey % 40) AS tenant_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'gaps' WHEN '2-HIGH' THEN 'day' ELSE 'insights' END AS kind,
+    CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'running' END AS status, CAST(o_orderdate AS TIMESTAMP) AS moment, CAST(o_orderkey % 400 AS INTEGER) AS days, CAST((o_orderkey % 24) * 60 - 720 AS INTEGER) AS minutes FROM orders),
+water AS (SELECT tenant_id, max(moment) AS high FROM runs WHERE status = 'success' AND kind = 'day' GROUP BY ALL),
+latest AS (SELECT tenant_id, kind, max(moment) AS moment, arg_max(days, (moment, days)) AS days, arg_max(minutes, (moment, days)) AS minutes FROM runs WHERE status = 'success' GROUP BY ALL),
+want AS (SELECT w.tenant_id, k.kind, w.high, l.moment, l.days, l.minutes FROM water w CROSS JOIN (VALUES ('gaps'), ('day'), ('insights')) AS k(kind) LEFT JOIN latest l ON l.tenant_id = w.tenant_id AND l.kind = k.kind
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.tenant_id = w.tenant_id AND r.kind = k.kind AND r.status = 'running' AND date_diff('second', r.moment, TIMESTAMP '2001-08-02 12:00:00') <= 90000))"""
+
+
+@query(f"WITH {_REPORTS} SELECT tenant_id, kind, CASE WHEN moment IS NULL THEN 'no_report' WHEN moment < high THEN 'new_data' ELSE 'max_age' END AS reason FROM want WHERE NOT coalesce(days > 90 AND date_diff('second', moment, TIMESTAMP '2001-08-02 12:00:00') < 129600 AND NOT (hour(TIMESTAMP '2001-08-02 12:00:00' + to_minutes(minutes)) BETWEEN 1 AND 4), false)")
+def due_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as report runs of forty tenants; those of one kind also stand for imports."""
+    priority, status, k = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    runs = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("t"), (F.col("o_custkey") % 40).cast("string")).alias("tenant_id"),
+        F.when(priority == "1-URGENT", "gaps").when(priority == "2-HIGH", "day").otherwise("insights").alias("kind"),
+        F.when(status == "F", "success").when(status == "O", "failed").otherwise("running").alias("status"),
+        at.alias("started_at"), at.alias("finished_at"), at.alias("covers_through"), (k % 400).cast("int").alias("window_days"), ((k % 24) * 60 - 720).cast("int").alias("offset_minutes"),
+    )
+    imports = runs.where("kind = 'day'").select("tenant_id", "status", "finished_at")
+    return P.due_reports(runs, imports, ["gaps", "day", "insights"], "2001-08-02 12:00:00", most_age_hours=12, stuck_hours=25)
 
 
 @query(_sql("SELECT metric_type, source_id, count(*) AS n FROM points WHERE metric_type IN ('steps', 'heart_rate', 'body_weight') AND source_id = 's1' GROUP BY ALL"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.registry import registry, with_definition
+from ..functions.registry import metrics, registry, with_definition
 from ..operators import points as P
 from ..operators import rollups as R
 from ..operators import series as S
@@ -252,10 +252,10 @@ def bucket_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("n", F.row_number().over(order)).where("n <= 5").select("metric_type", text("bucket_start").alias("bucket"), "value")
 
 
-@query(_sql(f"SELECT metric_type, {text_sql('b')} AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY metric_type ORDER BY b) - 1 AS n, count(*) OVER (PARTITION BY metric_type) AS m FROM (SELECT DISTINCT metric_type, date_trunc('hour', timestamp) AS b FROM points WHERE tenant_id = 't3')) WHERE m <= 40 OR n IN (SELECT CAST(round_even(i * (m - 1) / 39.0, 0) AS BIGINT) FROM range(40) r(i))"))
+@query(_sql(f"SELECT tenant_id, metric_type, {text_sql('b')} AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_type ORDER BY b) - 1 AS n, count(*) OVER (PARTITION BY tenant_id, metric_type) AS m FROM (SELECT DISTINCT tenant_id, metric_type, date_trunc('hour', timestamp) AS b FROM points)) WHERE m <= 40 OR n IN (SELECT CAST(round_even(i * (m - 1) / 39.0, 0) AS BIGINT) FROM range(40) r(i))"))
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = points(spark, sf_dir).where("tenant_id = 't3'").select("metric_type", F.date_trunc("hour", "timestamp").alias("bucket_start")).distinct()
-    return S.evenly_sampled(hours, 40, "metric_type").select("metric_type", text("bucket_start").alias("bucket"))
+    hours = points(spark, sf_dir).select("tenant_id", "metric_type", F.date_trunc("hour", "timestamp").alias("bucket_start")).distinct()
+    return S.evenly_sampled(hours, 40, "tenant_id", "metric_type").select("tenant_id", "metric_type", text("bucket_start").alias("bucket"))
 
 
 @query(_sql("SELECT tenant_id, source_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY timestamp, point_id) - 1 AS n, count(*) OVER (PARTITION BY tenant_id, source_id) AS m FROM points) WHERE n % CAST(greatest(ceil(m / 100.0), 1) AS BIGINT) = 0"))
@@ -281,6 +281,28 @@ def points_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).join(sources, "source_id").groupBy("metric_type", "source_type").agg(F.count("*").alias("n"))
 
 
-@query()
+def _value(v: object) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + (",".join(v) if isinstance(v, list) else v).replace("'", "''") + "'"
+
+
+_METRICS = "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_value, m.__dict__.values()))})" for m in metrics().values()) + ") AS t(" + ", ".join(next(iter(metrics().values())).__dict__) + ")"
+
+
+@query(f"SELECT metric_type, unit, aggregation, category, cadence, resolution, CAST(retention_days AS DOUBLE) AS retention_days, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most, CAST(precision AS INTEGER) AS precision, sources, aliases FROM ({_METRICS})")
 def registry_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark)
+    """Names of sources and aliases as one text each."""
+    numbers = {c: F.col(c).cast(t) for c, t in (("retention_days", "double"), ("least", "double"), ("most", "double"), ("precision", "int"))}
+    return registry(spark).withColumns({c: F.array_join(c, ",") for c in ("sources", "aliases")} | numbers)
+
+
+@query(_sql("SELECT * FROM points WHERE tenant_id <> 't2'").replace("SELECT * FROM points WHERE tenant_id <> 't2'", "SELECT tenant_id, metric_type, count(*) AS n FROM points WHERE tenant_id <> 't2' GROUP BY ALL"))
+def tenant_wipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.without_tenant(points(spark, sf_dir), "t2").groupBy("tenant_id", "metric_type").agg(F.count("*").alias("n"))
+
+
+@query(_sql("SELECT tenant_id, metric_type, strftime(b, '%Y-%m-%d') AS day, point_id, value FROM (SELECT *, date_trunc('day', timestamp) AS b, row_number() OVER (PARTITION BY tenant_id, metric_type, date_trunc('day', timestamp) ORDER BY point_id % 3 = 0 DESC, value > 95 DESC, timestamp DESC, point_id DESC) AS n FROM points) WHERE n = 1"))
+def preferred_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's value speaks for it before raw ones do, a provider's before a derived one."""
+    day = F.when(F.col("point_id") % 3 == 0, "day").otherwise("raw")
+    own = points(spark, sf_dir).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    return P.newest_each(own, "tenant_id", "metric_type", "day", prefer=P.preference(day, F.col("value") > 95)).select("tenant_id", "metric_type", "day", "point_id", "value")

@@ -88,10 +88,9 @@ def session_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("tenant_id", "session", "metric_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query(_points("SELECT metric_type, source_id, CAST(floor(epoch(timestamp) / 43200) * 43200 AS BIGINT) AS bucket_epoch, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM points WHERE tenant_id = 't2' AND metric_type IN (SELECT metric_type FROM points WHERE tenant_id = 't2' GROUP BY ALL HAVING count(*) >= 3 ORDER BY count(*) DESC, metric_type LIMIT 3) GROUP BY ALL"))
+@query(_points("SELECT metric_type, tenant_id, source_id, CAST(floor(epoch(timestamp) / 43200) * 43200 AS BIGINT) AS bucket_epoch, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM points JOIN (SELECT tenant_id, source_id, metric_type, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY count(*) DESC, metric_type) AS r FROM points GROUP BY tenant_id, source_id, metric_type HAVING count(*) >= 3) USING (tenant_id, source_id, metric_type) WHERE r <= 3 GROUP BY metric_type, tenant_id, source_id, floor(epoch(timestamp) / 43200)"))
 def stream_decimation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = points(spark, sf_dir).where("tenant_id = 't2'")
-    return S.decimate(own, 43_200, "source_id", most=3).withColumn("mean", rounded("mean"))
+    return S.decimate(points(spark, sf_dir), 43_200, "tenant_id", "source_id", most=3).withColumn("mean", rounded("mean"))
 
 
 def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +141,20 @@ def day_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_definition(own, ("category",)).groupBy("tenant_id", lane.alias("lane"), "metric_type").agg(F.count("*").alias("n"), text(F.min("timestamp")).alias("first_at"))
 
 
+def _lanes(spark: SparkSession, sf_dir: str, days: list[str]) -> DataFrame:
+    offset, at = F.expr("interval 120 minutes"), F.col("timestamp")
+    local = F.to_date(at + offset)
+    own = points(spark, sf_dir).where((at >= F.lit(min(days)).cast("timestamp_ntz") - offset) & (at < F.date_add(F.lit(max(days)).cast("date"), 1).cast("timestamp_ntz") - offset))
+    lane = F.when(F.col("category") == "workout", "session").otherwise(F.col("category"))
+    return with_definition(own, ("category",)).groupBy("tenant_id", F.date_format(local, "yyyy-MM-dd").alias("day"), lane.alias("lane"), "metric_type").agg(F.count("*").alias("n"))
+
+
+@query(_points("SELECT tenant_id, strftime(timestamp + INTERVAL 120 MINUTE, '%Y-%m-%d') AS day, CASE WHEN starts_with(metric_type, 'workout_') THEN 'session' WHEN metric_type = 'body_weight' THEN 'body' WHEN metric_type = 'steps' THEN 'activity' ELSE 'heart' END AS lane, metric_type, count(*) AS n FROM points WHERE strftime(timestamp + INTERVAL 120 MINUTE, '%Y-%m-%d') IN ('2024-01-14', '2024-01-15') GROUP BY ALL"))
+def day_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yesterday and today of a reader two hours ahead of UTC."""
+    return _lanes(spark, sf_dir, ["2024-01-14", "2024-01-15"])
+
+
 @query("SELECT o_orderkey, 'streak:' || substr(sha256(concat_ws('|', 's' || (o_custkey % 3), CAST(o_orderkey AS VARCHAR), o_orderpriority)), 1, 16) AS session_id FROM orders")
 def session_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("s"), (F.col("o_custkey") % 3).cast("string"))

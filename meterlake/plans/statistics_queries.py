@@ -71,9 +71,9 @@ def lagged_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_lag(daily(spark, sf_dir), "tenant_id").select("tenant_id", "metric_a", "metric_b", F.col("lag_days").cast("long").alias("lag_days"), rounded("spearman", 7).alias("spearman"))
 
 
-@query(_sql("SELECT tenant_id, metric_type, count(*) AS n, round(regr_slope(value, i), 7) AS slope, round(regr_intercept(value, i), 7) AS intercept, round(regr_r2(value, i), 7) AS r2, CASE WHEN abs(regr_slope(value, i) * (count(*) - 1)) < 0.1 * stddev_pop(value) THEN 'flat' WHEN regr_slope(value, i) > 0 THEN 'up' ELSE 'down' END AS direction FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_type ORDER BY day) - 1 AS i FROM daily) GROUP BY ALL", DAILY))
+@query(_sql("SELECT tenant_id, metric_type, count(*) AS n, round(regr_slope(value, i), 7) AS slope, round(regr_intercept(value, i), 7) AS intercept, round(regr_r2(value, i), 7) AS r2, CASE WHEN abs(regr_slope(value, i)) < 0.1 * stddev_pop(value) OR regr_r2(value, i) < 0.1 THEN 'flat' WHEN regr_slope(value, i) > 0 THEN 'rising' ELSE 'falling' END AS direction, round(regr_slope(value, i) * count(*) / abs(avg(value)) * 100, 6) AS change_percent FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_type ORDER BY day) - 1 AS i FROM daily) GROUP BY ALL", DAILY))
 def trend_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.trend(daily(spark, sf_dir), *KEY).select(*KEY, "n", *[rounded(c, 7).alias(c) for c in ("slope", "intercept", "r2")], "direction")
+    return S.trend(daily(spark, sf_dir), *KEY).select(*KEY, "n", *[rounded(c, 7).alias(c) for c in ("slope", "intercept", "r2")], "direction", rounded("change_percent", 6).alias("change_percent"))
 
 
 @query(_sql("SELECT tenant_id, metric_type, strftime(day, '%Y-%m-%d') AS day, CASE WHEN row_number() OVER w >= 7 THEN round(avg(value) OVER (PARTITION BY tenant_id, metric_type ORDER BY day ROWS 6 PRECEDING), 7) END AS moving_average FROM daily WINDOW w AS (PARTITION BY tenant_id, metric_type ORDER BY day)", DAILY))
@@ -86,7 +86,7 @@ def weekday_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weekday_pattern(daily(spark, sf_dir), *KEY).select(*KEY, F.col("weekday").cast("long").alias("weekday"), "n", rounded("mean", 7).alias("mean"), "weekend")
 
 
-@query(_sql("SELECT tenant_id, metric_type, strftime(day, '%Y-%m-%d') AS day, round(z, 7) AS z, anomalies FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, metric_type) AS anomalies, row_number() OVER (PARTITION BY tenant_id, metric_type ORDER BY day DESC) AS r FROM (SELECT d.*, (value - m) / s AS z FROM daily d JOIN (SELECT tenant_id, metric_type, m, 1.4826 * median(abs(value - m)) AS s FROM daily JOIN (SELECT tenant_id, metric_type, median(value) AS m FROM daily GROUP BY ALL HAVING count(*) >= 10) USING (tenant_id, metric_type) GROUP BY ALL) USING (tenant_id, metric_type) WHERE s > 0) WHERE abs(z) >= 2.5) WHERE r <= 20", DAILY))
+@query(_sql("SELECT tenant_id, metric_type, strftime(day, '%Y-%m-%d') AS day, round(z, 7) AS z, anomalies FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, metric_type) AS anomalies, row_number() OVER (PARTITION BY tenant_id, metric_type ORDER BY day DESC) AS r FROM (SELECT d.*, (value - m) / s AS z FROM daily d JOIN (SELECT tenant_id, metric_type, m, CASE WHEN median(abs(value - m)) > 0 THEN 1.4826 * median(abs(value - m)) ELSE stddev_pop(value) END AS s FROM daily JOIN (SELECT tenant_id, metric_type, median(value) AS m FROM daily GROUP BY ALL HAVING count(*) >= 10) USING (tenant_id, metric_type) GROUP BY ALL) USING (tenant_id, metric_type) WHERE s > 0) WHERE abs(z) >= 2.5) WHERE r <= 20", DAILY))
 def anomalies_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.anomalies(daily(spark, sf_dir), *KEY).select(*KEY, F.date_format("day", "yyyy-MM-dd").alias("day"), rounded("z", 7).alias("z"), "anomalies")
 
@@ -109,7 +109,7 @@ def period_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(*KEY, "t", "df", p_value(F.col("t"), F.col("df")).alias("p_value"))
 
 
-@query(_sql("SELECT tenant_id, metric_type, count(DISTINCT day) AS days, round(count(DISTINCT day) / 30.0, 9) AS coverage, count(DISTINCT day) / 30.0 >= 0.5 AS sufficient FROM daily GROUP BY ALL", DAILY))
+@query(_sql("SELECT tenant_id, metric_type, count(DISTINCT day) AS days, round(count(DISTINCT day) / 30.0, 9) AS coverage, CASE WHEN metric_type IN ('steps', 'heart_rate_max') THEN 'daily' WHEN metric_type = 'body_weight' THEN 'event' ELSE 'continuous' END AS cadence, count(DISTINCT day) >= 10 AND (metric_type NOT IN ('steps', 'heart_rate_max') OR count(DISTINCT day) / 30.0 >= 0.5) AS sufficient FROM daily GROUP BY tenant_id, metric_type", DAILY))
 def series_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.quality(daily(spark, sf_dir), 30, *KEY).withColumn("coverage", rounded("coverage"))
 
@@ -123,14 +123,24 @@ def expected_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.expected_interval(points(spark, sf_dir), *KEY).withColumn("interval_seconds", rounded("interval_seconds", 6))
 
 
-@query(_sql(f"SELECT tenant_id, metric_type, {text_sql('previous')} AS gap_start, {text_sql('timestamp')} AS gap_end FROM deltas JOIN usual USING (tenant_id, metric_type) WHERE seconds > 2.5 * s", _DELTAS, _USUAL))
+_WINDOW = ("2024-01-02 06:00:00", "2024-01-29 18:00:00")
+_SPANS = f"""inside AS (SELECT DISTINCT tenant_id, source_id, metric_type, timestamp AS b FROM points WHERE metric_type IN ('heart_rate', 'workout_heart_rate') AND timestamp BETWEEN '{_WINDOW[0]}' AND '{_WINDOW[1]}'),
+steps_ AS (SELECT *, lag(b) OVER (PARTITION BY tenant_id, source_id, metric_type ORDER BY b) AS a FROM inside),
+often AS (SELECT tenant_id, source_id, metric_type, median((epoch_us(b) - epoch_us(a)) / 1e6) AS s FROM steps_ WHERE a IS NOT NULL GROUP BY ALL),
+spans AS (SELECT tenant_id, source_id, metric_type, a, b FROM steps_ WHERE a IS NOT NULL UNION ALL SELECT tenant_id, source_id, metric_type, TIMESTAMP '{_WINDOW[0]}', min(b) FROM inside GROUP BY ALL UNION ALL SELECT tenant_id, source_id, metric_type, max(b), TIMESTAMP '{_WINDOW[1]}' FROM inside GROUP BY ALL)"""
+
+
+@query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('a')} AS gap_start, {text_sql('b')} AS gap_end FROM spans JOIN often USING (tenant_id, source_id, metric_type) WHERE (epoch_us(b) - epoch_us(a)) / 1e6 > 2.5 * s", _SPANS))
 def cadence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.cadence_gaps(points(spark, sf_dir), *KEY).select(*KEY, text("start").alias("gap_start"), text("end").alias("gap_end"))
+    """Interruptions of what is measured continuously, the ends of the window included."""
+    keys = ("tenant_id", "source_id", "metric_type")
+    own = I.of_cadence(points(spark, sf_dir), "continuous")
+    return I.cadence_gaps(own, *_WINDOW, *keys).select(*keys, text("start").alias("gap_start"), text("end").alias("gap_end"))
 
 
-@query(_sql("SELECT u AS user_bucket, metric_type, strftime(day, '%Y-%m-%d') AS day FROM (SELECT u, metric_type, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT u, metric_type FROM seen)) g WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = g.u AND s.metric_type = g.metric_type AND s.day = g.day)", "seen AS (SELECT DISTINCT CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS u, metric_type, CAST(timestamp + INTERVAL 120 MINUTE AS DATE) AS day FROM points)"))
+@query(_sql("SELECT u AS user_bucket, metric_type, strftime(day, '%Y-%m-%d') AS day FROM (SELECT u, metric_type, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT u, metric_type FROM seen)) g WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.u = g.u AND s.metric_type = g.metric_type AND s.day = g.day)", "seen AS (SELECT DISTINCT CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS u, metric_type, CAST(timestamp + INTERVAL 120 MINUTE AS DATE) AS day FROM points WHERE metric_type IN ('steps', 'heart_rate_max'))"))
 def daily_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = points(spark, sf_dir).withColumn("user_bucket", json_text("k").cast("long"))
+    own = I.of_cadence(points(spark, sf_dir), "daily").withColumn("user_bucket", json_text("k").cast("long"))
     found = I.daily_gaps(own, "2024-01-01", "2024-01-30", "user_bucket", "metric_type", offset_minutes=120)
     return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
@@ -180,6 +190,13 @@ def range_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.intersect(a, b, "tenant_id", "source_id").select("tenant_id", "source_id", text("start").alias("range_start"), text("end").alias("range_end"))
 
 
+@query(_sql(f"SELECT m.tenant_id, m.source_id, {text_sql('greatest(m.s, h.s)')} AS range_start, {text_sql('least(m.e, h.e)')} AS range_end FROM m JOIN h ON m.tenant_id = h.tenant_id AND m.source_id = h.source_id AND m.s < h.e AND h.s < m.e", _islands("m", "steps"), _islands("h", "heart_rate")))
+def covered_by_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where both metrics are covered, by a sweep over the ends of all ranges."""
+    both = _ranges(spark, sf_dir, "steps").withColumn("metric_type", F.lit("steps")).unionByName(_ranges(spark, sf_dir, "heart_rate").withColumn("metric_type", F.lit("heart_rate")))
+    return I.covered_by_all(both, both, "metric_type", "tenant_id", "source_id").select("tenant_id", "source_id", text("start").alias("range_start"), text("end").alias("range_end"))
+
+
 @query(_sql("SELECT tenant_id, metric_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS sources, round(max(v) - min(v), 7) AS spread FROM (SELECT tenant_id, metric_type, source_id, CAST(date_trunc('day', timestamp) AS DATE) AS day, avg(value) AS v FROM points GROUP BY ALL) GROUP BY tenant_id, metric_type, day HAVING count(*) > 1 AND (max(v) - min(v)) / max(abs(v)) > 0.1"))
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days on which sources of a metric differ by more than a tenth."""

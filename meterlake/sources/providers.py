@@ -41,11 +41,12 @@ CSV_HEADERS = {
 }
 
 
-def _measured(rows: DataFrame, at: Column, fields: dict[str, tuple[str, str]], of: str = "") -> DataFrame:
-    """One event for each field that has a number."""
+def _measured(rows: DataFrame, at: Column, fields: dict[str, tuple[str, str]], of: str = "", metadata: Column | None = None) -> DataFrame:
+    """One event for each field that has a number; all of a row have its metadata."""
     one = lambda f, m, u: F.struct(F.lit(m).alias("metric_type"), F.col(f"{of}{f}").cast("double").alias("value"), F.lit(u).alias("unit"))
-    long = rows.select(at.alias("timestamp"), F.explode(F.array(*[one(f, m, u) for f, (m, u) in fields.items()])).alias("e"))
-    return long.where("e.value IS NOT NULL").select("e.metric_type", "timestamp", "e.value", "e.unit", F.lit("{}").alias("metadata"))
+    meta = F.lit("{}") if metadata is None else metadata
+    long = rows.select(at.alias("timestamp"), meta.alias("metadata"), F.explode(F.array(*[one(f, m, u) for f, (m, u) in fields.items()])).alias("e"))
+    return long.where("e.value IS NOT NULL").select("e.metric_type", "timestamp", "e.value", "e.unit", "metadata")
 
 
 def weather(payloads: DataFrame) -> DataFrame:
@@ -58,12 +59,13 @@ def weather(payloads: DataFrame) -> DataFrame:
 
 
 def home_states(payloads: DataFrame) -> DataFrame:
-    """Lists of lists of states; each entity is a metric of its own."""
+    """Lists of lists of states; each entity is a metric of its own, named by its id without the domain."""
+    entity = F.btrim(F.lower(F.regexp_replace(F.regexp_replace("entity_id", r"^[^.]*\.", ""), r"[^\p{L}\p{N}]", "_")), F.lit("_"))
     state = "entity_id: string, state: string, last_changed: string, last_updated: string, attributes: struct<unit_of_measurement: string>"
     rows = payloads.select(F.explode(F.flatten(F.from_json("payload", f"array<array<struct<{state}>>>"))).alias("s")).select("s.*")
     value = numeric_state(F.col("state"))
     return rows.where(value.isNotNull()).select(
-        F.concat(F.lit("home_assistant_"), slug(F.col("entity_id"))).alias("metric_type"),
+        F.concat(F.lit("home_assistant_"), F.coalesce(F.nullif(entity, F.lit("")), F.lit("unknown"))).alias("metric_type"),
         F.coalesce(F.col("last_changed"), F.col("last_updated")).try_cast("timestamp").alias("timestamp"),
         value.alias("value"),
         F.coalesce("attributes.unit_of_measurement", F.lit("")).alias("unit"),
@@ -125,9 +127,7 @@ def gps_fixes(payloads: DataFrame) -> DataFrame:
     at = F.coalesce(F.timestamp_seconds(F.col("timestamp").try_cast("long")), F.col("timestamp").try_cast("timestamp"))
     placed = rows.withColumns({"latitude": F.col("latitude").try_cast("double"), "longitude": F.col("longitude").try_cast("double"), "at": at, "one": F.lit(1.0)}).where("latitude IS NOT NULL AND longitude IS NOT NULL")
     meta = F.to_json(F.struct("latitude", "longitude", "altitude", "speed"))
-    return _measured(placed, F.col("at"), {"one": ("location_point", "count"), "latitude": ("location_latitude", "°"), "longitude": ("location_longitude", "°")}).drop("metadata").join(
-        placed.select(F.col("at").alias("timestamp"), meta.alias("metadata")).distinct(), "timestamp"
-    )
+    return _measured(placed, F.col("at"), {"one": ("location_point", "count"), "latitude": ("location_latitude", "°"), "longitude": ("location_longitude", "°")}, metadata=meta)
 
 
 def commits(payloads: DataFrame, start: str, end: str) -> DataFrame:

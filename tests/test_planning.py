@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -35,6 +36,7 @@ def test_sync_window():
     assert planning.sync_window(hour(0), 6, month, hour(-1)) == ((hour(-13), hour(0)), "overlap")
     assert planning.sync_window(hour(0), 6, month, hour(-1), hour(-100)) == ((hour(-100), hour(0)), "gap")
     assert planning.sync_window(hour(0), 6, month, hour(-2000))[1] == "lookback"
+    assert planning.sync_window(hour(0), 6, month, hour(30)) == ((hour(-12), hour(0)), "recheck")
 
 
 def test_coverage_ranges(spark):
@@ -46,8 +48,11 @@ def test_coverage_ranges(spark):
 @pytest.mark.parametrize(("rule", "want"), [
     (dict(raw="x", action="drop"), "unknown_action"), (dict(raw="x", action="map"), "missing_target"), (dict(raw="x", action="map", target="odd"), "unknown_target"),
     (dict(raw="x", action="map", target="energy_active", source_unit="kJ"), None), (dict(raw="x", action="map", target="energy_active", source_unit="kg"), "no_conversion"),
-    (dict(raw="x", action="adopt", target="odd", aggregation="sum", cadence="daily", target_unit=""), "target_outside_namespaces"),
-    (dict(raw="x", action="adopt", target="custom_x", aggregation="sum", cadence="daily", target_unit=""), None), (dict(raw="x", action="discard", target="steps"), "target_not_allowed"),
+    (dict(raw="x", action="adopt", target="odd", aggregation="sum", cadence="daily", source_unit="kg", target_unit="kg"), "target_outside_namespaces"),
+    (dict(raw="x", action="adopt", target="custom_X", aggregation="sum", cadence="daily", source_unit="kg", target_unit="kg"), "target_outside_namespaces"),
+    (dict(raw="x", action="adopt", target="custom_x", aggregation="sum", cadence="daily", source_unit="lb", target_unit="kg"), None), (dict(raw="x", action="map", target="energy_active"), "missing_unit"),
+    (dict(raw="x", action="adopt", target="custom_x", aggregation="sum", cadence="daily", source_unit="kg", target_unit="m"), "no_conversion"), (dict(raw="x" * 129, action="keep"), "name_too_long"),
+    (dict(raw="x", action="map", target="energy_active", source_unit="kJ", target_unit="kg"), "unit_not_of_metric"), (dict(raw="x", action="keep", source_unit="kg"), "target_not_allowed"), (dict(raw="x", action="discard", target="steps"), "target_not_allowed"),
 ])
 def test_rules(rule, want):
     assert mapping.rule_error(**rule) == want
@@ -66,9 +71,11 @@ def test_policies(spark):
 
 
 def test_session_backfill(spark):
-    rows = [("s", '{"workout_id": "7", "x": "1"}'), ("s", '{"session_id": "old", "workout_id": "7"}'), ("s", "{}")]
+    rows = [("s", '{"workout_id": "7", "x": 5, "o": {"y": [1]}, "session_id": null}'), ("s", '{"session_id": "old", "workout_id": "7"}'), ("s", "{}")]
     got = mapping.tagged_sessions(spark.createDataFrame(rows, "source_id string, metadata string"), "workout_id").collect()
-    assert [r.changed for r in got] == [True, False, False] and "backfill:" in got[0].metadata and '"x":"1"' in got[0].metadata and got[1].metadata == rows[1][1]
+    assert [r.changed for r in got] == [True, False, False] and "backfill:" in got[0].metadata and got[1].metadata == rows[1][1] and got[2].metadata == "{}"
+    kept = json.loads(got[0].metadata)
+    assert kept.pop("session_id").startswith("backfill:") and kept == {"workout_id": "7", "x": 5, "o": {"y": [1]}}
 
 
 def test_calendar(spark):

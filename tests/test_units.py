@@ -100,8 +100,64 @@ def test_scalars(spark):
 
 
 def test_json_numbers_are_not_text(spark):
-    rows = spark.createDataFrame([('{"k": 3}',), ('{"k": "3"}',), ('{"j": 3}',), (None,)], "metadata string")
-    assert [r.n for r in rows.select(json_number("k").alias("n")).collect()] == [3.0, None, None, None]
+    rows = spark.createDataFrame([('{"k": 3}',), ('{"k": "3"}',), ('{"j": 3}',), (None,), ('{"o": {"k": "a"}, "k": 5.5}',), ('{"k": true}',), ("no json",), ('{"k": 1e300}',)], "metadata string")
+    assert [r.n for r in rows.select(json_number("k").alias("n")).collect()] == [3.0, None, None, None, 5.5, None, None, 1e300]
+
+
+def test_a_stated_null_keeps_points_for_good(spark):
+    own = points(spark, ("s", "steps", "2020-01-01 00:00:00", 1.0), ("s", "heart_rate", "2020-01-01 00:00:00", 1.0))
+    override = spark.createDataFrame([("t", "steps", None)], "tenant_id string, metric_type string, raw_retention_days int")
+    assert [r.metric_type for r in ingest.purgeable(own, "2026-01-01", override).collect()] == ["heart_rate"]
+
+
+def test_ties_in_time_merge_by_point_id(spark):
+    rows = [(k, "t", "s", "body_weight", at("2026-05-01 08:00:00"), float(k), "{}") for k in range(40)]
+    states = [rollups.rollup(spark.createDataFrame(rows[a : a + 10], POINT), "day") for a in (20, 0, 30, 10)]
+    every = states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3]).drop("value", "aggregation")
+    row = rollups.merge(every, "metric_type", "bucket_start").first()
+    assert (row.first_value, row.last_value, row.value) == (0.0, 39.0, 39.0)
+
+
+def test_each_key_has_its_densest_metrics(spark):
+    rows = [("a", m, f"2026-05-01 0{k}:00:00", 1.0) for m in ("x", "y") for k in range(9)] + [("b", m, f"2026-05-01 0{k}:00:00", 1.0) for m, n in (("x", 4), ("z", 7)) for k in range(n)]
+    got = sessions.decimate(points(spark, *rows), 86_400, "source_id", most=1).collect()
+    assert sorted((r.source_id, r.metric_type, r.n) for r in got) == [("a", "x", 9), ("b", "z", 7)]
+
+
+def test_a_streak_counts_days_with_something(spark):
+    days = [(u, at(f"2026-05-0{d}").date(), n) for u, d, n in (("a", 1, 2), ("a", 2, 0), ("a", 3, 1), ("a", 4, 5), ("b", 4, 0))]
+    got = intervals.current_streak(spark.createDataFrame(days, "user string, day date, count int"), "2026-05-04", "user").collect()
+    assert {r.user: r.streak for r in got} == {"a": 2, "b": 0}
+
+
+def test_gaps_of_a_window(spark):
+    own = points(spark, *[("s", "heart_rate", f"2026-05-01 {h:02}:00:00", 1.0) for h in (5, 6, 7, 8, 14, 15)], ("q", "heart_rate", "2026-04-01 00:00:00", 1.0), ("one", "heart_rate", "2026-05-01 09:00:00", 1.0))
+    got = sorted((r.source_id, r.start.hour, r.end.hour) for r in intervals.cadence_gaps(own, "2026-05-01 00:00:00", "2026-05-01 20:00:00", "source_id").collect())
+    assert got == [("q", 0, 20), ("s", 0, 5), ("s", 8, 14), ("s", 15, 20)]
+
+
+def test_deltas_cross_days(spark):
+    times = ["2026-05-01 08:00:00", "2026-05-01 23:59:59", "2026-05-02 00:00:01", "2026-05-05 00:00:01"]
+    own = points(spark, *[("s", "heart_rate", t, 1.0) for t in times])
+    assert sorted(r.seconds for r in intervals.deltas(own, "source_id").collect() if r.previous) == [2.0, 57599.0, 259200.0]
+
+
+def test_an_anomaly_where_most_days_are_equal(spark):
+    day = dt.date(2026, 5, 1)
+    rows = [("a", day + dt.timedelta(days=k), 50.0 if k == 7 else 0.0) for k in range(20)] + [("b", day + dt.timedelta(days=k), 1.0) for k in range(20)]
+    got = statistics.anomalies(spark.createDataFrame(rows, "metric_type string, day date, value double"), "metric_type").collect()
+    assert [(r.metric_type, r.value) for r in got] == [("a", 50.0)]
+
+
+def test_what_is_covered_by_all(spark):
+    day = at("2026-05-01 00:00:00")
+    hour = lambda k: day + dt.timedelta(hours=k)
+    rows = [("k", "a", hour(0), hour(10)), ("k", "b", hour(2), hour(4)), ("k", "b", hour(3), hour(6)), ("k", "b", hour(8), hour(9))]
+    ranges = spark.createDataFrame(rows, "key string, metric_type string, start timestamp_ntz, end timestamp_ntz")
+    more = ranges.select("key", "metric_type").unionByName(spark.createDataFrame([("k", "c")], "key string, metric_type string"))
+    got = intervals.covered_by_all(ranges, ranges, "metric_type", "key").collect()
+    assert sorted((r.start, r.end) for r in got) == [(hour(2), hour(6)), (hour(8), hour(9))]
+    assert intervals.covered_by_all(ranges, more, "metric_type", "key").collect() == []
 
 
 @pytest.mark.parametrize(("hours", "want"), [(1, 2), (3, 6), (6, 12), (12, 24), (24, 48), (168, 72), (0, 2)])
@@ -157,7 +213,7 @@ def test_providers(spark):
     told = lambda df: sorted((r.metric_type, round(r.value, 3)) for r in df.collect())
     hourly = {"hourly": {"time": ["2026-05-01T00:00", "2026-05-01T01:00"], "temperature_2m": [1.5, None], "uv_index": [0.0, 2.0]}}
     assert told(providers.weather(one(hourly))) == [("weather_temperature", 1.5), ("weather_uv_index", 0.0), ("weather_uv_index", 2.0)]
-    assert told(providers.home_states(one([[{"entity_id": "light.Desk", "state": "on", "last_changed": "2026-05-01T00:00:00Z"}, {"entity_id": "x", "state": "unavailable"}]]))) == [("home_assistant_light_desk", 1.0)]
+    assert told(providers.home_states(one([[{"entity_id": "light.Desk", "state": "on", "last_changed": "2026-05-01T00:00:00Z"}, {"entity_id": "x", "state": "unavailable"}]]))) == [("home_assistant_desk", 1.0)]
     night = {"data": {"metrics": [{"name": "sleep_analysis", "units": "hr", "data": [{"qty": 7, "date": "2026-05-01 00:00:00 +0000", "deep": 1, "rem": 2, "core": 4, "awake": 0.5}]}, {"name": "heart_rate", "units": "bpm", "data": [{"Avg": 61, "date": "2026-05-01 00:00:00 +0000"}]}]}}
     assert told(providers.health_export(one(night))) == [("heart_rate", 61), ("sleep_duration", 420), ("sleep_duration_awake", 30), ("sleep_duration_deep", 60), ("sleep_duration_light", 240), ("sleep_duration_rem", 120)]
     log = {"workouts": [{"id": "w", "title": "Push", "createdAt": "2026-05-01T10:00:00Z", "sets": [{"id": "1", "setNumber": 1, "weight": 50, "reps": 10, "maxPulse": 150, "createdAt": "2026-05-01T10:00:00Z", "exercise": {"id": "e", "title": "Bench", "category": "chest"}}]}]}
@@ -165,6 +221,9 @@ def test_providers(spark):
     scored = [{"id": "r", "score_state": "SCORED", "start": "2026-05-01T06:00:00Z", "score": {f: 50.0 for f in providers.RECOVERY}}, {"id": "q", "score_state": "PENDING", "start": "2026-05-02T06:00:00Z"}]
     assert len(told(providers.recovery(one(scored)))) == 5
     assert len(told(providers.gps_fixes(one([{"id": 1, "latitude": "48.1", "longitude": "11.5", "timestamp": 1770000000}, {"id": 2, "latitude": "x", "longitude": "1"}])))) == 3
+    pair = [{"id": 1, "latitude": 48.1, "longitude": 11.5, "timestamp": 1770000000}, {"id": 2, "latitude": 48.2, "longitude": 11.6, "timestamp": 1770000000}]
+    events = providers.gps_fixes(one(pair)).collect()
+    assert len(events) == 6 and {json.loads(r.metadata)["latitude"] for r in events if r.value in (48.2, 11.6)} == {48.2}
     assert told(providers.commits(one({"login": "a", "commits_by_day": {"2026-08-11": 4}}), "2026-08-10", "2026-08-12")) == [("code_commits", 0), ("code_commits", 0), ("code_commits", 4)]
 
 
