@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
 LOOK_AHEAD = 64
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 64 << 20
 #: How the tokenizers split texts that ChunkIds was made for.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -29,7 +29,7 @@ class ChunkIds(dict):
 
     The pre-tokenizer of these files splits at white space, which it drops, and between letters and other
     characters; so chunks tokenize alone as they do in the text. Most chunks are a Latin word, with a full
-    stop or comma at times: these need one entry of the word in lower case, as the normalizer has it, and
+    stop or comma at times: these have one entry, of the word in lower case, as the normalizer has it, and
     many words tokenize in one call, as a token of the vocabulary tells where a word ends. About ``limit``
     bytes are kept; chunks of over 64 characters are not. Texts of a tokenizer that splits otherwise are
     tokenized whole.
@@ -56,7 +56,18 @@ class ChunkIds(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __missing__(self, chunk: str) -> bytes:
-        return self.ids([chunk])[0]
+        """A chunk that isn't kept as it is: a known word with capitals or a stop, else one to tokenize."""
+        word = self.plain(chunk)
+        if word is None or word not in self:
+            return self.ids([chunk])[0]
+        return self[word] if len(chunk) == len(word) else self[word] + self.stops[chunk[-1]]
+
+    def plain(self, chunk: str) -> str | None:
+        """The word of a chunk that is one, with a stop or without."""
+        word = chunk.lower()
+        if word[-1:] in self.stops:
+            word = word[:-1]
+        return word if word.isalpha() and (word.isascii() or max(word) < "\u0250") else None
 
     def keep(self, chunks: Iterable[tuple[str, bytes]]) -> None:
         for chunk, ids in chunks:
@@ -69,24 +80,15 @@ class ChunkIds(dict):
             self.clear()
             self.used = 0
             self.keep(first)
-        new = {c for c in chunks if c not in self and len(c) <= 64}
-        plain, other = {}, []
-        for c in new:
-            word = c.lower()
-            if word[-1:] in self.stops:
-                word = word[:-1]
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                plain[c] = word
-            else:
-                other.append(c)
-        words = [w for w in set(plain.values()) if w not in self]
+        told = {c: self.plain(c) for c in chunks if c not in self and len(c) <= 64}
+        other = [c for c, word in told.items() if word is None]
+        words = [w for w in set(told.values()) if w is not None and w not in self]
         if words:
             ids = np.frombuffer(self.ids([" ".join(words)])[0], "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             buffer = ids.tobytes()
             parts = [buffer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(words) + 1 else self.ids(words)
             self.keep(zip(words, parts, strict=True))
-        self.keep([(c, self[word] if len(c) == len(word) else self[word] + self.stops[c[-1]]) for c, word in plain.items()])
         self.keep(zip(other, self.ids(other), strict=True))
 
 

@@ -18,7 +18,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WINDOW = 20
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Hashes of so many bytes of text meet at a time.
 BUCKET_BYTES = 32 << 20
 BLOBS = "bucket int, hashes binary, checks binary, docs binary, counts binary, starts binary"
