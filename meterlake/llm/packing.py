@@ -40,7 +40,7 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.limit, self.used = limit, 0
+        self.limit, self.used, self.stops = limit, 0, {}
         told = json.loads(tokenizer_json)
         kinds = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
         split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
