@@ -16,9 +16,11 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sentencepieces import ahead
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
-LOOK_AHEAD = 64
+LOOK_AHEAD = 256
 CACHE_BYTES = 64 << 20
 #: How the tokenizers split texts that ChunkIds was made for.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -170,12 +172,12 @@ def pack(
         task, nameless = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for k in range(0, len(batch), LOOK_AHEAD):
-                texts = [t or "" for t in batch.column(1)[k : k + LOOK_AHEAD].to_pylist()]
+            docs = iter(batch.column(0).to_pylist())
+            for texts in ahead((t.as_py() or "" for t in batch.column(1)), LOOK_AHEAD):
                 split = [list(stretches(t)) if known.by_chunk and len(t) < STRETCH else [] for t in texts]
                 if known.by_chunk:
                     known.learn(set().union(*(chunks for own in split for chunks in own)))
-                for doc, text, own in zip(batch.column(0)[k : k + LOOK_AHEAD].to_pylist(), texts, split, strict=True):
+                for doc, text, own in zip(islice(docs, len(texts)), texts, split, strict=True):
                     parts = []
                     for chunks in own or (stretches(text) if known.by_chunk else [[text]]):
                         if not own and known.by_chunk:

@@ -266,11 +266,11 @@ def chunks_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
-def ahead(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Texts in groups of at most LOOK_AHEAD rows and about STRETCH characters."""
+def ahead(texts: Iterable[str], rows: int = LOOK_AHEAD) -> Iterator[list[str]]:
+    """Texts in groups of at most ``rows`` and about STRETCH characters."""
     group, size = [], 0
     for text in texts:
-        if group and (len(group) == LOOK_AHEAD or size + len(text) > STRETCH):
+        if group and (len(group) == rows or size + len(text) > STRETCH):
             yield group
             group, size = [], 0
         group.append(text)
