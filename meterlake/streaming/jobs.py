@@ -32,7 +32,12 @@ def deduplicated(points: DataFrame, *keys: str, late: str = "1 day") -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """A new folder that all executors see. Only a local master may do without ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
