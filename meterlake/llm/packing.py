@@ -98,11 +98,14 @@ _LOADED: dict[int, ChunkIds] = {}
 
 
 def _known(tokenizer: Broadcast) -> ChunkIds:
-    """Read once in each worker, which keeps what it learned for its later tasks."""
+    """Read once in each worker. Each task learns anew: many tasks' words would crowd each other out."""
     if hash(tokenizer.value) not in _LOADED:
         _LOADED.clear()
         _LOADED[hash(tokenizer.value)] = ChunkIds(tokenizer.value)
-    return _LOADED[hash(tokenizer.value)]
+    known = _LOADED[hash(tokenizer.value)]
+    known.clear()
+    known.used = 0
+    return known
 
 
 def stretches(text: str) -> Iterator[list[str]]:
