@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -24,17 +25,19 @@ LOOK_AHEAD = 256
 CACHE_BYTES = 64 << 20
 #: How the tokenizers split texts that ChunkIds was made for.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Marks that end a chunk, and what isn't Latin.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+NOT_LATIN = re.compile("[^\0-\u024f]")
 
 
 class ChunkIds(dict):
     """Ids of each blank-separated chunk of text, as little-endian bytes, kept for the next time.
 
     The pre-tokenizer of these files splits at white space, which it drops, and between letters and other
-    characters; so chunks tokenize alone as they do in the text. Most chunks are a Latin word, with a full
-    stop or comma at times: these have one entry, of the word in lower case, as the normalizer has it, and
-    many words tokenize in one call, as a token of the vocabulary tells where a word ends. About ``limit``
-    bytes are kept; chunks of over 64 characters are not. Texts of a tokenizer that splits otherwise are
-    tokenized whole.
+    characters; so chunks tokenize alone as they do in the text, and a word with marks at its end as both
+    one after the other. Many words tokenize in one call, as a token of the vocabulary tells where a word
+    ends. About ``limit`` bytes are kept; chunks of over 64 characters are not. Texts of a tokenizer that
+    splits otherwise are tokenized whole.
     """
 
     def __init__(self, tokenizer_json: str, limit: int = CACHE_BYTES):
@@ -42,7 +45,7 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.limit, self.used, self.stops = limit, 0, {}
+        self.limit, self.used = limit, 0
         told = json.loads(tokenizer_json)
         kinds = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
         split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -52,29 +55,27 @@ class ChunkIds(dict):
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.stops = {c: self.ids([c])[0] for c in ",."}
+        self.added = [t["content"].lower() for t in told.get("added_tokens") or []]
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __missing__(self, chunk: str) -> bytes:
-        """A chunk that isn't kept as it is: a known word with capitals or a stop, else one to tokenize."""
-        word = self.plain(chunk)
-        if word is None or word not in self:
-            return self.ids([chunk])[0]
-        return self[word] if len(chunk) == len(word) else self[word] + self.stops[chunk[-1]]
-
-    def plain(self, chunk: str) -> str | None:
-        """The word of a chunk that is one, with a stop or without."""
-        word = chunk.lower()
-        if word[-1:] in self.stops:
-            word = word[:-1]
-        return word if word.isalpha() and (word.isascii() or max(word) < "\u0250") else None
+        return self.ids([chunk])[0]
+
+    def folded(self, text: str) -> str:
+        """The text in lower case, as the normalizer has it, so that it has fewer different chunks.
+
+        As it is where that could tell: outside of Latin letters, whose lower case hangs on no neighbour,
+        and beside added tokens, which are found before the normalizer's turn."""
+        low = text.lower()
+        plain = text.isascii() or not NOT_LATIN.search(text)
+        return low if plain and not any(token in low for token in self.added) else text
 
     def keep(self, chunks: Iterable[tuple[str, bytes]]) -> None:
         for chunk, ids in chunks:
             self[chunk] = ids
-            self.used += 240 + 2 * len(chunk) + len(ids)
+            self.used += 180 + len(chunk) + len(ids)
 
     def learn(self, chunks: set[str]) -> None:
         if self.used > self.limit:
@@ -82,9 +83,17 @@ class ChunkIds(dict):
             self.clear()
             self.used = 0
             self.keep(first)
-        told = {c: self.plain(c) for c in chunks if c not in self and len(c) <= 64}
-        other = [c for c, word in told.items() if word is None]
-        words = [w for w in set(told.values()) if w is not None and w not in self]
+        marked, words, other = [], set(), set()
+        for chunk in [c for c in chunks if c not in self and len(c) <= 64]:
+            word = chunk.rstrip(MARKS)
+            if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+                other.add(chunk)
+                continue
+            words.add(word)
+            if len(word) < len(chunk):
+                marked.append(chunk)
+                other.add(chunk[len(word) :])
+        words, other = ([c for c in found if c not in self] for found in (words, other))
         if words:
             ids = np.frombuffer(self.ids([" ".join(words)])[0], "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
@@ -92,6 +101,8 @@ class ChunkIds(dict):
             parts = [buffer[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(words) + 1 else self.ids(words)
             self.keep(zip(words, parts, strict=True))
         self.keep(zip(other, self.ids(other), strict=True))
+        ends = [len(c.rstrip(MARKS)) for c in marked]
+        self.keep((c, self[c[:n]] + self[c[n:]]) for c, n in zip(marked, ends, strict=True))
 
 
 _LOADED: dict[int, ChunkIds] = {}
@@ -177,6 +188,7 @@ def pack(
             out = []
             docs = iter(batch.column(0).to_pylist())
             for texts in ahead((t.as_py() or "" for t in batch.column(1)), LOOK_AHEAD):
+                texts = [known.folded(t) for t in texts] if known.by_chunk else texts
                 split = [list(stretches(t)) if known.by_chunk and len(t) < STRETCH else [] for t in texts]
                 if known.by_chunk:
                     known.learn(set().union(*(chunks for own in split for chunks in own)))
