@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversation_repair import audited_repairs, damaged_turns
 from .extraction import extract_main_text
 from .filter_audit import filter_interactions
 from .line_dedup import drop_repeated_lines
@@ -16,6 +17,7 @@ from .minhash import fingerprints
 from .neighbours import near_vectors
 from .packing import pack
 from .quality import score_quality
+from .repair_sql import REPAIR_SQL
 from .sentencepieces import with_pieces
 from .simhash import near_duplicate_classes
 from .substrings import remove_repeated_passages
@@ -97,6 +99,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return audited_repairs(conversations, damaged_turns(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_url_filter": op11_url_filter,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LINES = f"""
@@ -122,6 +130,7 @@ _LINES = f"""
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op13_conversation_repair": REPAIR_SQL,
     "op12_filter_audit": rf"""
     WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
     w AS (SELECT doc_id, part, t, {_WORDS} AS ws, length(t) AS n, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals FROM d),
