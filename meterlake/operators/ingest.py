@@ -58,11 +58,28 @@ def keyed(events: DataFrame) -> DataFrame:
     return events.withColumn("idempotency_key", event_key(F.col("metric_type")))
 
 
-def mapped(events: DataFrame, rules: DataFrame) -> DataFrame:
+def rules_in_force(rules: DataFrame) -> DataFrame:
+    """Versions of rules with the time from which they hold, and ``_until``, when the next one of the same name does.
+    Of versions from the same time the last by action and target holds."""
+    key = ("tenant_id", "source_id", "metric_type")
+    latest = rules.groupBy(*key, "valid_from").agg(F.max(F.struct("action", "target_metric_type", "source_unit", "target_unit")).alias("_r"))
+    return latest.select(*key, "_r.*", "valid_from", F.lead("valid_from").over(Window.partitionBy(*key).orderBy("valid_from")).alias("_until"))
+
+
+def mapped(events: DataFrame, rules: DataFrame, arrived: str = "arrived_at") -> DataFrame:
     """Events under the rules of their source: map renames and converts, adopt keeps under a target name,
     discard and keep are told. The columns action and metric_type hold the outcome; unknown names without a
-    rule have the action quarantine."""
-    told = canonical(events).join(rules, ["tenant_id", "source_id", "metric_type"], "left")
+    rule have the action quarantine. Rules with a valid_from have versions; an event has the one that held when it arrived.
+    """
+    key = ["tenant_id", "source_id", "metric_type"]
+    named = canonical(events)
+    if "valid_from" in rules.columns:
+        versions = rules_in_force(rules)
+        held = (named[arrived] >= versions["valid_from"]) & (versions["_until"].isNull() | (named[arrived] < versions["_until"]))
+        on = [named[k] == versions[k] for k in key]
+        told = named.join(versions, [*on, held], "left").drop(*[versions[k] for k in key], "valid_from", "_until")
+    else:
+        told = named.join(rules, key, "left")
     known = F.col("canonical").isNotNull()
     action = F.when(known, "accept").otherwise(F.coalesce("action", F.lit("quarantine")))
     target = F.when(known, F.col("canonical")).when(F.col("action").isin("map", "adopt"), F.col("target_metric_type")).otherwise(F.col("metric_type"))
@@ -71,19 +88,51 @@ def mapped(events: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("value", value).withColumn("metric_type", target).withColumn("action", action).drop("canonical", "converted", "target_metric_type", "source_unit", "target_unit")
 
 
-def quarantine_split(unknown: DataFrame, names: int = QUARANTINE_NAMES, rows: int = QUARANTINE_ROWS) -> DataFrame:
+def within_first(rows: DataFrame, order: str, most: Column, *keys: str, slots: int = 4096) -> DataFrame:
+    """Adds ``within``: whether a row is among the first ``most`` of its key by ``order`` (a number or time).
+
+    No key is sorted as a whole: rows are counted by slots of equal width between the key's least and largest
+    order; the running count over slots tells which are in or out, and only rows of the slot in which it passes
+    ``most`` are numbered. Equal orders are numbered by chance. Keys may be null."""
+    at = F.col(order).cast("double")
+    ends = rows.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    slot = F.when(F.col("_hi") > F.col("_lo"), F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (slots - 1))).otherwise(0).cast("int")
+
+    def met(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+        same = [a[k].eqNullSafe(b[k]) for k in on]
+        return a.join(b, same, "inner").drop(*[b[k] for k in on])
+
+    placed = met(rows, ends, *keys).withColumn("_slot", slot).drop("_lo", "_hi")
+    counts = placed.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+    told = met(placed, counts.withColumn("_before", F.coalesce(before, F.lit(0))), *keys, "_slot").withColumn("_most", most)
+    crossing = (F.col("_before") < F.col("_most")) & (F.col("_before") + F.col("_n") > F.col("_most"))
+    clear = told.where(~crossing).withColumn("within", F.col("_before") < F.col("_most"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    mixed = told.where(crossing).withColumn("_i", number).withColumn("within", F.col("_before") + F.col("_i") <= F.col("_most")).drop("_i")
+    return clear.unionByName(mixed).drop("_slot", "_n", "_before", "_most")
+
+
+def quarantine_split(unknown: DataFrame, names: int = QUARANTINE_NAMES, rows: int = QUARANTINE_ROWS, held: DataFrame | None = None) -> DataFrame:
     """Unknown events by what happens to them: quarantined, or refused as there are too many names or rows.
 
     Names count in the order of their first arrival, rows in that of theirs. The bound on rows is that of
-    the quarantine itself; refused events are told with a reason and counted.
+    the quarantine itself; refused events are told with a reason and counted. ``held`` (tenant_id, source_id,
+    metric_type, n) is what the quarantine has already: these names come first, their rows take of the bound.
     """
     key = ("tenant_id", "source_id")
     first = unknown.groupBy(*key, "metric_type").agg(F.min("arrival").alias("_first"))
-    order = first.withColumn("_name", F.row_number().over(Window.partitionBy(*key).orderBy("_first", "metric_type"))).drop("_first")
+    if held is None:
+        held = unknown.sparkSession.createDataFrame([], "tenant_id string, source_id string, metric_type string, n long")
+    old = held.groupBy(*key, "metric_type").agg(F.sum("n").alias("_n"))
+    every = first.join(old, [*key, "metric_type"], "full")
+    by_source = Window.partitionBy(*key)
+    order = every.withColumn("_name", F.row_number().over(by_source.orderBy(F.col("_n").isNull(), "_first", "metric_type"))).withColumn("_held", F.coalesce(F.sum("_n").over(by_source), F.lit(0))).drop("_first", "_n")
     placed = unknown.join(order, [*key, "metric_type"])
-    within = F.row_number().over(Window.partitionBy(*key, F.col("_name") <= names).orderBy("arrival"))
-    outcome = F.when(F.col("_name") > names, "too_many_names").when(within > rows, "too_many_rows").otherwise("quarantined")
-    return placed.withColumn("outcome", outcome).drop("_name")
+    known = within_first(placed.where(F.col("_name") <= names), "arrival", rows - F.col("_held"), *key)
+    told = known.withColumn("outcome", F.when(F.col("within"), "quarantined").otherwise("too_many_rows")).drop("within")
+    rest = placed.where(F.col("_name") > names).withColumn("outcome", F.lit("too_many_names"))
+    return told.unionByName(rest).drop("_name", "_held")
 
 
 def preaggregated(events: DataFrame, resolution: str) -> DataFrame:
