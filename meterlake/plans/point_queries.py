@@ -11,6 +11,7 @@ from ..operators import rollups as R
 from ..operators import series as S
 from .driver_tables import COLLAPSE_SQL, POINTS_SQL, points, table
 from .register import query, rounded, text, text_sql
+from .stored_points import build_store, stored
 
 W = f"WITH {POINTS_SQL}"
 START, END = "2024-01-01", "2024-01-31"
@@ -177,13 +178,22 @@ def uncovered_raw_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('date_trunc(D, timestamp)')} AS bucket, count(*) AS n, round({COLLAPSE_SQL}, 9) AS value FROM (SELECT * FROM points WHERE timestamp < '2024-01-20 12:00:00' UNION ALL SELECT * FROM rest) GROUP BY tenant_id, source_id, metric_type, date_trunc(D, timestamp)", _COVERED, _UNCOVERED).replace("date_trunc(D,", "date_trunc('day',"))
 def hybrid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored states of days that they count in full, and the points of the others."""
+    found = stored(spark, sf_dir).series()
+    return found.select(*R.KEYS, text("bucket_start").alias("bucket"), F.col("sample_count").alias("n"), rounded("value").alias("value"))
+
+
+@query(_sql(f"SELECT tenant_id, source_id, metric_type, {text_sql('date_trunc(D, timestamp)')} AS bucket, count(*) AS n, round({COLLAPSE_SQL}, 9) AS value FROM (SELECT * FROM points WHERE timestamp < '2024-01-20 12:00:00' UNION ALL SELECT * FROM rest) GROUP BY tenant_id, source_id, metric_type, date_trunc(D, timestamp)", _COVERED, _UNCOVERED).replace("date_trunc(D,", "date_trunc('day',"))
+def hybrid_from_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of rollups without counts, by the anti-join of points that these don't cover."""
     found = R.hybrid(*_as_of_noon(spark, sf_dir), "day")
     return found.select(*R.KEYS, text("bucket_start").alias("bucket"), F.col("sample_count").alias("n"), rounded("value").alias("value"))
 
 
 @query(_sql(f"SELECT metric_type, count(*) AS n, round(avg(value), 9) AS average, min(value) AS least, max(value) AS most, round(sum(value), 9) AS total, {text_sql('max(timestamp)')} AS latest FROM (SELECT * FROM points WHERE timestamp < '2024-01-20 12:00:00' UNION ALL SELECT * FROM rest) WHERE tenant_id = 't1' GROUP BY metric_type", _COVERED, _UNCOVERED))
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.summary(*_as_of_noon(spark, sf_dir), "t1")
+    """From stored states; of the one day that they haven't counted in full, from its points."""
+    found = stored(spark, sf_dir).summary("t1")
     return found.select("metric_type", F.col("sample_count").alias("n"), rounded(F.col("weighted_sum") / F.col("weight")).alias("average"), F.col("min_value").alias("least"), F.col("max_value").alias("most"), rounded("sum_value").alias("total"), text("last_timestamp").alias("latest"))
 
 
@@ -242,7 +252,13 @@ _PRIMARY = "SELECT tenant_id, metric_type, source_id, samples, CASE WHEN preferr
 @query(_sql(_PRIMARY, "c AS (SELECT tenant_id, metric_type, source_id, count(*) AS samples, tenant_id = 't1' AND metric_type = 'steps' AND source_id = 's2' AS preferred FROM points GROUP BY ALL)"))
 def primary_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.createDataFrame([("t1", "steps", "s2")], "tenant_id string, metric_type string, primary_source_id string")
-    return S.primary_source(S.coverage(R.rollup(points(spark, sf_dir), "day")), wanted)
+    return S.primary_source(stored(spark, sf_dir).coverage(), wanted)
+
+
+@query(_sql("SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS stored, CAST(count(*) FILTER (WHERE timestamp < '2024-01-20 12:00:00' OR timestamp >= '2024-01-21') AS BIGINT) AS counted FROM points GROUP BY 1"))
+def stored_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store made anew: how many points of each day it holds, and how many its states have counted."""
+    return build_store(spark, sf_dir).manifest().select("day", "stored", "counted")
 
 
 @query(_sql(f"SELECT metric_type, {text_sql('b')} AS bucket, value FROM (SELECT *, row_number() OVER (PARTITION BY metric_type ORDER BY value DESC, b) AS n FROM (SELECT metric_type, date_trunc('day', timestamp) AS b, round({COLLAPSE_SQL}, 9) AS value FROM points WHERE tenant_id = 't3' GROUP BY metric_type, date_trunc('day', timestamp))) WHERE n <= 5"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
-from .driver_tables import POINTS_SQL
+from ..streaming.ingestion import COUNTS, REFUSALS, ingest, run_counts
+from ..streaming.store import Store
+from .driver_tables import POINTS_SQL, points, table
 from .register import query, rounded, text, text_sql
 
 
@@ -38,8 +42,116 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/points").select("point_id")
 
 
-@query()
+#: Events arrive in batches of eight days by their time; every twentieth comes a batch late.
+ARRIVAL_SQL = "CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 8.0) AS BIGINT) + CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END"
+KIND_SQL = POINTS_SQL[POINTS_SQL.index("CASE event_type") : POINTS_SQL.index("AS metric_type")]
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """Points with the batch they arrive in, and the batches there are."""
+    late = F.when(F.col("point_id") % 20 == 0, 1).otherwise(0)
+    own = points(spark, sf_dir).withColumn("batch", (F.floor(F.datediff("timestamp", F.lit("2024-01-01").cast("date")) / 8) + late).cast("long"))
+    return own, sorted(r.batch for r in own.select("batch").distinct().collect())
+
+
+_TOLD = f"""WITH e AS (SELECT event_id, concat('t', user_id % 4) AS tenant_id, concat('s', user_id % 3) AS source_id, {KIND_SQL} AS metric_type,
+    ts, strftime(ts, '%Y-%m-%d') AS day, value, value > 95 AS is_total, {ARRIVAL_SQL} AS batch FROM events WHERE value IS NOT NULL),
+newest AS (SELECT k.*, b.batch, max(e.day) AS newest FROM (SELECT DISTINCT tenant_id, source_id, metric_type FROM e) k CROSS JOIN (SELECT DISTINCT batch FROM e) b
+    JOIN e ON e.tenant_id = k.tenant_id AND e.source_id = k.source_id AND e.metric_type = k.metric_type AND e.batch <= b.batch GROUP BY ALL),
+brought AS (SELECT DISTINCT tenant_id, source_id, metric_type, day, batch FROM e),
+over AS (SELECT d.tenant_id, d.source_id, d.metric_type, d.day, n.batch, min(n.batch) OVER (PARTITION BY d.tenant_id, d.source_id, d.metric_type, d.day) AS first
+    FROM (SELECT tenant_id, source_id, metric_type, day, min(batch) AS begun FROM e GROUP BY ALL) d JOIN newest n USING (tenant_id, source_id, metric_type) WHERE n.newest > d.day AND n.batch >= d.begun),
+told AS (SELECT o.tenant_id, o.source_id, o.metric_type, o.day, o.batch FROM over o LEFT JOIN brought b USING (tenant_id, source_id, metric_type, day, batch) WHERE o.batch = o.first OR b.day IS NOT NULL)
+SELECT t.tenant_id, t.source_id, t.metric_type, t.day, round(coalesce(arg_max(e.value, (e.ts, e.event_id)) FILTER (e.is_total), sum(e.value)), 6) AS value, bool_or(e.is_total) AS is_provider_total,
+    count(*) FILTER (NOT e.is_total) AS samples, CAST(row_number() OVER (PARTITION BY t.tenant_id, t.source_id, t.metric_type, t.day ORDER BY t.batch) AS INTEGER) AS revision
+FROM told t JOIN e ON e.tenant_id = t.tenant_id AND e.source_id = t.source_id AND e.metric_type = t.metric_type AND e.day = t.day AND e.batch <= t.batch
+GROUP BY t.tenant_id, t.source_id, t.metric_type, t.day, t.batch""".replace("over AS", "closed AS").replace("FROM over o", "FROM closed o")
+
+
+@query(_TOLD)
 def stream_day_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that the watermark has passed; the last day stays open."""
-    stream = _stream(spark, sf_dir).where("metric_type = 'view'").withColumn("is_total", F.col("value") > 95)
-    return jobs.collected(jobs.day_totals(stream), "append")
+    """Days of each source as they are over, and again as late samples and totals (values over 95) come.
+
+    Batches land one after the other; the stream runs to its end after each, from its checkpoint."""
+    folder = jobs.shared_folder(spark)
+    own, batches = _batches(spark, sf_dir)
+    arrived = F.timestamp_add("DAY", F.col("batch").cast("int") * 8, F.lit("2024-01-01").cast("timestamp"))
+    landed = own.select("point_id", "tenant_id", "source_id", "metric_type", "timestamp", "value", (F.col("value") > 95).alias("is_total"), arrived.alias("arrived_at"), "batch")
+    year = 366 * 86_400_000
+    for k in batches:
+        landed.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(landed.drop("batch").schema).parquet(f"{folder}/in")
+        jobs.appended(jobs.day_totals(stream, quiet_ms=year, keep_ms=year), f"{folder}/totals")
+    told = spark.read.schema(jobs.DAY_TOTALS).parquet(f"{folder}/totals/out")
+    return told.withColumn("value", rounded("value", 6))
+
+
+RULES = "tenant_id string, source_id string, metric_type string, action string, target_metric_type string, source_unit string, target_unit string, valid_from timestamp_ntz"
+SOURCES = "tenant_id string, source_id string, source_type string"
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Store:
+    """Events under their own names into a store, batch by batch, the third batch twice.
+
+    One rule holds from the second batch's time on, another is written after the first batch."""
+    store = Store(spark, jobs.shared_folder(spark))
+    day = lambda n: dt.datetime(2024, 1, n)
+    rules = f"{store.folder}/rules"
+    spark.createDataFrame([("t0", "s0", "view", "map", "steps", None, None, day(1)), ("t0", "s1", "view", "map", "body_weight", "g", "kg", day(9)), ("t1", "s1", "click", "discard", None, None, None, day(1))], RULES).write.parquet(rules)
+    sources = spark.createDataFrame([(f"t{t}", f"s{s}", "watch") for t in range(4) for s in range(3) if (t, s) != (3, 2)], SOURCES)
+    own, batches = _batches(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select(F.col("event_id").alias("point_id"), "event_type")
+    events = own.join(kinds, "point_id").select(
+        F.col("point_id").cast("string").alias("event_key"),
+        F.concat(F.lit("r"), (F.col("point_id") % 2).cast("string")).alias("run_id"),
+        F.col("point_id").alias("arrival"),
+        F.timestamp_add("DAY", F.col("batch").cast("int") * 8, F.lit("2024-01-01").cast("timestamp_ntz")).alias("arrived_at"),
+        F.when(F.col("point_id") % 50 == 7, "phone").alias("source_type"),
+        "tenant_id",
+        "source_id",
+        F.when(F.col("event_type") == "purchase", "heart_rate_max").otherwise(F.col("event_type")).alias("metric_type"),
+        "timestamp",
+        "value",
+        F.lit(False).alias("is_total"),
+        "metadata",
+        "batch",
+    )
+    for k in batches:
+        if k == batches[1]:
+            spark.createDataFrame([("t2", "s2", "signup", "adopt", "custom_signup", None, None, day(1))], RULES).write.mode("append").parquet(rules)
+        for _ in range(2 if k == batches[2] else 1):
+            events.where(F.col("batch") == k).drop("batch").write.mode("append").parquet(f"{store.folder}/in")
+        stream = spark.readStream.schema(events.drop("batch").schema).parquet(f"{store.folder}/in")
+        ingest(stream, store, lambda: spark.read.schema(RULES).parquet(rules), lambda: sources)
+    return store
+
+
+_INGESTED = f"""WITH e AS (SELECT event_id, concat('t', user_id % 4) AS tenant_id, concat('s', user_id % 3) AS source_id, concat('r', event_id % 2) AS run_id,
+    CASE event_type WHEN 'purchase' THEN 'heart_rate_max' ELSE event_type END AS name, ts, value, {ARRIVAL_SQL} AS batch FROM events),
+o AS (SELECT *, CASE WHEN value IS NOT NULL AND (isnan(value) OR isinf(value)) THEN 'not_finite' WHEN tenant_id = 't3' AND source_id = 's2' THEN 'unknown_source' WHEN event_id % 50 = 7 THEN 'wrong_source_type' END AS reason,
+    CASE WHEN name = 'heart_rate_max' THEN 'accept' WHEN tenant_id = 't0' AND source_id = 's0' AND name = 'view' THEN 'map' WHEN tenant_id = 't0' AND source_id = 's1' AND name = 'view' AND batch >= 1 THEN 'map'
+        WHEN tenant_id = 't1' AND source_id = 's1' AND name = 'click' THEN 'discard' WHEN tenant_id = 't2' AND source_id = 's2' AND name = 'signup' AND batch >= 1 THEN 'adopt' ELSE 'quarantine' END AS action FROM e),
+u AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'refused' ELSE action END AS outcome FROM o)"""
+
+
+@query(f"{_INGESTED} SELECT tenant_id, run_id, count(*) AS received, count(*) FILTER (outcome IN ('accept', 'map', 'adopt')) AS stored, count(*) FILTER (outcome = 'quarantine') AS quarantined, count(*) FILTER (outcome = 'refused') AS refused, count(*) FILTER (outcome = 'discard') AS left_out FROM u GROUP BY ALL")
+def stream_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each run brought, each event once, though a batch is delivered twice and rules come while it runs."""
+    return run_counts(_ingested(spark, sf_dir))
+
+
+@query(f"""{_INGESTED} SELECT tenant_id, source_id, metric, strftime(ts, '%Y-%m-%d') AS day, count(v) AS n, round(CASE metric WHEN 'steps' THEN sum(v) WHEN 'heart_rate_max' THEN max(v) WHEN 'body_weight' THEN arg_max(v, (ts, event_id)) ELSE avg(v) END, 9) AS value
+FROM (SELECT *, CASE WHEN action = 'accept' THEN name WHEN action = 'adopt' THEN 'custom_signup' WHEN source_id = 's1' THEN 'body_weight' ELSE 'steps' END AS metric, CASE WHEN action = 'map' AND source_id = 's1' THEN value * 0.001 ELSE value END AS v FROM u WHERE outcome IN ('accept', 'map', 'adopt')) GROUP BY tenant_id, source_id, metric, strftime(ts, '%Y-%m-%d')""")
+def stream_stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of days from the states that the same commits as the points' have made."""
+    days = _ingested(spark, sf_dir).series()
+    return days.select("tenant_id", "source_id", F.col("metric_type").alias("metric"), "day", F.col("sample_count").alias("n"), rounded("value").alias("value"))
+
+
+@query(f"{_INGESTED} SELECT tenant_id, source_id, name AS metric_type, coalesce(reason, 'quarantined') AS outcome, count(*) AS n FROM u WHERE outcome IN ('refused', 'quarantine') GROUP BY ALL")
+def stream_side_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a stream set aside: quarantined by name, or refused with a reason."""
+    store = _ingested(spark, sf_dir)
+    refused = store.read("refusals", REFUSALS).select("tenant_id", "source_id", "metric_type", F.col("reason").alias("outcome"), "n")
+    kept = store.read("quarantine_counts", COUNTS).select("tenant_id", "source_id", "metric_type", F.lit("quarantined").alias("outcome"), "n")
+    return refused.unionByName(kept).groupBy("tenant_id", "source_id", "metric_type", "outcome").agg(F.sum("n").alias("n"))

