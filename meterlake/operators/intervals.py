@@ -21,17 +21,21 @@ def merge_adjacent(ranges: DataFrame, *keys: str) -> DataFrame:
 
 
 def subtract(outer: DataFrame, holes: DataFrame, *keys: str) -> DataFrame:
-    """What the holes leave of one outer range of each key."""
+    """What the holes of a key leave of each of its outer ranges; equal outer ranges count once."""
+    own = outer.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to")).where("_from < _to").distinct()
+    ids = [*keys, "_from", "_to"]
     cut = (
         merge_adjacent(holes, *keys)
-        .join(outer.withColumnsRenamed({"start": "_from", "end": "_to"}), [*keys])
+        .join(own, [*keys])
         .where((F.col("end") > F.col("_from")) & (F.col("start") < F.col("_to")))
-        .select(*keys, F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
+        .select(*ids, F.greatest("start", "_from").alias("start"), F.least("end", "_to").alias("end"))
     )
-    edges = cut.select(*keys, F.col("end").alias("start"), F.col("start").alias("_stop")).unionByName(outer.select(*keys, "start", F.lit(None).cast(outer.schema["end"].dataType).alias("_stop")))
-    order = Window.partitionBy(*keys).orderBy("start", F.col("_stop").asc_nulls_first())
-    opened = edges.withColumn("_next", F.lead("_stop").over(order)).drop("_stop").join(outer.select(*keys, F.col("end").alias("_to")), [*keys])
-    return opened.select(*keys, "start", F.coalesce("_next", "_to").alias("end")).where("start < end")
+    # Each hole's end and the range's own start open a piece, which the next hole's start or the range's end closes.
+    none = F.lit(None).cast(outer.schema["end"].dataType)
+    edges = cut.select(*ids, F.col("end").alias("start"), F.col("start").alias("_stop")).unionByName(own.select(*ids, F.col("_from").alias("start"), none.alias("_stop")))
+    order = Window.partitionBy(*ids).orderBy("start", F.col("_stop").asc_nulls_first())
+    pieces = edges.withColumn("_next", F.lead("_stop").over(order))
+    return pieces.select(*keys, "start", F.coalesce("_next", "_to").alias("end")).where("start < end")
 
 
 def intersect(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

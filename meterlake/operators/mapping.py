@@ -73,12 +73,15 @@ def effective_policies(spark: SparkSession, overrides: DataFrame) -> DataFrame:
 
 
 def tagged_sessions(points: DataFrame, provider_id: str) -> DataFrame:
-    """Points that have no session yet get one from their provider's id; the others stay as they are."""
-    untagged = F.get_json_object("metadata", "$.session_id").isNull()
+    """Points that have no session yet get one from their provider's id; the others stay as they are.
+
+    Tagged is what has a member session_id itself, null or not; members of members don't count. The new
+    member is put before the others, which keep their text. Metadata that isn't an object stays as it is.
+    """
+    members = F.json_object_keys("metadata")
     given = F.get_json_object("metadata", f"$.{provider_id}")
     session = F.concat(F.lit("backfill:"), F.substring(F.sha2(F.concat_ws("|", "source_id", given), 256), 1, 16))
-    # The member is put into the text, so that all others keep their kinds.
-    rest = F.regexp_replace(F.regexp_replace("metadata", r',\s*"session_id"\s*:\s*null|"session_id"\s*:\s*null\s*,?', ""), r"^\s*\{\s*", "")
-    merged = F.concat(F.lit('{"session_id":"'), session, F.when(rest == "}", '"').otherwise('",'), rest)
-    changed = untagged & given.isNotNull()
+    rest = F.regexp_replace("metadata", r"^\s*\{\s*", "")
+    merged = F.concat(F.lit('{"session_id":"'), session, F.when(F.size(members) == 0, '"').otherwise('",'), rest)
+    changed = F.coalesce(~F.array_contains(members, "session_id") & given.isNotNull(), F.lit(False))
     return points.withColumns({"metadata": F.when(changed, merged).otherwise(F.col("metadata")), "changed": changed})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, planning_queries, point_queries, session_queries, statistics_queries, stream_queries  # noqa: F401  they register themselves
+from . import ingest_queries, planning_queries, point_queries, session_queries, source_queries, statistics_queries, stream_queries  # noqa: F401  they register themselves
 from .register import ORACLES, QUERIES, Query
 
 

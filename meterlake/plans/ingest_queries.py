@@ -73,11 +73,21 @@ def numeric_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(state.alias("state")).agg(F.count("*").alias("n")).withColumn("value", X.numeric_state(F.col("state")))
 
 
-@query(f"SELECT event_id, CASE WHEN event_id % 3 < 2 THEN {text_sql('date_trunc(' + chr(39) + 'second' + chr(39) + ', ts)')} END AS at FROM events")
+@query(f"SELECT event_id, CASE WHEN event_id % 8 < 7 THEN strftime(CASE event_id % 8 WHEN 3 THEN ts - INTERVAL 2 HOUR WHEN 6 THEN date_trunc('day', ts) ELSE date_trunc(CASE WHEN event_id % 8 = 2 THEN 'milliseconds' ELSE 'second' END, ts) END, '%Y-%m-%d %H:%M:%S') END AS at FROM events".replace("AS at", 'AS "at"'))
 def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times in two formats, and ones that are none."""
-    k = F.col("event_id") % 3
-    raw = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))).otherwise("soon")
+    """Times in the formats of several providers, and ones that are none."""
+    k = F.col("event_id") % 8
+    shown = lambda f: F.date_format("ts", f)
+    raw = (
+        F.when(k == 0, shown("yyyy-MM-dd HH:mm:ss"))
+        .when(k == 1, F.concat(shown("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
+        .when(k == 2, F.concat(shown("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+        .when(k == 3, F.concat(shown("yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
+        .when(k == 4, F.concat(shown("yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")))
+        .when(k == 5, shown("yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k == 6, shown("yyyy-MM-dd"))
+        .otherwise(shown("HH:mm:ss"))
+    )
     return table(spark, sf_dir, "events").select("event_id", text(X.parsed_timestamp(raw)).alias("at"))
 
 

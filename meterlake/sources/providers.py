@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import converted
-from ..functions.text import numeric_state, slug
+from ..functions.text import numeric_state, parsed_timestamp, slug
 
 #: A provider's fields, and the metric and unit of each.
 WEATHER = {
@@ -55,7 +55,7 @@ def weather(payloads: DataFrame) -> DataFrame:
     hourly = payloads.select(F.from_json("payload", f"hourly struct<time: array<string>, {fields}>").alias("p")).select("p.hourly.*")
     there = hourly.select("time", *[F.coalesce(f, F.array().cast("array<double>")).alias(f) for f in WEATHER])
     rows = there.select(F.inline(F.arrays_zip("time", *WEATHER)))
-    return _measured(rows, F.try_to_timestamp("time", F.lit("yyyy-MM-dd'T'HH:mm")), WEATHER)
+    return _measured(rows, parsed_timestamp(F.col("time")), WEATHER)
 
 
 def home_states(payloads: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def home_states(payloads: DataFrame) -> DataFrame:
     value = numeric_state(F.col("state"))
     return rows.where(value.isNotNull()).select(
         F.concat(F.lit("home_assistant_"), F.coalesce(F.nullif(entity, F.lit("")), F.lit("unknown"))).alias("metric_type"),
-        F.coalesce(F.col("last_changed"), F.col("last_updated")).try_cast("timestamp").alias("timestamp"),
+        parsed_timestamp(F.coalesce("last_changed", "last_updated")).alias("timestamp"),
         value.alias("value"),
         F.coalesce("attributes.unit_of_measurement", F.lit("")).alias("unit"),
         F.to_json(F.struct("entity_id")).alias("metadata"),
@@ -78,7 +78,7 @@ def health_export(payloads: DataFrame) -> DataFrame:
     metric = payloads.select(F.explode(F.from_json("payload", "data struct<metrics: array<struct<name: string, units: string, data: array<map<string, string>>>>>")["data"]["metrics"]).alias("m"))
     rows = metric.select("m.name", "m.units", F.explode("m.data").alias("d"))
     given = lambda field: F.try_element_at("d", F.lit(field))
-    at = F.try_to_timestamp(given("date"), F.lit("yyyy-MM-dd HH:mm:ss Z"))
+    at = parsed_timestamp(given("date"))
     asleep = F.col("name") == "sleep_analysis"
     nights = rows.where(asleep).withColumns({f: given(f).try_cast("double") for f in SLEEP})
     hours = _measured(nights, at, {f: (m, "h") for f, m in SLEEP.items()})
@@ -97,10 +97,10 @@ def strength_log(payloads: DataFrame) -> DataFrame:
     meta = F.to_json(F.struct("session_id", F.col("s.exercise.title").alias("exercise_title"), F.col("s.exercise.category").alias("muscle_group"), F.col("s.id").alias("set_id"), F.col("s.setNumber").alias("set_number")))
     measures = {"strength_set_weight": (F.col("s.weight"), "kg"), "strength_set_reps": (F.col("s.reps"), "count"), "strength_set_volume": (F.col("s.weight") * F.col("s.reps"), "kg"), "strength_set_heart_rate_max": (F.col("s.maxPulse"), "bpm")}
     each = F.array(*[F.struct(F.lit(m).alias("metric_type"), v.alias("value"), F.lit(u).alias("unit")) for m, (v, u) in measures.items()])
-    of_sets = sets.select(F.col("s.createdAt").try_cast("timestamp").alias("timestamp"), F.explode(each).alias("e"), meta.alias("metadata")).where("e.value IS NOT NULL").select("e.metric_type", "timestamp", "e.value", "e.unit", "metadata")
+    of_sets = sets.select(parsed_timestamp(F.col("s.createdAt")).alias("timestamp"), F.explode(each).alias("e"), meta.alias("metadata")).where("e.value IS NOT NULL").select("e.metric_type", "timestamp", "e.value", "e.unit", "metadata")
     volume = F.aggregate("sets", F.lit(0.0), lambda a, s: a + F.coalesce(s["weight"] * s["reps"], F.lit(0.0)))
     totals = F.array(F.struct(F.lit("strength_session_volume").alias("metric_type"), volume.alias("value"), F.lit("kg").alias("unit")), F.struct(F.lit("strength_session_sets").alias("metric_type"), F.size("sets").cast("double").alias("value"), F.lit("count").alias("unit")))
-    of_sessions = workouts.select(F.col("createdAt").try_cast("timestamp").alias("timestamp"), F.explode(totals).alias("e"), F.to_json(F.struct(F.col("id").alias("session_id"), F.col("title").alias("workout_title"))).alias("metadata"))
+    of_sessions = workouts.select(parsed_timestamp(F.col("createdAt")).alias("timestamp"), F.explode(totals).alias("e"), F.to_json(F.struct(F.col("id").alias("session_id"), F.col("title").alias("workout_title"))).alias("metadata"))
     return of_sets.unionByName(of_sessions.select("e.metric_type", "timestamp", "e.value", "e.unit", "metadata"))
 
 
@@ -108,7 +108,7 @@ def recovery(payloads: DataFrame) -> DataFrame:
     """Recovery records that have been scored."""
     score = ", ".join(f"{f}: double" for f in RECOVERY)
     rows = payloads.select(F.explode(F.from_json("payload", f"array<struct<id: string, score_state: string, start: string, score: struct<{score}>>>")).alias("r")).select("r.*")
-    return _measured(rows.where("score_state = 'SCORED'"), F.col("start").try_cast("timestamp"), RECOVERY, "score.")
+    return _measured(rows.where("score_state = 'SCORED'"), parsed_timestamp(F.col("start")), RECOVERY, "score.")
 
 
 def recovery_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -117,14 +117,14 @@ def recovery_csv(spark: SparkSession, path: str) -> DataFrame:
     known = table.select(*[F.col(f"`{c}`").alias(CSV_HEADERS[c]) for c in table.columns if c in CSV_HEADERS])
     there = {f: m for f, m in RECOVERY.items() if f in known.columns}
     numbers = known.withColumns({f: F.col(f).try_cast("double") for f in there})
-    return _measured(numbers, F.col("start").try_cast("timestamp"), there)
+    return _measured(numbers, parsed_timestamp(F.col("start")), there)
 
 
 def gps_fixes(payloads: DataFrame) -> DataFrame:
     """Three events for each fix: that it was, its latitude and its longitude."""
     fix = "id: string, latitude: string, longitude: string, altitude: double, speed: double, timestamp: string"
     rows = payloads.select(F.explode(F.from_json("payload", f"array<struct<{fix}>>")).alias("f")).select("f.*")
-    at = F.coalesce(F.timestamp_seconds(F.col("timestamp").try_cast("long")), F.col("timestamp").try_cast("timestamp"))
+    at = F.coalesce(F.timestamp_seconds(F.col("timestamp").try_cast("long")), parsed_timestamp(F.col("timestamp")))
     placed = rows.withColumns({"latitude": F.col("latitude").try_cast("double"), "longitude": F.col("longitude").try_cast("double"), "at": at, "one": F.lit(1.0)}).where("latitude IS NOT NULL AND longitude IS NOT NULL")
     meta = F.to_json(F.struct("latitude", "longitude", "altitude", "speed"))
     return _measured(placed, F.col("at"), {"one": ("location_point", "count"), "latitude": ("location_latitude", "°"), "longitude": ("location_longitude", "°")}, metadata=meta)
@@ -142,7 +142,7 @@ def busy_minutes(occurrences: DataFrame) -> DataFrame:
     """Events and busy minutes of each day, of calendar occurrences (start, end, all_day, transparent, status)."""
     busy = ~F.coalesce("transparent", F.lit(False)) & ~F.coalesce("all_day", F.lit(False)) & (F.coalesce("status", F.lit("")) != "CANCELLED")
     minutes = (F.unix_seconds("end") - F.unix_seconds("start")) / 60
-    days = occurrences.groupBy(F.to_date("start").alias("day")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.when(busy, minutes)), F.lit(0.0)).alias("minutes"))
+    days = occurrences.where("start IS NOT NULL").groupBy(F.to_date("start").alias("day")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.when(busy, minutes)), F.lit(0.0)).alias("minutes"))
     return _measured(days, F.col("day").cast("timestamp"), {"n": ("calendar_event_count", "count"), "minutes": ("calendar_busy_duration", "min")})
 
 
@@ -151,6 +151,6 @@ def health_records(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", "Record").option("attributePrefix", "_").schema("_type string, _startDate string, _value string, _unit string, _sourceName string").load(path)
     name = F.regexp_replace("_type", "^HK(Quantity|Category)TypeIdentifier", "")
     metric = slug(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", "_"))
-    at = F.try_to_timestamp("_startDate", F.lit("yyyy-MM-dd HH:mm:ss Z"))
+    at = parsed_timestamp(F.col("_startDate"))
     value = F.col("_value").try_cast("double")
     return rows.where(value.isNotNull()).select(metric.alias("metric_type"), at.alias("timestamp"), value.alias("value"), F.coalesce("_unit", F.lit("")).alias("unit"), F.to_json(F.struct(F.col("_sourceName").alias("source"))).alias("metadata"))

@@ -71,11 +71,11 @@ def test_policies(spark):
 
 
 def test_session_backfill(spark):
-    rows = [("s", '{"workout_id": "7", "x": 5, "o": {"y": [1]}, "session_id": null}'), ("s", '{"session_id": "old", "workout_id": "7"}'), ("s", "{}")]
+    rows = [("s", '{"workout_id": "7", "x": 5, "o": {"y": [1], "session_id": null}}'), ("s", '{"session_id": "old", "workout_id": "7"}'), ("s", "{}")]
     got = mapping.tagged_sessions(spark.createDataFrame(rows, "source_id string, metadata string"), "workout_id").collect()
     assert [r.changed for r in got] == [True, False, False] and "backfill:" in got[0].metadata and got[1].metadata == rows[1][1] and got[2].metadata == "{}"
     kept = json.loads(got[0].metadata)
-    assert kept.pop("session_id").startswith("backfill:") and kept == {"workout_id": "7", "x": 5, "o": {"y": [1]}}
+    assert kept.pop("session_id").startswith("backfill:") and kept == {"workout_id": "7", "x": 5, "o": {"y": [1], "session_id": None}}
 
 
 def test_calendar(spark):
