@@ -9,6 +9,7 @@ from ..operators.mapping import tagged_sessions
 from ..sources import providers as S
 from ..sources.calendars import occurrences
 from ..sources.fields import collected_fields, unmapped
+from ..sources.workouts import health_workouts
 from .driver_tables import table
 from .register import query, rounded, text, text_sql
 
@@ -94,6 +95,30 @@ def recovery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(S.recovery(_payloads(_events(spark, sf_dir), item, F.to_json("items"), "user_id")))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS o, sum(l_quantity) AS energy, avg(l_quantity) AS beat, max(l_quantity) AS most, count(*) AS beats, sum(l_quantity) AS beat_sum FROM lineitem GROUP BY 1),
+w AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS k, o_totalprice AS p, l.* FROM orders JOIN l ON o_orderkey = o),
+r AS (SELECT month, 'workout_duration' AS metric_type, 's' AS unit, (k % 90 * 60)::DOUBLE AS value FROM w UNION ALL SELECT month, 'workout_energy', CASE WHEN k % 2 = 0 THEN 'kcal' ELSE 'kJ' END, CASE WHEN k % 2 = 0 THEN p ELSE energy END FROM w
+    UNION ALL SELECT month, 'workout_heart_rate_average', '', CASE WHEN k % 3 = 0 THEN 77 ELSE beat END FROM w UNION ALL SELECT month, 'workout_heart_rate_max', '', most FROM w)
+SELECT month, metric_type, unit, count(*) AS n, round(sum(value), 3) AS total FROM r GROUP BY ALL UNION ALL SELECT month, 'workout_heart_rate', 'bpm', sum(beats)::BIGINT, round(sum(beat_sum), 3) FROM w GROUP BY month""")
+def workout_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pushed workouts: energy and pulse are stated by some, and by others only as samples (their lines)."""
+    o = table(spark, sf_dir, "orders")
+    quantity = F.col("l_quantity").cast("double")
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(quantity.alias("qty"), F.lit("kJ").alias("units"))).alias("energy"), F.collect_list(F.struct(quantity.alias("Avg"), F.col("l_linenumber").alias("n"))).alias("beats"))
+    joined = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    k = F.col("o_orderkey")
+    beat = lambda b: F.struct(b["Avg"].alias("Avg"), F.concat(stamp, F.lit("T09:0"), b["n"].cast("string"), F.lit(":00Z")).alias("date"))
+    workout = F.struct(
+        k.cast("string").alias("id"), F.lit("Run").alias("name"), F.concat(stamp, F.lit("T09:00:00Z")).alias("start"), (k % 90 * 60).alias("duration"),
+        F.when(k % 2 == 0, F.struct(F.col("o_totalprice").cast("double").alias("qty"), F.lit("kcal").alias("units"))).alias("totalEnergy"), F.col("energy").alias("activeEnergy"),
+        F.when(k % 3 == 0, 77).alias("avgHeartRate"), F.transform("beats", beat).alias("heartRateData"),
+    )
+    payloads = joined.groupBy("o_custkey").agg(F.collect_list(workout).alias("workouts")).select(F.to_json(F.struct(F.struct("workouts").alias("data"))).alias("payload"))
+    events = health_workouts(payloads, "src")
+    return events.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month"), "metric_type", "unit").agg(F.count("*").alias("n"), rounded(F.sum("value"), 3).alias("total"))
+
+
 _BERLIN = """CASE WHEN d >= last_day(make_date(year(d), 3, 1)) - CAST(isodow(make_date(year(d), 3, 31)) % 7 AS INTEGER)
     AND d < CASE WHEN year(d) < 1996 THEN make_date(year(d), 9, 30) - CAST(isodow(make_date(year(d), 9, 30)) % 7 AS INTEGER) ELSE make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) END THEN '07' ELSE '08' END"""
 
