@@ -37,13 +37,17 @@ def decode_key(key: Column) -> Column:
 
 
 def session_list(sets: DataFrame) -> DataFrame:
-    """Each session with its time, sets, exercises, muscle groups and volume."""
-    return sets.groupBy("tenant_id", "session_id").agg(
-        F.min("at").alias("start"),
-        F.count("*").alias("sets"),
+    """Each session with its time, sets, exercises, muscle groups and volume.
+
+    Sets are summed by exercise and muscle group first, a plain sum that needs no objects; what is left of a
+    session is a few rows."""
+    parts = sets.groupBy("tenant_id", "session_id", "exercise_title", "muscle_group").agg(F.min("at").alias("_at"), F.count("*").alias("_n"), F.sum(F.col("weight_kg") * F.col("reps")).alias("_volume"))
+    return parts.groupBy("tenant_id", "session_id").agg(
+        F.min("_at").alias("start"),
+        F.sum("_n").alias("sets"),
         F.size(F.collect_set("exercise_title")).cast("long").alias("exercises"),  # a session is small
         F.array_join(F.sort_array(F.collect_set("muscle_group")), ",").alias("muscle_groups"),
-        F.sum(F.col("weight_kg") * F.col("reps")).alias("volume"),
+        F.sum("_volume").alias("volume"),
     )
 
 

@@ -98,9 +98,16 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(rows, "l_extendedprice", "unit", "target", "kilograms").select("l_orderkey", "l_linenumber", "l_partkey", rounded("kilograms", 6).alias("kilograms"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', CAST({f!r} AS DOUBLE))" for (a, b), f in unit_factors().items()) + ") AS t(source, target, factor)")
+_FACTORS = "(VALUES " + ", ".join(f"('{a}', '{b}', CAST({f!r} AS DOUBLE))" for (a, b), f in unit_factors().items()) + ") AS t(source, target, factor)"
+
+
+@query(f"SELECT source, target, factor, round(factor * total, 2) AS converted FROM {_FACTORS}, (SELECT sum(l_quantity) AS total FROM lineitem)")
 def unit_factor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a, b, f) for (a, b), f in unit_factors().items()], "source string, target string, factor double")
+    """Each known conversion, of the quantity of all lines."""
+    total = table(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").cast("double").alias("total"))
+    known = spark.createDataFrame([(a, b, f) for (a, b), f in unit_factors().items()], "source string, target string, factor double")
+    rows = total.withColumn("_k", F.lit(1)).join(F.broadcast(known.withColumn("_k", F.lit(1))), "_k")  # 42 conversions of one row
+    return converted(rows, "total", "source", "target").select("source", "target", "factor", rounded("converted", 2).alias("converted"))
 
 
 @query("SELECT CASE event_type WHEN 'view' THEN 'step_count' WHEN 'click' THEN 'custom_mood' WHEN 'error' THEN ' heart_rate ' ELSE event_type END AS raw, CASE event_type WHEN 'view' THEN 'steps' WHEN 'click' THEN 'custom_mood' WHEN 'error' THEN 'heart_rate' END AS canonical, count(*) AS n FROM events GROUP BY ALL")

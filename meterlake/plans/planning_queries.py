@@ -93,10 +93,18 @@ def first_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = "(VALUES ('t1', 'steps', 'hour', 30), ('t2', 'heart_rate', NULL, NULL)) AS o(tenant_id, metric_type, own_resolution, days)"
 
 
-@query(f"SELECT g.tenant_id, m.metric_type, coalesce(o.own_resolution, m.resolution) AS resolution, CAST(CASE WHEN o.tenant_id IS NULL THEN m.retention_days ELSE o.days END AS DOUBLE) AS retention_days FROM (VALUES ('t1'), ('t2')) AS g(tenant_id) CROSS JOIN ({_METRICS}) m LEFT JOIN {_OWN} ON o.tenant_id = g.tenant_id AND o.metric_type = m.metric_type")
+@query(f"""WITH {POINTS_SQL}, e AS (SELECT g.tenant_id, m.metric_type, coalesce(o.own_resolution, m.resolution) AS resolution, CASE WHEN o.tenant_id IS NULL THEN m.retention_days ELSE o.days END AS days
+    FROM (VALUES ('t1'), ('t2')) AS g(tenant_id) CROSS JOIN ({_METRICS}) m LEFT JOIN {_OWN} ON o.tenant_id = g.tenant_id AND o.metric_type = m.metric_type)
+SELECT e.tenant_id, e.metric_type, e.resolution, CAST(e.days AS DOUBLE) AS retention_days, count(p.point_id) AS points, count(p.point_id) FILTER (date_diff('day', p.timestamp, TIMESTAMP '2024-03-01') > e.days) AS expired
+FROM e LEFT JOIN points p ON p.tenant_id = e.tenant_id AND p.metric_type = e.metric_type GROUP BY ALL""")
 def effective_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policies of two tenants, and how many of their points there are and are past them on a day."""
     own = spark.createDataFrame([("t1", "steps", "hour", 30), ("t2", "heart_rate", "odd", None)], "tenant_id string, metric_type string, resolution string, raw_retention_days int")
-    return M.effective_policies(spark, own).withColumn("retention_days", F.col("retention_days").cast("double"))
+    policies = M.effective_policies(spark, own).withColumn("retention_days", F.col("retention_days").cast("double"))
+    days = points(spark, sf_dir).groupBy("tenant_id", "metric_type", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
+    age = F.datediff(F.lit("2024-03-01").cast("date"), F.col("day"))
+    met = policies.join(days, ["tenant_id", "metric_type"], "left").groupBy("tenant_id", "metric_type", "resolution", "retention_days")
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.when(age > F.col("retention_days"), F.col("n"))), F.lit(0)).alias("expired"))
 
 
 _REPORTS = """runs AS (SELECT 't' || (o_custkey % 40) AS tenant_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'gaps' WHEN '2-HIGH' THEN 'day' ELSE 'insights' END AS kind,

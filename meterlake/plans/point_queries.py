@@ -304,11 +304,13 @@ def _value(v: object) -> str:
 _METRICS = "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_value, m.__dict__.values()))})" for m in metrics().values()) + ") AS t(" + ", ".join(next(iter(metrics().values())).__dict__) + ")"
 
 
-@query(f"SELECT metric_type, unit, aggregation, category, cadence, resolution, CAST(retention_days AS DOUBLE) AS retention_days, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most, CAST(precision AS INTEGER) AS precision, sources, aliases FROM ({_METRICS})")
+@query(f"WITH {POINTS_SQL} SELECT metric_type, unit, aggregation, category, cadence, resolution, CAST(retention_days AS DOUBLE) AS retention_days, CAST(least AS DOUBLE) AS least, CAST(most AS DOUBLE) AS most, CAST(precision AS INTEGER) AS precision, sources, aliases, coalesce(n, 0) AS points FROM ({_METRICS}) LEFT JOIN (SELECT metric_type, count(*) AS n FROM points GROUP BY 1) USING (metric_type)")
 def registry_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of sources and aliases as one text each."""
+    """The catalogue, with how many points there are of each metric; names of sources and aliases as one text each."""
+    counts = points(spark, sf_dir).groupBy("metric_type").agg(F.count("*").alias("points"))
     numbers = {c: F.col(c).cast(t) for c, t in (("retention_days", "double"), ("least", "double"), ("most", "double"), ("precision", "int"))}
-    return registry(spark).withColumns({c: F.array_join(c, ",") for c in ("sources", "aliases")} | numbers)
+    catalogue = registry(spark).withColumns({c: F.array_join(c, ",") for c in ("sources", "aliases")} | numbers)
+    return catalogue.join(counts, "metric_type", "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
 @query(_sql("SELECT * FROM points WHERE tenant_id <> 't2'").replace("SELECT * FROM points WHERE tenant_id <> 't2'", "SELECT tenant_id, metric_type, count(*) AS n FROM points WHERE tenant_id <> 't2' GROUP BY ALL"))

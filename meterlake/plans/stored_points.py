@@ -11,7 +11,7 @@ from .driver_tables import points
 
 #: When the store's states were begun anew: what came that afternoon lies in the store without being counted.
 NOON, NIGHT = "2024-01-20 12:00:00", "2024-01-21 00:00:00"
-_MADE: dict[tuple[str, str, int, int], str] = {}
+_MADE: dict[tuple, str] = {}
 
 
 def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,17 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
     return store
 
 
+def table_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells a table of this session from a changed one: its place, its files' newest time and their length."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest = max(f.getModificationTime() for f in system.listStatus(path))
+    return spark.sparkContext.applicationId, sf_dir, newest, system.getContentSummary(path).getLength()
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Store:
     """The store of a folder's events: made on first use in a session, and again if the table's files have changed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, sf_dir, files.getModificationTime(), files.getLen())
+    key = table_state(spark, sf_dir, "events")
     if key not in _MADE:
         _MADE[key] = build_store(spark, sf_dir).folder
     return Store(spark, _MADE[key])

@@ -12,6 +12,7 @@ from ..streaming.ingestion import COUNTS, REFUSALS, ingest, run_counts
 from ..streaming.store import Store
 from .driver_tables import POINTS_SQL, points, table
 from .register import query, rounded, text, text_sql
+from .stored_points import table_state
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,19 @@ RULES = "tenant_id string, source_id string, metric_type string, action string,
 SOURCES = "tenant_id string, source_id string, source_type string"
 
 
+_INGESTED_AT: dict[tuple, str] = {}
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> Store:
-    """Events under their own names into a store, batch by batch, the third batch twice.
+    """Events under their own names in a store, which the queries of a session share as long as the table's files stay the same."""
+    key = table_state(spark, sf_dir, "events")
+    if key not in _INGESTED_AT:
+        _INGESTED_AT[key] = _ingest(spark, sf_dir).folder
+    return Store(spark, _INGESTED_AT[key])
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> Store:
+    """Events into a store, batch by batch, the third batch twice.
 
     One rule holds from the second batch's time on, another is written after the first batch."""
     store = Store(spark, jobs.shared_folder(spark))
