@@ -13,6 +13,8 @@ from ..functions.text import idempotency_key
 #: Bounds of names, and of quarantine for each source.
 MAX_NAME = 200
 QUARANTINE_NAMES, QUARANTINE_ROWS = 100, 100_000
+#: Bytes of metadata that a point may have, and characters of a unit that is kept of larger ones.
+MAX_METADATA_BYTES, MAX_UNIT = 32 * 1024, 64
 
 
 def reject_reason(canonical_name: Column | None = None, supplied_key: Column | None = None) -> Column:
@@ -183,3 +185,23 @@ def capacity_warning(rows: Column, names: Column, refused: Column) -> Column:
     full = (rows >= QUARANTINE_ROWS) | (names >= QUARANTINE_NAMES) | (refused > 0)
     near = (rows >= 0.8 * QUARANTINE_ROWS) | (names >= 0.8 * QUARANTINE_NAMES)
     return F.when(full, "critical").when(near, "warning").otherwise("ok")
+
+
+def bounded_metadata(metadata: Column, value: Column) -> Column:
+    """Metadata (JSON) as it is, up to 32 KiB; of more, and of what isn't JSON, the provider's value and unit and that it was cut."""
+    fits = (F.octet_length(metadata) <= MAX_METADATA_BYTES) & F.json_object_keys(metadata).isNotNull()
+    stated = F.get_json_object(metadata, "$.provider_value").try_cast("double")
+    usable = F.when(~F.isnan(stated) & (F.abs(stated) < float("inf")), stated)
+    unit = F.get_json_object(metadata, "$.units")
+    short = F.struct(F.coalesce(usable, value).alias("provider_value"), F.when(F.char_length(unit) <= MAX_UNIT, unit).alias("units"), F.lit(True).alias("metadata_truncated"))
+    return F.when(fits, metadata).otherwise(F.to_json(short, {"ignoreNullFields": "false"}))
+
+
+def with_provenance(mapped_events: DataFrame) -> DataFrame:
+    """Mapped events whose metadata says where a renamed or adopted one comes from (mapped_from, mapping_action), bounded."""
+    told = F.concat(F.lit('{"mapped_from":'), F.to_json(F.struct(F.col("raw_metric_type").alias("x"))), F.lit(""))
+    name = F.regexp_extract(told, r'"x":(".*")\}$', 1)
+    rest = F.regexp_replace(F.coalesce("metadata", F.lit("{}")), r"^\s*\{\s*", "")
+    merged = F.concat(F.lit('{"mapped_from":'), name, F.lit(',"mapping_action":"'), F.col("action"), F.when(rest.startswith("}"), '"').otherwise('",'), rest)
+    changed = F.col("action").isin("map", "adopt")
+    return mapped_events.withColumn("metadata", bounded_metadata(F.when(changed, merged).otherwise(F.col("metadata")), F.col("value")))

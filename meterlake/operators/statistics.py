@@ -124,3 +124,18 @@ def quality(series: DataFrame, window_days: int, *keys: str, min_days: int = 10)
     told = series.groupBy(*keys).agg(F.count_distinct("day").alias("days")).withColumn("coverage", F.col("days") / window_days)
     known = with_definition(told, ("cadence",))
     return known.withColumn("sufficient", (F.col("days") >= min_days) & ((F.col("cadence") != "daily") | (F.col("coverage") >= 0.5)))
+
+
+def quantile_states(points: DataFrame, *keys: str, accuracy: int = 400) -> DataFrame:
+    """A sketch of each key's values that merges with others and holds a bounded number of values. With ``accuracy``
+    400 a rank is told to within about 0.7 % of the values; of up to 400 values it holds all, and is exact."""
+    return points.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*keys).agg(F.kll_sketch_agg_double("value", F.lit(accuracy)).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_quantiles(states: DataFrame, *keys: str) -> DataFrame:
+    return states.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+
+def quantile(share: float) -> Column:
+    """The value of a sketch that ``share`` of the values don't exceed."""
+    return F.kll_sketch_get_quantile_double("sketch", F.lit(share))

@@ -172,3 +172,9 @@ def session_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     fields = [F.when(k % 3 == 0, "").when(k % 3 == 2, F.col("p_name")), F.when(k % 2 == 0, " ").otherwise(F.col("p_type"))]
     return table(spark, sf_dir, "part").select("p_partkey", S.first_title(fields).alias("title"))
+
+
+@query()
+def track_length_ellipsoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On WGS84 (tests have known distances)."""
+    return S.track_length(_fixes(spark, sf_dir), "tenant_id", "source_id", distance=S.ellipsoid_distance).withColumn("meters", rounded("meters", 3))

@@ -181,3 +181,41 @@ def unmapped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(F.lit('{"order":{"key":'), F.col("l_orderkey").cast("string"), F.lit(',"lines":['), F.col("x"), F.lit("]}}"))
     found = collected_fields(lines.select(payload.alias("payload")))
     return unmapped(found, spark.createDataFrame([("order.key",)], "path string")).select("path", "kind", "n", "documents")
+
+
+_ZONES = "event_id % 7 * 1000 AS z0, event_id % 5 * 1000 AS z1, event_id % 3 * 1000 AS z2"
+
+
+@query(f"""WITH w AS (SELECT event_id, date_trunc('minute', ts) AS tm, value, {_ZONES} FROM events WHERE event_id % 3 > 0), s AS (SELECT *, z0 + z1 + z2 AS whole FROM w),
+r AS (SELECT 'workout_energy' AS metric_type, 'kcal' AS unit, round(value * 0.2390057361, 1) AS value FROM s UNION ALL SELECT 'workout_duration', 'min', event_id % 90 FROM s WHERE event_id % 90 > 0
+    UNION ALL SELECT 'workout_heart_rate_zone_1', '%', z1 * 100.0 / whole FROM s WHERE whole > 0 UNION ALL SELECT 'workout_heart_rate_zone_2', '%', z2 * 100.0 / whole FROM s WHERE whole > 0)
+SELECT metric_type, unit, count(*) AS n, round(sum(value), 3) AS total FROM r WHERE value IS NOT NULL GROUP BY ALL""")
+def workout_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored workouts: energy in kcal, minutes from start to end, and each zone's share of the time in all."""
+    k = F.col("event_id")
+    zones = F.struct((k % 7 * 1000).alias("zone_zero_milli"), (k % 5 * 1000).alias("zone_one_milli"), (k % 3 * 1000).alias("zone_two_milli"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    score = F.struct(F.col("value").alias("kilojoule"), zones.alias("zone_duration"))
+    item = F.struct(F.when(k % 3 > 0, "SCORED").otherwise("PENDING").alias("score_state"), stamp(F.col("at")).alias("start"), stamp(F.timestamp_add("MINUTE", (k % 90).cast("int"), F.col("at"))).alias("end"), score.alias("score"))
+    events = S.recovery(_payloads(_events(spark, sf_dir), item, F.to_json("items"), "user_id"), "workout")
+    return events.groupBy("metric_type", "unit").agg(F.count("*").alias("n"), rounded(F.sum("value"), 3).alias("total"))
+
+
+@query("""WITH d AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL), days AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-10', INTERVAL 1 DAY)) AS d),
+u AS (SELECT DISTINCT user_id FROM events), g AS (SELECT user_id, strftime(d, '%Y-%m-%d') AS day FROM u, days),
+t AS (SELECT g.user_id, g.day, coalesce(sum(n), 0) AS commits, count(DISTINCT event_type) AS repositories, sum(n * 3) AS added FROM g LEFT JOIN d USING (user_id, day) GROUP BY ALL)
+SELECT 'code_commits' AS metric_type, day, count(*) AS n, sum(commits)::DOUBLE AS total FROM t GROUP BY day UNION ALL SELECT 'code_repositories_touched', day, count(*), sum(repositories)::DOUBLE FROM t GROUP BY day
+UNION ALL SELECT 'code_lines_added', day, count(*), sum(coalesce(added, 0))::DOUBLE FROM t GROUP BY day
+UNION ALL SELECT 'github_own_' || event_type || '_commits', day, count(*), sum(n)::DOUBLE FROM d WHERE day <= '2024-01-10' GROUP BY event_type, day""")
+def code_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits, their type as the repository: counters of each day and of each repository."""
+    counts = _events(spark, sf_dir).groupBy("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    days = lambda times: F.map_from_entries(F.collect_list(F.struct("day", F.col("n") * times)))
+    each = counts.groupBy("user_id", "event_type").agg(days(1).alias("commits_by_day"), days(3).alias("additions_by_day"))
+    repository = F.struct(F.concat(F.lit("Own/"), "event_type").alias("name_with_owner"), "commits_by_day", "additions_by_day")
+    repositories = each.groupBy("user_id").agg(F.collect_list(repository).alias("repositories"))
+    totals = counts.groupBy("user_id", "day").agg(F.sum("n").alias("n")).groupBy("user_id").agg(days(1).alias("commits_by_day"))
+    window = F.struct(F.col("user_id").cast("string").alias("login"), "commits_by_day", "repositories")
+    events = S.commits(repositories.join(totals, "user_id").select(F.to_json(window).alias("payload")), "2024-01-01", "2024-01-10")
+    shown = F.col("metric_type").isin("code_commits", "code_repositories_touched", "code_lines_added") | F.col("metric_type").startswith("github_")
+    return events.where(shown).groupBy("metric_type", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -210,3 +210,14 @@ def contribution_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days in a row on which a user did anything, as of the last day."""
     days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"))
     return I.current_streak(days, "2024-01-30", "user_id")
+
+
+@query(_sql("SELECT tenant_id, metric_type, count(value) AS n, true AS within FROM points WHERE value IS NOT NULL GROUP BY ALL"))
+def sketched_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians from the merged sketches of days; ``within``: their rank is off by 1.5 % of the values at most."""
+    own = points(spark, sf_dir).where("value IS NOT NULL")
+    days = S.quantile_states(own.withColumn("day", F.to_date("timestamp")), "tenant_id", "metric_type", "day")
+    medians = S.merged_quantiles(days, "tenant_id", "metric_type").select("tenant_id", "metric_type", "n", S.quantile(0.5).alias("m"))
+    ranks = own.join(medians, ["tenant_id", "metric_type"]).groupBy("tenant_id", "metric_type", "n").agg(F.count_if(F.col("value") < F.col("m")).alias("below"), F.count_if(F.col("value") <= F.col("m")).alias("upto"))
+    half, slack = F.col("n") / 2, F.greatest(F.col("n") * 0.015, F.lit(1.0))
+    return ranks.select("tenant_id", "metric_type", "n", ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("within"))

@@ -104,11 +104,52 @@ def strength_log(payloads: DataFrame) -> DataFrame:
     return of_sets.unionByName(of_sessions.select("e.metric_type", "timestamp", "e.value", "e.unit", "metadata"))
 
 
-def recovery(payloads: DataFrame) -> DataFrame:
-    """Recovery records that have been scored."""
-    score = ", ".join(f"{f}: double" for f in RECOVERY)
-    rows = payloads.select(F.explode(F.from_json("payload", f"array<struct<id: string, score_state: string, start: string, score: struct<{score}>>>")).alias("r")).select("r.*")
-    return _measured(rows.where("score_state = 'SCORED'"), parsed_timestamp(F.col("start")), RECOVERY, "score.")
+#: Fields of a record's score by the kind of record, and the metric and unit of each.
+RECORDS = {
+    "cycle": {"strain": ("whoop_strain", "index"), "kilojoule": ("energy_total", "kJ"), "average_heart_rate": ("heart_rate_average", "bpm"), "max_heart_rate": ("heart_rate_max", "bpm")},
+    "recovery": RECOVERY,
+    "sleep": {"sleep_performance_percentage": ("whoop_sleep_performance", "%"), "sleep_efficiency_percentage": ("sleep_efficiency", "%"), "respiratory_rate": ("respiratory_rate", "breaths/min")},
+    "workout": {
+        "strain": ("whoop_workout_strain", "index"), "kilojoule": ("workout_energy", "kJ"), "average_heart_rate": ("workout_heart_rate_average", "bpm"),
+        "distance_meter": ("workout_distance", "m"), "max_heart_rate": ("workout_heart_rate_max", "bpm"), "altitude_gain_meter": ("workout_elevation_gain", "m"),
+    },
+}
+#: Times in zones of the pulse; that below the first is part of the whole, but no zone.
+ZONES = ("zone_zero_milli", "zone_one_milli", "zone_two_milli", "zone_three_milli", "zone_four_milli", "zone_five_milli")
+
+
+def interval_minutes(start: Column, end: Column) -> Column:
+    """Minutes from one time to a later one; null if it isn't later."""
+    return F.when(end > start, F.timestamp_diff("MICROSECOND", start, end) / 60e6)
+
+
+def in_kilocalories(events: DataFrame) -> DataFrame:
+    """Events of energy in kcal, with one decimal, where they are in kJ."""
+    told = converted(events.withColumn("_target", F.when(F.col("unit") == "kJ", "kcal").otherwise(F.col("unit"))), "value", "unit", "_target", "_v")
+    return told.withColumn("value", F.when(F.col("unit") == "kJ", F.round("_v", 1)).otherwise(F.col("value"))).withColumn("unit", F.col("_target")).drop("_target", "_v")
+
+
+def recovery(payloads: DataFrame, kind: str = "recovery") -> DataFrame:
+    """Records of a kind (cycle, recovery, sleep, workout) that have been scored, energy in kcal.
+
+    A workout also has its minutes from start to end, and the share of each zone of the pulse in the time of all zones
+    that are stated, the one below the first included."""
+    fields = RECORDS[kind]
+    numbers = ", ".join(f"{f}: double" for f in fields)
+    zones = f", zone_duration: struct<{', '.join(f'{z}: double' for z in ZONES)}>" if kind == "workout" else ""
+    rows = payloads.select(F.explode(F.from_json("payload", f"array<struct<id: string, score_state: string, start: string, end: string, score: struct<{numbers}{zones}>>>")).alias("r")).select("r.*")
+    scored = rows.where("score_state = 'SCORED'")
+    at = parsed_timestamp(F.col("start"))
+    found = in_kilocalories(_measured(scored, at, fields, "score."))
+    if kind != "workout":
+        return found
+    total = sum((F.coalesce(F.col(f"score.zone_duration.{z}"), F.lit(0.0)) for z in ZONES), F.lit(0.0))
+    shares = {f"_share{k}": F.when(total > 0, F.col(f"score.zone_duration.{z}") / total * 100) for k, z in enumerate(ZONES) if k}
+    derived = scored.withColumns(shares | {"_minutes": interval_minutes(at, parsed_timestamp(F.col("end"))), "_total": total})
+    meta = F.to_json(F.struct(F.lit("share").alias("derived_by"), F.col("_total").alias("zone_total_ms"), F.col("score.zone_duration.zone_zero_milli").alias("zone_below_one_ms")))
+    zoned = _measured(derived, at, {f"_share{k}": (f"workout_heart_rate_zone_{k}", "%") for k in range(1, len(ZONES))}, metadata=meta)
+    timed = _measured(derived, at, {"_minutes": ("workout_duration", "min")}, metadata=F.lit('{"derived_by":"difference"}'))
+    return found.unionByName(timed).unionByName(zoned)
 
 
 def recovery_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -130,12 +171,44 @@ def gps_fixes(payloads: DataFrame) -> DataFrame:
     return _measured(placed, F.col("at"), {"one": ("location_point", "count"), "latitude": ("location_latitude", "°"), "longitude": ("location_longitude", "°")}, metadata=meta)
 
 
-def commits(payloads: DataFrame, start: str, end: str) -> DataFrame:
-    """Commits of each day of a window, zeros included."""
-    told = payloads.select(F.from_json("payload", "login string, commits_by_day map<string, int>").alias("p")).select("p.login", "p.commits_by_day")
-    days = told.withColumn("day", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))))
-    count = F.coalesce(F.try_element_at("commits_by_day", F.date_format("day", "yyyy-MM-dd")), F.lit(0))
-    return days.select(F.lit("code_commits").alias("metric_type"), F.col("day").cast("timestamp").alias("timestamp"), count.cast("double").alias("value"), F.lit("count").alias("unit"), F.to_json(F.struct("login")).alias("metadata"))
+#: Counts by day of a window, and the metric of each.
+COUNTERS = {
+    "commits_by_day": "code_commits",
+    "pull_requests_opened_by_day": "code_pull_requests_opened",
+    "pull_requests_merged_by_day": "code_pull_requests_merged",
+    "reviews_by_day": "code_reviews_submitted",
+    "issues_opened_by_day": "code_issues_opened",
+}
+BY_DAY = "map<string, int>"
+REPOSITORY = f"struct<name_with_owner: string, commits_by_day: {BY_DAY}, additions_by_day: {BY_DAY}, deletions_by_day: {BY_DAY}, commits_truncated: boolean>"
+
+
+def commits(payloads: DataFrame, start: str, end: str, most_repositories: int = 100) -> DataFrame:
+    """Counters of each day of a window: zeros included, of lines only where the scan of repositories was whole and
+    the day has no commits; and the commits of each repository on days that have some.
+
+    The lines of a day are those of all repositories, its repositories those with commits. A scan isn't whole if
+    there are more than ``most_repositories`` of them or one's commits were cut off."""
+    counters = ", ".join(f"{c} {BY_DAY}" for c in COUNTERS)
+    told = payloads.select(F.from_json("payload", f"login string, {counters}, repositories array<{REPOSITORY}>").alias("p")).select("p.*")
+    there = F.coalesce("repositories", F.array().cast(f"array<{REPOSITORY}>"))
+    whole = (F.size(there) <= most_repositories) & ~F.exists(there, lambda r: F.coalesce(r["commits_truncated"], F.lit(False)))
+    days = told.select(*told.columns, there.alias("_r"), whole.alias("_whole"), F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("_d"))
+    key = F.date_format("_d", "yyyy-MM-dd")
+    on_day = lambda m: F.try_element_at(m, key)
+    total = lambda part: F.aggregate(F.transform("_r", lambda r: on_day(r[part])), F.lit(None).cast("int"), lambda a, x: F.coalesce(a + x, a, x))
+    touched = F.size(F.array_distinct(F.transform(F.filter("_r", lambda r: F.coalesce(on_day(r["commits_by_day"]), F.lit(0)) > 0), lambda r: r["name_with_owner"])))
+    quiet = F.col("_whole") & (F.coalesce(on_day(F.col("commits_by_day")), F.lit(0)) == 0)
+    lines = {m: F.coalesce(total(p), F.when(quiet, 0)) for m, p in (("code_lines_added", "additions_by_day"), ("code_lines_removed", "deletions_by_day"))}
+    values = {m: F.coalesce(on_day(F.col(c)), F.lit(0)) for c, m in COUNTERS.items()} | {"code_repositories_touched": touched} | lines
+    meta = F.to_json(F.struct("login"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric_type"), v.cast("double").alias("value")) for m, v in values.items()])
+    daily = days.select(F.col("_d").cast("timestamp").alias("timestamp"), meta.alias("metadata"), F.explode(each).alias("e")).where("e.value IS NOT NULL")
+    own = days.select("login", "_d", F.explode("_r").alias("r")).withColumn("n", F.try_element_at("r.commits_by_day", key)).where("n > 0")
+    name = F.btrim(F.regexp_replace(F.lower(F.col("r.name_with_owner")), "[^a-z0-9]+", "_"), F.lit("_"))
+    of_each = own.select(F.concat(F.lit("github_"), name, F.lit("_commits")).alias("metric_type"), F.col("_d").cast("timestamp").alias("timestamp"), F.col("n").cast("double").alias("value"), F.to_json(F.struct("login", F.col("r.name_with_owner").alias("repository"), F.try_element_at("r.additions_by_day", key).alias("lines_added"), F.try_element_at("r.deletions_by_day", key).alias("lines_removed"))).alias("metadata"))
+    counted = daily.select("e.metric_type", "timestamp", "e.value", "metadata").unionByName(of_each)
+    return counted.withColumn("unit", F.lit("count")).select("metric_type", "timestamp", "value", "unit", "metadata")
 
 
 def busy_minutes(occurrences: DataFrame) -> DataFrame:
