@@ -17,8 +17,12 @@ SPACE = re.compile(r"[\s\xa0]+")
 SENTENCE = re.compile(r"[.!?;:,](?:\s|$)")
 
 #: Fixed lists of element names, after the HTML standard.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select head title".split())
-CLOSE_OF = {t: re.compile(rf"</{t}[\s/]*+>", re.I) for t in RAW}
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title button label".split())
+#: Of these the content is text to the first end tag; others hold elements, and may hold their like.
+TEXT_ONLY = frozenset("script style textarea title iframe noscript".split())
+EDGE_OF = {t: re.compile(rf"<(/?+){t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
+#: What a head may hold; anything else ends it.
+OF_HEAD = frozenset("head base link meta title style script noscript template bgsound basefont".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -113,6 +117,19 @@ def _nearest(tag: str, place: int, above: tuple[int, ...]) -> tuple[int, ...]:
     return tuple([place if tag in names else -1 if tag in stop else a for (names, stop), a in zip(ALIKE, above, strict=True)])
 
 
+def _end_of(tag: str, source: str, at: int) -> int | None:
+    """Where an element whose content is skipped ends, its like inside counted; None if it never does."""
+    depth = 1
+    for m in EDGE_OF[tag].finditer(source, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif tag not in TEXT_ONLY and not m[0].endswith("/>"):
+            depth += 1
+    return None
+
+
 def parse(source: str) -> Page:
     """Elements that aren't closed end where a block that can't be inside them begins or their parent ends.
     Scripts, styles and other elements without text of the page are skipped with all they hold; so is a tag or
@@ -124,6 +141,7 @@ def parse(source: str) -> Page:
     never_closed: set[str] = set()
     text: list[str] = []
     anchors = 0
+    in_head = False
 
     def flush() -> None:
         if text:
@@ -144,6 +162,11 @@ def parse(source: str) -> Page:
         del stack[to:]
 
     def said(part: str) -> None:
+        nonlocal in_head
+        if in_head:
+            if not part.strip():
+                return
+            in_head = False  # text ends a head, as in browsers
         text.append(part)
         if anchors and (n := len(part.strip())):
             nodes[stack[-1].node].link_chars += n
@@ -162,7 +185,12 @@ def parse(source: str) -> Page:
             stop = source.find("-->", start + 2) if comment else source.find(">", start)
             at = end if stop < 0 else stop + (3 if comment else 1)
             continue
-        if not (mark.isascii() and mark.isalpha() or mark == "/" and source[start + 2 : start + 3].isascii() and source[start + 2 : start + 3].isalpha()):
+        after = source[start + 2 : start + 3]
+        if mark == "/" and after and not (after.isascii() and after.isalpha()):
+            stop = source.find(">", start)  # no end tag, so a comment
+            at = end if stop < 0 else stop + 1
+            continue
+        if not (mark.isascii() and mark.isalpha() or mark == "/" and after):
             said("<")
             at = start + 1
             continue
@@ -171,11 +199,15 @@ def parse(source: str) -> Page:
             break
         at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
+        if tag == "head" or in_head and tag not in OF_HEAD:
+            in_head = tag == "head" and not closing and len(nodes) == 1
+        if tag == "head":
+            continue
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                close = None if tag in never_closed else CLOSE_OF[tag].search(source, at)
-                if close:
-                    at = close.end()
+                close = None if tag in never_closed else _end_of(tag, source, at)
+                if close is not None:
+                    at = close
                 else:
                     never_closed.add(tag)
                     if tag in ("script", "style", "textarea", "template", "noscript"):
@@ -297,9 +329,16 @@ def features(page: Page) -> np.ndarray:
     return rows
 
 
+#: A page with so many characters of prose outside of links has a main text.
+LEAST_PROSE = 80
+
+
 def decode(page: Page, log_odds: np.ndarray, price: float = 0.25) -> list[str]:
     """The blocks of the best consistent choice: a subtree is kept whole, dropped whole, or, at a price,
-    split into its own text and its children's choices. So nothing is kept below what is dropped whole."""
+    split into its own text and its children's choices. So nothing is kept below what is dropped whole.
+
+    A page with prose has a main text: if the best choice keeps no block of it, the subtree is kept
+    for which this costs least."""
     nodes = page.nodes
     yes = -np.logaddexp(0, -log_odds)
     no = -np.logaddexp(0, log_odds)
@@ -321,4 +360,18 @@ def decode(page: Page, log_odds: np.ndarray, price: float = 0.25) -> list[str]:
             choice[k] = 2
         else:
             choice[k] = int(keep[k] >= drop[k])
-    return [text for node, text in page.blocks if choice[node] == 1 or choice[node] == 2 and log_odds[node] > 0]
+    kept = [choice[node] == 1 or choice[node] == 2 and log_odds[node] > 0 for node, _ in page.blocks]
+    prose = [len(SENTENCE.findall(text)) > 0 and len(text) >= LEAST_PROSE // 2 for _, text in page.blocks]
+    plain = sum(nodes[k].chars - nodes[k].link_chars for k in {node for (node, _), p in zip(page.blocks, prose) if p})
+    if plain >= LEAST_PROSE and not any(k and p for k, p in zip(kept, prose)):
+        inside = {node for (node, _), p in zip(page.blocks, prose) if p}
+        for k in range(len(nodes) - 1, 0, -1):
+            if k in inside:
+                inside.add(nodes[k].parent)
+        chosen = max(inside, key=lambda k: (keep[k] - drop[k], k))
+        below = {chosen}
+        for k in range(chosen + 1, len(nodes)):
+            if nodes[k].parent in below:
+                below.add(k)
+        kept = [k or node in below for k, (node, _) in zip(kept, page.blocks)]
+    return [text for k, (_, text) in zip(kept, page.blocks) if k]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 #: Class names that sites give to the parts of a page (fixed lists); "" stands for no attribute.
 NAMES = {
@@ -17,6 +18,10 @@ NAMES = {
     "form": ["search", "login", "contact-form", "search-form", ""],
 }
 
+#: Elements that say what a part of the page is; many pages have none of them, and many no names either.
+SEMANTIC = re.compile(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b")
+NAMED = re.compile(r' (?:class|id)="[^"]*"')
+
 MARKS = "\ue000\ue001"
 
 
@@ -68,7 +73,9 @@ class Writer:
             return "<ul>" + "".join(f"<li>{self.said(main, self.sentence(2, 14))}</li>" for _ in range(self.r.randint(2, 6))) + "</ul>"
         if kind < 0.88:
             return f"<blockquote>{self.said(main, self.prose(3))}</blockquote>"
-        if kind < 0.93:
+        if kind < 0.9:
+            return f'<figure><img src="/z"><figcaption>{self.said(main, self.prose(2))}</figcaption></figure>'
+        if kind < 0.94:
             rows = "".join(f"<tr><td>{self.said(main, self.sentence(1, 4))}</td><td>{self.said(main, self.sentence(1, 4))}</td></tr>" for _ in range(self.r.randint(1, 4)))
             return f"<table>{rows}</table>"
         return f"<div>{self.said(main, self.prose(3))}</div>"
@@ -80,8 +87,9 @@ class Writer:
             return f"<{tag}{self.named(kind)}>{self.links(9)}</{tag}>"
         if kind == "form":
             return f'<form{self.named(kind)}><label>{self.said(0, self.sentence(1, 3))}</label><input><p>{self.said(0, self.sentence(2, 9))}</p><button>{self.sentence(1, 2)}</button></form>'
-        if kind == "reader":
-            each = self.r.choice(['<div class="comment"><p>{}</p></div>', "<li><p>{}</p></li>", "<p>{}</p>", '<article class="comment"><p>{}</p></article>'])
+        if kind == "reader":  # each comment in an element of its own, never bare paragraphs
+            who = f'<span>{self.said(0, self.sentence(1, 2))}</span>' if self.r.random() < 0.6 else ""
+            each = self.r.choice(['<div class="comment">%s<p>{}</p></div>', "<li>%s<p>{}</p></li>", '<div class="reply">%s{}</div>', '<article class="comment">%s<p>{}</p></article>']) % who.replace("{", "").replace("}", "")
             return f"<{tag}{self.named(kind)}><h3>{self.said(0, self.sentence(1, 3))}</h3>" + "".join(each.format(self.said(0, self.prose(4))) for _ in range(self.r.randint(1, 8))) + f"</{tag}>"
         if kind == "side":
             inner = self.links(6) if self.r.random() < 0.6 else f"<h3>{self.said(0, self.sentence(1, 3))}</h3><p>{self.said(0, self.prose(2))}</p>"
@@ -93,7 +101,10 @@ class Writer:
         r = self.r
         body = self.r.choice(["<article{}>", "<article{}>", "<main{}>", "<div{}>", "<div{}>", "<section{}>"])
         tag = body[1:].split("{")[0]
-        blocks = [self.block(1) for _ in range(r.choice([1, 1, 2, r.randint(1, 14), r.randint(3, 14)]))]
+        blocks = [self.block(1) for _ in range(r.choice([1, 1, 2, r.randint(1, 14), r.randint(3, 14), r.randint(3, 60)]))]
+        if r.random() < 0.3:  # nothing but paragraphs, of any number and alike in length
+            least = r.choice([1, 2, 3])
+            blocks = [f"<p>{self.said(1, ' '.join(self.prose(3) for _ in range(least)))}</p>" for _ in range(r.choice([1, 2, 3, 5, 8, 12, r.randint(1, 60)]))]
         if r.random() < 0.25:
             blocks = [f"<p>{self.said(1, self.sentence(1, 8))}</p>" for _ in range(r.choice([1, 1, 1, 2]))]
         if r.random() < 0.06:
@@ -104,18 +115,29 @@ class Writer:
                 blocks.insert(r.randint(0, len(blocks)), self.aside(kind))
         title = f"<h1>{self.said(1, self.sentence(2, 9))}</h1>" if r.random() < 0.8 else ""
         main = body.format(self.named("body")) + title + "".join(blocks)
-        if r.random() < 0.15:
+        comments = r.random() < 0.3
+        inside = comments and r.random() < 0.3
+        if inside:
             main += self.aside("reader")
         main += f"</{tag}>"
         for _ in range(r.randint(0, 2)):
             main = f"<div{self.named('body') if r.random() < 0.4 else ''}>{main}</div>"
         before = [self.aside(k) for k in ("edge", "menu", "advert", "notice", "form") if r.random() < 0.5]
-        after = [self.aside(k) for k in ("side", "reader", "advert", "menu", "edge", "notice") if r.random() < 0.5]
+        after = [self.aside(k) for k in ("side", "advert", "menu", "edge", "notice") if r.random() < 0.5]
+        if comments and not inside:
+            after.append(self.aside("reader"))
         if r.random() < 0.1:
             before, after = [], []
+        if r.random() < 0.15:  # the article's blocks lie in the body itself
+            main = title + "".join(blocks)
         r.shuffle(before)
         r.shuffle(after)
-        return f"<html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+        shown = "".join(before) + main + "".join(after)
+        if r.random() < 0.35:
+            shown = SEMANTIC.sub(r"<\1div", shown)
+        if r.random() < 0.35:
+            shown = NAMED.sub("", shown)
+        return f"<html><head><title>{self.sentence(2, 6)}</title><style>p{{}}</style></head><body>{shown}</body></html>"
 
 
 def pages(count: int, seed: int) -> list[str]:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
+from html.parser import HTMLParser
 
 import pytest
 
-from meterlake.llm import dom, extraction
+from meterlake.llm import dom, extraction, sample_pages
 
 A = "The river rose by two meters during the night, and the lower road was closed to all traffic."
 B = "Engineers inspected the bridge in the morning; they found no damage, though debris had gathered at its piers."
@@ -61,3 +62,90 @@ def test_deep_and_wide_pages():
     for unit in ("<ul>", "<ul><li><div>", "<p>", "<table><tr><td>", "<div><b></i>"):
         page = dom.parse(unit * 20_000 + "<p>deep words")
         assert page.blocks[-1][1] == "deep words" and len(dom.features(page)) == len(page.nodes)
+
+
+def test_heads():
+    assert texts('<head><script>document.write("</head>");alert(1)</script></head><body><p>Hi') == ["Hi"]
+    assert texts("<head><title>T</title> <style>x</style><meta a=b></head><body><p>Hi") == ["Hi"]
+    assert texts("<head><title>T</title><p>Hi</p>") == ["Hi"] and texts("<head>Hi</head>") == ["Hi"]
+    assert texts("<html><head><link href=x><noscript><img></noscript></head>Hi") == ["Hi"]
+
+
+def test_elements_within_their_like():
+    assert texts("<p>a</p><template><template>x</template>leak</template><p>b") == ["a", "b"]
+    assert texts("<p>a<object><object>x</object>y<object/></object>b") == ["a b"]
+    assert texts("<p>a<svg><svg/>x</svg>b") == ["a b"]
+    assert texts("<p>a</p><script>x</script foo><p>after</p>") == ["a", "after"]
+    assert texts("<p>a</p><script><script>x</script><p>after</p><style>p</style\n><p>end") == ["a", "after", "end"]
+    assert texts("<p>a<textarea><textarea>x</textarea>b") == ["a b"]
+
+
+def test_end_tags_that_are_none_and_buttons():
+    assert texts("<p>a </ x>b</>c</1 p>d</p>") == ["a bcd"]
+    assert texts("<p><button>Share this</button>Engineers inspected") == ["Engineers inspected"]
+    assert texts("<p>One <label>Your name <input></label>two</p>") == ["One two"]
+
+
+def plain(count, before="<div><a href='/a'>Home</a> <a href='/b'>News</a></div>", after="<div>Imprint</div>", wrap="<div>{}</div>", names=""):
+    body = "".join(f"<p>{t} Part {k}.</p>" for k in range(count) for t in [(A, B, C)[k % 3]])
+    return f"<html><body>{before}{wrap.format(body)}{after}</body></html>", [f"{(A, B, C)[k % 3]} Part {k}." for k in range(count)]
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 4, 5, 6, 8, 12, 20, 60])
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<div class='inhalt'>{}</div>", "<div><div>{}</div></div>", "{}"])
+def test_articles_of_divs_alone(count, wrap):
+    """An article that is found stays found however long it is."""
+    page, want = plain(count, wrap=wrap)
+    assert extraction.main_text([page], extraction.fit_elements()) == ["\n\n".join(want)]
+
+
+@pytest.mark.parametrize("count", [1, 3, 5, 8])
+def test_headings_stay_with_paragraphs(count):
+    page, want = plain(count, before="<h1>Flood</h1>", after="", wrap="{}")
+    assert extraction.main_text([page], extraction.fit_elements()) == ["\n\n".join(["Flood", *want])]
+
+
+def test_comments_after_an_article_of_divs():
+    page, want = plain(4, after='<div id="comments"><h3>2 comments</h3><div class="comment"><p>I drove there yesterday. It was scary.</p></div><div class="comment"><p>Same here, stay safe.</p></div></div>')
+    assert extraction.main_text([page], extraction.fit_elements()) == ["\n\n".join(want)]
+
+
+def test_captions_of_the_article_are_text():
+    page = f"<html><body><article><h1>Flood</h1><p>{A}</p><figure><img src=x><figcaption>The lower road on Monday.</figcaption></figure><p>{B}</p></article></body></html>"
+    assert extraction.main_text([page], extraction.fit_elements()) == ["\n\n".join(["Flood", A, "The lower road on Monday.", B])]
+
+
+def test_pages_without_prose_have_no_main_text():
+    page = f'<html><body><div class="navbar">{MENU}</div><div class="footer">Imprint</div></body></html>'
+    assert extraction.main_text([page, "", "<p></p>"], extraction.fit_elements()) == ["", "", ""]
+
+
+class Visible(HTMLParser):
+    """What the standard library's parser sees outside of elements without text of the page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = 0, []
+
+    def edge(self, tag):
+        if tag in dom.BLOCK | dom.VOID | dom.RAW:
+            self.parts.append(" ")
+
+    def handle_starttag(self, tag, attrs):
+        self.edge(tag)
+        self.hidden += tag in dom.RAW
+
+    def handle_endtag(self, tag):
+        self.edge(tag)
+        self.hidden -= tag in dom.RAW
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_visible_text_is_that_of_another_reader():
+    for source in sample_pages.pages(40, 9):
+        other = Visible()
+        other.feed(source)
+        assert " ".join(t for _, t in dom.parse(source).blocks).split() == "".join(other.parts).split()
