@@ -48,6 +48,16 @@ def valued(states: DataFrame) -> DataFrame:
     return own.withColumn("is_provider_total", F.col("total_key").isNotNull()).withColumn("value", F.when(stated, F.col("total_value")).otherwise(R.final_value()))
 
 
+_STATE_SCHEMA: list[StructType] = []
+
+
+def _state_schema(spark: SparkSession) -> StructType:
+    """The columns of ``day_states``, made out once in a process."""
+    if not _STATE_SCHEMA:
+        _STATE_SCHEMA.append(day_states(spark.createDataFrame([], POINTS)).schema)
+    return _STATE_SCHEMA[0]
+
+
 class Store:
     """Tables under ``folder``, which the driver and all executors share."""
 
@@ -118,8 +128,7 @@ class Store:
 
     def states(self, days: Sequence[tuple[str, int]], at: int | None = None) -> DataFrame:
         """The states of days, each from the batch that wrote it; others aren't listed as tasks."""
-        empty = day_states(self.spark.createDataFrame([], POINTS)).schema
-        found = self.read("states", empty, at)
+        found = self.read("states", _state_schema(self.spark), at)
         wanted = [f"{day}/{written}" for day, written in days]
         return found.where(F.concat_ws("/", "day", "batch").isin(*wanted)).drop("batch")
 
@@ -212,11 +221,11 @@ class Store:
         return found.unionByName(parts[1]) if len(parts) > 1 else found
 
     def summary(self, tenant: str) -> DataFrame:
-        """The whole history of each metric of a tenant; a provider's total is the sum of its day."""
-        days = valued(self.current(tenant))
-        stated = F.col("is_provider_total") & (F.col("aggregation") == "sum")
-        own = merged(days.withColumn("sum_value", F.when(stated, F.col("total_value")).otherwise(F.col("sum_value"))), "metric_type")
-        return with_definition(own, ("aggregation",)).withColumn("value", R.final_value())
+        """The whole history of each metric of a tenant; where it is summed, a provider's total is the sum of its day."""
+        days = self.current(tenant).withColumn("_stated", F.coalesce("total_value", "sum_value"))
+        own = with_definition(days.groupBy("metric_type").agg(*R.merged_states(), F.sum("_stated").alias("_stated")), ("aggregation",))
+        summed = F.when(F.col("aggregation") == "sum", F.col("_stated")).otherwise(F.col("sum_value"))
+        return own.withColumn("sum_value", summed).withColumn("value", R.final_value()).drop("_stated")
 
     def series(self, tenant: str | None = None) -> DataFrame:
         """The value of each source, metric and day."""
