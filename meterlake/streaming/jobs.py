@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -149,7 +151,13 @@ def day_totals(points: DataFrame, quiet_ms: int = 6 * 3_600_000, keep_ms: int =
     """
     dated = points.withWatermark("arrived_at", late).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
     by_source = dated.select("tenant_id", "source_id", "metric_type", "day", "timestamp", "point_id", "value", "is_total", "arrived_at").groupBy("tenant_id", "source_id", "metric_type")
-    return by_source.transformWithStateInPandas(DayTotals(quiet_ms, keep_ms), DAY_TOTALS, "Append", "EventTime")
+    # The driver's own worker for states doesn't see packages that are shipped to executors, so the class goes by value.
+    here = sys.modules[__name__]
+    cloudpickle.register_pickle_by_value(here)
+    try:
+        return by_source.transformWithStateInPandas(DayTotals(quiet_ms, keep_ms), DAY_TOTALS, "Append", "EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(here)
 
 
 @contextmanager
