@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workers import frugal
+
 PROBES = 3
 SEGMENT_BITS = 21
 SEGMENT_SCHEMA = "segment int, once binary, twice binary"
@@ -69,12 +71,14 @@ def repeated_filter(hashes: DataFrame, log2_bits: int) -> np.ndarray:
     driver receives the merged second filter, ``2**log2_bits / 8`` bytes at any input size.
     """
 
+    @frugal
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = SeenTwice(log2_bits)
         for batch in batches:
             seen.add(batch.column(0).flatten().to_numpy(zero_copy_only=False))
         yield from seen.segments()
 
+    @frugal
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .names import free_names
 from .scratch import Scratch
+from .workers import frugal
 
 BLANKS = b" \t\n\x0b\f\r"
 
@@ -65,6 +66,7 @@ def drop_repeated_lines(
         lines = texts.agg(F.sum(1 + F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))))).first()[0] or 0
         log2_bits = min(most_log2_bits, max(16, (8 * lines).bit_length()))
 
+    @frugal
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [key_hashes(long_keys(t.as_py(), min_chars)).view(np.int64) for t in batch.column(0)]
@@ -72,6 +74,7 @@ def drop_repeated_lines(
 
     filled = spark.sparkContext.broadcast(bloom.repeated_filter(texts.select("_text").mapInArrow(hashes, "_hashes array<bigint>"), log2_bits))
 
+    @frugal
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [long_keys(t.as_py(), min_chars) for t in batch.column(2)]

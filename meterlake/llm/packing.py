@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepieces import ahead
+from .workers import frugal
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 STRETCH = 1 << 20
@@ -114,9 +115,13 @@ def _known(tokenizer: Broadcast) -> ChunkIds:
         _LOADED.clear()
         _LOADED[hash(tokenizer.value)] = ChunkIds(tokenizer.value)
     known = _LOADED[hash(tokenizer.value)]
+    _forget(known)
+    return known
+
+
+def _forget(known: ChunkIds) -> None:
     known.clear()
     known.used = 0
-    return known
 
 
 def stretches(text: str) -> Iterator[list[str]]:
@@ -180,6 +185,7 @@ def pack(
     spark = documents.sparkSession
     tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(tokenizer)
         last = np.array([end_id], "<u4").tobytes()
@@ -208,6 +214,7 @@ def pack(
                 [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6,
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_salt"],
             )
+        _forget(known)  # an idle worker holds no words
 
     def fill(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .names import free_names
 from .scratch import Scratch
+from .workers import frugal
 
 #: A perfect difference set: any two residues modulo 13 have a common shift into the set.
 PERIOD = 13
@@ -158,6 +159,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], settled: Callable[[dict], bool
         yield _of_bucket(held)
 
 
+@frugal
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The marks of each document, from all rows of its bucket."""
     for _, _, ids, counts, starts in _by_bucket(batches, lambda row: False):
@@ -178,6 +180,7 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
     """
     cover, anchors = np.array(COVER), mode == "all"
 
+    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, chunk = WordHashes(), Chunk()
 
@@ -208,6 +211,7 @@ def _repeats(picked: DataFrame, mode: str, length: int, buckets: int) -> DataFra
                     chunk = Chunk()
         yield from flush()
 
+    @frugal
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_bucket(batches, lambda row: row["hashes"] is None):
             if isinstance(found, pa.RecordBatch):
