@@ -115,13 +115,15 @@ def within_first(rows: DataFrame, order: str, most: Column, *keys: str, slots: i
     return clear.unionByName(mixed).drop("_slot", "_n", "_before", "_most")
 
 
-def quarantine_split(unknown: DataFrame, names: int = QUARANTINE_NAMES, rows: int = QUARANTINE_ROWS, held: DataFrame | None = None) -> DataFrame:
+def quarantine_split(unknown: DataFrame, names: int | None = QUARANTINE_NAMES, rows: int | None = QUARANTINE_ROWS, held: DataFrame | None = None) -> DataFrame:
     """Unknown events by what happens to them: quarantined, or refused as there are too many names or rows.
 
     Names count in the order of their first arrival, rows in that of theirs. The bound on rows is that of
-    the quarantine itself; refused events are told with a reason and counted. ``held`` (tenant_id, source_id,
-    metric_type, n) is what the quarantine has already: these names come first, their rows take of the bound.
+    the quarantine itself; refused events are told with a reason and counted. None is no bound. ``held`` (tenant_id,
+    source_id, metric_type, n) is what the quarantine has already: these names come first, their rows take of the bound.
     """
+    if names is None and rows is None:
+        return unknown.withColumn("outcome", F.lit("quarantined"))
     key = ("tenant_id", "source_id")
     first = unknown.groupBy(*key, "metric_type").agg(F.min("arrival").alias("_first"))
     if held is None:
@@ -131,8 +133,11 @@ def quarantine_split(unknown: DataFrame, names: int = QUARANTINE_NAMES, rows: in
     by_source = Window.partitionBy(*key)
     order = every.withColumn("_name", F.row_number().over(by_source.orderBy(F.col("_n").isNull(), "_first", "metric_type"))).withColumn("_held", F.coalesce(F.sum("_n").over(by_source), F.lit(0))).drop("_first", "_n")
     placed = unknown.join(order, [*key, "metric_type"])
-    known = within_first(placed.where(F.col("_name") <= names), "arrival", rows - F.col("_held"), *key)
+    taken = placed if names is None else placed.where(F.col("_name") <= names)
+    known = taken.withColumn("within", F.lit(True)) if rows is None else within_first(taken, "arrival", rows - F.col("_held"), *key)
     told = known.withColumn("outcome", F.when(F.col("within"), "quarantined").otherwise("too_many_rows")).drop("within")
+    if names is None:
+        return told.drop("_name", "_held")
     rest = placed.where(F.col("_name") > names).withColumn("outcome", F.lit("too_many_names"))
     return told.unionByName(rest).drop("_name", "_held")
 

@@ -39,13 +39,14 @@ def settle(events: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame
     return named.withColumn("outcome", F.when(refused, "refused").otherwise(F.col("action"))).withColumnRenamed("_reason", "reason").drop("identity", "action")
 
 
-def process(store: Store, events: DataFrame, stream: str, number: int, rules: DataFrame, sources: DataFrame) -> None:
+def process(store: Store, events: DataFrame, stream: str, number: int, rules: DataFrame, sources: DataFrame, names: int | None = I.QUARANTINE_NAMES, rows: int | None = I.QUARANTINE_ROWS) -> None:
     """One batch into the store: points with their states, quarantine, refusals and ledger under one commit.
 
     ``events`` has event_key, run_id, arrival (a number that grows), arrived_at, source_type and the columns of
     points but for point_id. An event counts once for its run, however often it is delivered: those that
     the ledger has are left out, and of equal ones in the batch the first stays. Of the ledger the batches
-    since the first of these runs are read, of the quarantine its counts.
+    since the first of these runs are read, of the quarantine its counts. ``names`` and ``rows`` bound the quarantine of
+    each source; None is no bound.
     """
     if number <= store.versions().get(stream, -1):
         return
@@ -60,7 +61,7 @@ def process(store: Store, events: DataFrame, stream: str, number: int, rules: Da
         fresh = _null_safe(given, store.read("ledger", LEDGER).where(F.col("batch") >= since).select(*own), "left_anti", *own)
     settled = settle(fresh, rules, sources).persist()
     held = store.read("quarantine_counts", COUNTS).groupBy("tenant_id", "source_id", "metric_type").agg(F.sum("n").alias("n"))
-    split = I.quarantine_split(settled.where("outcome = 'quarantine'").drop("outcome"), held=held)
+    split = I.quarantine_split(settled.where("outcome = 'quarantine'").drop("outcome"), names, rows, held)
     split = split.withColumn("reason", F.when(F.col("outcome") != "quarantined", F.col("outcome"))).withColumn("outcome", F.when(F.col("outcome") == "quarantined", "quarantine").otherwise("refused")).persist()
     try:
         refused = settled.where("outcome = 'refused'").unionByName(split.where("outcome = 'refused'"))
@@ -81,10 +82,10 @@ def process(store: Store, events: DataFrame, stream: str, number: int, rules: Da
             used.unpersist()
 
 
-def ingest(stream: DataFrame, store: Store, rules: Callable[[], DataFrame], sources: Callable[[], DataFrame], name: str = "events") -> None:
+def ingest(stream: DataFrame, store: Store, rules: Callable[[], DataFrame], sources: Callable[[], DataFrame], name: str = "events", names: int | None = I.QUARANTINE_NAMES, rows: int | None = I.QUARANTINE_ROWS) -> None:
     """Run a stream of events into the store until it has no more. ``rules`` and ``sources`` are called for each
-    batch, so that a batch meets the versions that are there when it runs."""
-    job = stream.writeStream.foreachBatch(lambda batch, number: process(store, batch, name, number, rules(), sources()))
+    batch, so that a batch meets the versions that are there when it runs. ``names`` and ``rows``: see ``process``."""
+    job = stream.writeStream.foreachBatch(lambda batch, number: process(store, batch, name, number, rules(), sources(), names, rows))
     job.option("checkpointLocation", f"{store.folder}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
 
 

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
+import pytest
+
+from meterlake.plans import all_oracles, all_queries
 from meterlake.streaming import jobs
 
 SCHEMA = "point_id long, tenant_id string, source_id string, metric_type string, timestamp timestamp_ntz, value double, is_total boolean, arrived_at timestamp"
@@ -42,3 +46,24 @@ def test_days_are_forgotten_after_a_time(spark, tmp_path):
     batches = [[row(1, 1, 5.0), row(2, 2, 5.0)], [row(3, 1, 1.0, after=1)], [row(4, 3, 1.0, source="other", after=30)], [row(5, 1, 7.0, after=31)]]
     told = run(spark, tmp_path, batches, keep_ms=24 * 3_600_000)
     assert sorted(x for x in told if x[:2] == ("s", 1)) == [("s", 1, 1, 5.0, False, 1), ("s", 1, 1, 7.0, False, 1), ("s", 1, 2, 6.0, False, 2)]
+
+
+@pytest.fixture(scope="module")
+def many_unknown(tmp_path_factory):
+    """Events of one source under 130 names, and more than 100,000 events of another one under one name."""
+    folder = tmp_path_factory.mktemp("unknown")
+    table = f"{folder}/events.parquet"
+    at = "TIMESTAMP '2024-01-01' + to_minutes(CAST(event_id * 13 % 41000 AS BIGINT))"
+    rows = "SELECT range AS event_id, CASE WHEN range < 1300 THEN 4 ELSE 8 END AS user_id, CASE WHEN range < 1300 THEN 'odd_' || range % 130 ELSE 'view' END AS event_type FROM range(103000)"
+    duckdb.sql(f"COPY (SELECT event_id, {at} AS ts, CAST(user_id AS BIGINT) AS user_id, event_type, event_id % 7 + 0.5::DOUBLE AS value, '{{}}' AS props FROM ({rows})) TO '{table}'")
+    return folder, table
+
+
+@pytest.mark.parametrize("name", ["stream_side_outputs"])
+def test_quarantine_of_the_queries_has_no_bounds(spark, many_unknown, name):
+    folder, table = many_unknown
+    got = all_queries()[name](spark, str(folder))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{table}'")
+    want = duck.sql(all_oracles()[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
