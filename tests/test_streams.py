@@ -59,7 +59,7 @@ def many_unknown(tmp_path_factory):
     return folder, table
 
 
-@pytest.mark.parametrize("name", ["stream_side_outputs"])
+@pytest.mark.parametrize("name", ["stream_side_outputs", "stream_run_counts"])
 def test_quarantine_of_the_queries_has_no_bounds(spark, many_unknown, name):
     folder, table = many_unknown
     got = all_queries()[name](spark, str(folder))
