@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with ``place``, which grows with its files by name and with the rows in each."""
+    own = table(spark, sf_dir, name)
+    files = sorted(own.inputFiles())
+    told = own.withColumns({"place": F.col("_metadata.row_index"), "_file": F.input_file_name()})
+    if len(files) < 2:
+        return told.drop("_file")
+    numbers = F.broadcast(spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _number long"))
+    return told.join(numbers, "_file", "left").withColumn("place", F.coalesce("_number", F.lit(0)) * (1 << 36) + F.col("place")).drop("_file", "_number")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as metric points of four tenants with three sources each."""
     kind = F.col("event_type")

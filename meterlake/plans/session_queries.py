@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import with_definition
 from ..operators import sessions as S
-from .driver_tables import POINTS_SQL, SETS_SQL, points, sets, table
+from .driver_tables import POINTS_SQL, SETS_SQL, placed_table, points, sets, table
 from .register import query, rounded, text, text_sql
 
 
@@ -118,15 +118,19 @@ _MEAL = "CASE l_returnflag WHEN 'A' THEN 'Breakfast' WHEN 'N' THEN 'dinner' ELSE
 
 @query(f"SELECT tenant_id, strftime(l_shipdate, '%Y-%m-%d') AS day, {_MEAL} AS meal, arg_max(CASE WHEN l_linenumber = 1 THEN l_extendedprice END, l_orderkey) FILTER (WHERE l_linenumber = 1) AS stated, round(sum(CASE WHEN l_linenumber > 1 THEN l_quantity END), 1) AS derived, count(CASE WHEN l_linenumber > 1 THEN l_quantity END) AS items, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 3 ELSE 99 END AS place FROM (SELECT *, 't' || (l_suppkey % 2) AS tenant_id FROM lineitem) GROUP BY tenant_id, l_shipdate, l_returnflag")
 def diary_by_meal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as diary entries: the first line of an order states a meal's energy, the others are items."""
-    lines, first = table(spark, sf_dir, "lineitem"), F.col("l_linenumber") == 1
+    """Order lines as diary entries: the first line of an order states a meal's energy, the others are items.
+
+    An order may state a meal's energy twice. Of these the row that comes first in the table stays, as in the SQL, where
+    an equal order doesn't replace what is there; so their time is the order with its place (a decimal, which hash aggregates take)."""
+    lines, first = placed_table(spark, sf_dir, "lineitem"), F.col("l_linenumber") == 1
+    at = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") - F.col("place").cast("decimal(19,0)")
     entries = lines.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 2).cast("string")).alias("tenant_id"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"),
         F.when(F.col("l_returnflag") == "A", "Breakfast").when(F.col("l_returnflag") == "N", "dinner").otherwise("brunch").alias("meal"),
         F.when(first, F.col("l_extendedprice")).alias("stated"),
         F.when(~first, F.col("l_quantity")).alias("item_energy"),
-        F.col("l_orderkey").alias("timestamp"),
+        F.when(first, at).alias("timestamp"),
     )
     return S.meals(entries).select("tenant_id", "day", "meal", "stated", "derived", "items", F.col("place").cast("int").alias("place"))
 

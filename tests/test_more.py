@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.operators.ingest import bounded_metadata, with_provenance
 from meterlake.operators.sessions import ellipsoid_distance
 from meterlake.operators.statistics import merged_quantiles, quantile, quantile_states
+from meterlake.plans import all_oracles, all_queries
 from meterlake.sources import providers
 
 
@@ -84,3 +86,19 @@ def test_sketches_merge(spark):
 ])
 def test_distances_on_the_ellipsoid(spark, a, b, meters, within):
     assert spark.range(1).select(ellipsoid_distance(*[F.lit(x) for x in (*a, *b)]).alias("m")).first().m == pytest.approx(meters, abs=within)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_the_first_row_of_an_order_states_a_meal(spark, tmp_path, files):
+    """Orders with several first lines on one day: that which comes first in the table stays, over files and row groups as well."""
+    duck = duckdb.connect()
+    duck.sql("SET threads = 1")
+    rows = "SELECT i // 40 AS l_orderkey, 1 AS l_linenumber, i * 7919 % 1009 + 0.25 AS l_extendedprice, 1.0::DOUBLE AS l_quantity, CAST(i % 3 AS BIGINT) AS l_suppkey, ['A', 'N', 'R'][i % 3 + 1] AS l_returnflag, TIMESTAMP '1995-01-01' + to_days(CAST(i % 2 AS INTEGER)) AS l_shipdate FROM range(6000) r(i)"
+    place = f"{tmp_path}/lineitem.parquet"
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(files):
+        duck.sql(f"COPY (SELECT * REPLACE (CAST(l_extendedprice AS DOUBLE) AS l_extendedprice) FROM ({rows}) WHERE (l_orderkey + l_extendedprice::INTEGER) % {files} = {k}) TO '{place}/{k}.parquet' (ROW_GROUP_SIZE 2048)")
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{place}/*.parquet'")
+    want = duck.sql(all_oracles()["diary_by_meal"])
+    got = all_queries()["diary_by_meal"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
