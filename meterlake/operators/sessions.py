@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,52 +113,73 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
 
 
-def ellipsoid_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 16) -> Column:
-    """Meters along a geodesic of WGS84, by Vincenty's inverse formula.
-
-    The difference of longitudes on the auxiliary sphere is made better in up to ``rounds`` steps of one expression,
-    which end early where it stays the same. Near antipodes it doesn't settle: there the great circle stands in, off by half a per cent at most."""
+def _vincenty(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int) -> np.ndarray:
+    """Meters between places in degrees; NaN where the difference of longitudes doesn't settle."""
     shrink = 1 - FLATTENING
-    u1, u2 = F.atan(shrink * F.tan(F.radians(lat1))), F.atan(shrink * F.tan(F.radians(lat2)))
-    known = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(F.pmod(lon2 - lon1 + 180, F.lit(360.0)) - 180).alias("l"))
-
-    def arcs(k: Column, lam: Column) -> dict[str, Column]:
-        sin_sigma = F.sqrt((k["c2"] * F.sin(lam)) ** 2 + (k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)) ** 2)
-        cos_sigma = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        return {"ss": sin_sigma, "cs": cos_sigma, "sigma": F.atan2(sin_sigma, cos_sigma)}
-
-    def better(k: Column, state: Column) -> Column:
-        lam = state["lam"]
-        a = arcs(k, lam)
-        sin_alpha = F.when(a["ss"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * F.sin(lam) / a["ss"])
+    u1, u2 = (np.arctan(shrink * np.tan(np.radians(lat))) for lat in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    apart = np.radians(np.mod(lon2 - lon1 + 180, 360.0) - 180)
+    meters, open_, lam = np.full(len(lat1), np.nan), np.arange(len(lat1)), apart.copy()
+    for _ in range(rounds):
+        sin_lam, cos_lam = np.sin(lam), np.cos(lam)
+        ss = np.sqrt((c2 * sin_lam) ** 2 + (c1 * s2 - s1 * c2 * cos_lam) ** 2)
+        cs = s1 * s2 + c1 * c2 * cos_lam
+        sigma = np.arctan2(ss, cs)
+        sin_alpha = np.where(ss == 0, 0.0, c1 * c2 * sin_lam / np.where(ss == 0, 1.0, ss))
         cos2 = 1 - sin_alpha**2
-        middle = F.when(cos2 < 1e-15, 0.0).otherwise(a["cs"] - 2 * k["s1"] * k["s2"] / cos2)
+        middle = np.where(cos2 < 1e-15, 0.0, cs - 2 * s1 * s2 / np.where(cos2 < 1e-15, 1.0, cos2))
         c = FLATTENING / 16 * cos2 * (4 + FLATTENING * (4 - 3 * cos2))
-        new = k["l"] + (1 - c) * FLATTENING * sin_alpha * (a["sigma"] + c * a["ss"] * (middle + c * a["cs"] * (2 * middle**2 - 1)))
-        q = cos2 * (AXIS**2 - (AXIS * shrink) ** 2) / (AXIS * shrink) ** 2
+        new = apart + (1 - c) * FLATTENING * sin_alpha * (sigma + c * ss * (middle + c * cs * (2 * middle**2 - 1)))
+        done = np.abs(new - lam) < 1e-12
+        good = done & (np.abs(new) <= np.pi)
+        q = (cos2 * (AXIS**2 - (AXIS * shrink) ** 2) / (AXIS * shrink) ** 2)[good]
         big_a = 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768))
         big_b = q / 1024 * (256 + q * (q * (74 - 47 * q) - 128))
-        turn = big_b * a["ss"] * (middle + big_b / 4 * (a["cs"] * (2 * middle**2 - 1) - big_b / 6 * middle * (4 * a["ss"] ** 2 - 3) * (4 * middle**2 - 3)))
-        meters = AXIS * shrink * big_a * (a["sigma"] - turn)
-        step = F.struct(new.alias("lam"), meters.alias("meters"), (F.abs(new - lam) < 1e-12).alias("done"))
-        return F.when(state["done"], state).otherwise(step)
+        ss, cs, middle = ss[good], cs[good], middle[good]
+        turn = big_b * ss * (middle + big_b / 4 * (cs * (2 * middle**2 - 1) - big_b / 6 * middle * (4 * ss**2 - 3) * (4 * middle**2 - 3)))
+        meters[open_[good]] = AXIS * shrink * big_a * (sigma[good] - turn)
+        left = ~done
+        if not left.any():
+            break
+        open_, lam, apart, s1, c1, s2, c2 = (x[left] for x in (open_, new, apart, s1, c1, s2, c2))
+    return meters
+
+
+def ellipsoid_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 16) -> Column:
+    """Meters along a geodesic of WGS84, by Vincenty's inverse formula.
+
+    The difference of longitudes on the auxiliary sphere is made better in up to ``rounds`` steps, on arrays of rows,
+    which leave these where it stays the same. Near antipodes it doesn't settle: there the great circle stands in, off by half a per cent at most."""
 
-    def solved(k: Column) -> Column:
-        begin = F.struct(k["l"].alias("lam"), F.lit(0.0).alias("meters"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda state, _: better(k, state))
+    @F.arrow_udf("double")
+    def settled(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        places = [x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (a, b, c, d)]
+        with np.errstate(invalid="ignore"):
+            meters = _vincenty(*places, rounds)
+        return pa.array(meters, mask=np.isnan(meters))
 
-    found = F.get(F.transform(F.array(known), solved), F.lit(0))
     there = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
-    return F.when(there, F.when(found["done"] & (F.abs(found["lam"]) <= 3.141592653589793), found["meters"]).otherwise(haversine(lat1, lon1, lat2, lon2)))
+    degrees = [c.cast("double") for c in (lat1, lon1, lat2, lon2)]
+    return F.when(there, F.coalesce(settled(*degrees), haversine(*degrees)))
 
 
 def track_length(fixes: DataFrame, *keys: str, distance: Callable[[Column, Column, Column, Column], Column] = haversine) -> DataFrame:
     """The length of each track (columns timestamp, point_id, latitude, longitude), on a sphere or, by
-    ``ellipsoid_distance``, on the ellipsoid."""
-    order = Window.partitionBy(*keys).orderBy("timestamp", "point_id")
-    placed = fixes.withColumns({"_lat": F.lag("latitude").over(order), "_lon": F.lag("longitude").over(order)})
+    ``ellipsoid_distance``, on the ellipsoid.
+
+    Tracks are measured by day, so that a long one isn't sorted as a whole, and the steps between the last fix of a day
+    and the first of the next one that has any are added."""
+    day = Window.partitionBy(*keys, "_day").orderBy("timestamp", "point_id")
+    dated = fixes.withColumn("_day", F.to_date("timestamp"))
+    placed = dated.withColumns({"_lat": F.lag("latitude").over(day), "_lon": F.lag("longitude").over(day), "_begins": F.lag(F.lit(True)).over(day).isNull(), "_ends": F.lead(F.lit(True)).over(day).isNull()})
     step = distance(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude"))
-    return placed.withColumn("_step", step).groupBy(*keys).agg(F.count("*").alias("fixes"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("meters"))
+    ends = [F.max(F.when(F.col(at), F.col(c))).alias(f"{at}_{c}") for at in ("_begins", "_ends") for c in ("latitude", "longitude")]
+    days = placed.withColumn("_step", F.when(~F.col("_begins"), step)).groupBy(*keys, "_day").agg(F.count("*").alias("_fixes"), F.sum("_step").alias("_steps"), *ends)
+    order = Window.partitionBy(*keys).orderBy("_day")
+    met = days.withColumns({"_lat": F.lag("_ends_latitude").over(order), "_lon": F.lag("_ends_longitude").over(order)})
+    bridge = distance(F.col("_lat"), F.col("_lon"), F.col("_begins_latitude"), F.col("_begins_longitude"))
+    whole = met.withColumn("_bridge", bridge).groupBy(*keys)
+    return whole.agg(F.sum("_fixes").alias("fixes"), F.coalesce(F.sum(F.coalesce("_steps", F.lit(0.0)) + F.coalesce("_bridge", F.lit(0.0))), F.lit(0.0)).alias("meters"))
 
 
 def simplify_track(fixes: DataFrame, most: int, *keys: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.operators.ingest import bounded_metadata, with_provenance
-from meterlake.operators.sessions import ellipsoid_distance
+from meterlake.operators.sessions import ellipsoid_distance, haversine, track_length
 from meterlake.operators.statistics import merged_quantiles, quantile, quantile_states
 from meterlake.plans import all_oracles, all_queries
 from meterlake.sources import providers
@@ -102,3 +104,25 @@ def test_the_first_row_of_an_order_states_a_meal(spark, tmp_path, files):
     want = duck.sql(all_oracles()["diary_by_meal"])
     got = all_queries()["diary_by_meal"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_many_distances_on_the_ellipsoid_take_seconds(spark):
+    place = [(F.col("id") * k % (20 * most) / 10 - most).alias(c) for k, c, most in ((7, "a", 89), (11, "b", 180), (13, "c", 89), (17, "d", 180))]
+    pairs = spark.range(1, 100_001, numPartitions=4).select(*place)
+    begun = time.monotonic()
+    got = pairs.select(*[d(*[F.col(c) for c in "abcd"]).alias(n) for n, d in (("m", ellipsoid_distance), ("h", haversine))]).agg(F.count("*"), F.max(F.abs(F.col("m") - F.col("h")) - F.col("h") * 0.006)).first()
+    assert got[0] == 100_000 and got[1] < 1
+    assert time.monotonic() - begun < 20
+
+
+def test_tracks_over_several_days(spark):
+    """The days' parts and the steps between them make the whole track; fixes without a place or a time count and break it."""
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    along = [("a", at(9 * k), k, 48.0, 10.0 + k / 10) for k in range(12)] + [("a", at(400), 12, 48.0, 11.2), ("b", at(1), 1, 48.0, 10.0)]
+    broken = [("c", at(1), 1, 48.0, 10.0), ("c", at(23), 2, None, 10.1), ("c", at(25), 3, 48.0, 10.2), ("c", at(50), 4, 48.0, 10.3), ("c", None, 5, 48.0, 9.9)]
+    fixes = spark.createDataFrame(along + broken, "track string, timestamp timestamp_ntz, point_id long, latitude double, longitude double")
+    one = spark.range(1).select(ellipsoid_distance(F.lit(48.0), F.lit(10.0), F.lit(48.0), F.lit(10.1))).first()[0]
+    got = {r.track: (r.fixes, r.meters) for r in track_length(fixes, "track", distance=ellipsoid_distance).collect()}
+    assert got == {"a": (13, pytest.approx(12 * one, rel=1e-9)), "b": (1, 0.0), "c": (5, pytest.approx(2 * one, rel=1e-9))}
+    windows = track_length(fixes, "track", distance=ellipsoid_distance)._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(track" in windows and "_day" in windows
