@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +93,105 @@ def within_windows(sessions: DataFrame, points: DataFrame, pad_seconds: int = 0)
     return met.where((F.col("timestamp") >= F.col("_from")) & (F.col("timestamp") < F.col("_to"))).drop("_day", "_from", "_to")
 
 
+#: Windows are answered in cells of so many microseconds, and cells go to Python together until they have so many rows.
+CELL, TOGETHER = 7200 * 1_000_000, 1 << 18
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles as longs of the same order, NaN above all. On the bits of these longs it gives the doubles' bits."""
+    bits = values.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _range_least(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least of keys[lo:hi] for each pair, none of which is empty, by tables of spans of powers of two, one at a time."""
+    level, out = np.frexp((hi - lo).astype(np.float64))[1] - 1, np.empty(len(lo), np.int64)
+    for k in range(int(level.max()) + 1):
+        own = level == k
+        out[own] = np.minimum(keys[lo[own]], keys[hi[own] - (1 << k)])
+        keys = np.minimum(keys[: -(1 << k)], keys[1 << k :])
+    return out
+
+
+def _answers(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Count, least and greatest value of each metric in each window, of rows that hold whole cells one after the other."""
+    rows = rows.combine_chunks()
+    numbers = lambda c: rows[c].fill_null(0).to_numpy()
+    codes = lambda c: pc.dictionary_encode(rows[c], null_encoding="encode").combine_chunks()
+    tenant, cell, at, to = codes("tenant_id").indices.to_numpy(), numbers("_cell"), numbers("_at"), numbers("_to")
+    # What meets in a cell begins less than two cells after its begin: four cells between them hold these apart.
+    begins = np.concatenate([[False], (tenant[1:] != tenant[:-1]) | (cell[1:] != cell[:-1])])
+    shift = (np.cumsum(begins) * 4 - cell) * CELL
+    asks = np.flatnonzero(rows["_to"].is_valid().to_numpy())
+    lows, highs, place = (at + shift)[asks], (to + shift)[asks], at + shift
+    names = codes("metric_type")
+    kinds, known = names.indices.to_numpy(), rows["value"].is_valid().to_numpy()
+    values = numbers("value") + 0.0  # of two zeros one
+    values[np.isnan(values)] = np.nan
+    ordered = _ordered(values)
+    points = np.ones(rows.num_rows, bool)
+    points[asks] = False
+    for k, name in enumerate(names.dictionary):
+        own = np.flatnonzero(points & (kinds == k))
+        own = own[np.argsort(place[own], kind="stable")]
+        lo, hi = np.searchsorted(place[own], lows), np.searchsorted(place[own], highs)
+        some = np.flatnonzero(hi > lo)
+        if not len(some):
+            continue
+        lo, hi, there = lo[some], hi[some], known[own]
+        least = _range_least(np.where(there, ordered[own], np.iinfo(np.int64).max), lo, hi)
+        most = -1 - _range_least(-1 - np.where(there, ordered[own], np.iinfo(np.int64).min), lo, hi)
+        unknown = least == np.iinfo(np.int64).max
+        ends = [pa.array(_ordered(np.where(unknown, 0, x).view(np.float64)).view(np.float64), mask=unknown) for x in (least, most)]
+        sessions = rows.select(["tenant_id", "session"]).take(pa.array(asks[some]))
+        told = [*sessions.columns, pa.repeat(name, len(some)), pa.array((hi - lo).astype(np.int64)), *ends]
+        yield from pa.table(told, ["tenant_id", "session", "metric_type", "n", "least", "most"]).combine_chunks().to_batches(10_000)
+
+
+def _by_cells(together: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers from rows in the order of tenant and cell, many cells at once; the one that is open stays for later."""
+    key = lambda b, i: (b["tenant_id"][i], b["_cell"][i])
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < together or key(held[0], 0) == key(batch, -1):
+            continue
+        rows = pa.Table.from_batches(held)
+        tenant, cell = key(rows, -1)
+        open_ = pc.and_(pc.equal(rows["tenant_id"], tenant), pc.equal(rows["_cell"], cell))
+        closed = rows.num_rows - pc.sum(open_).as_py()
+        yield from _answers(rows.slice(0, closed))
+        held = rows.slice(closed).to_batches()
+        count = rows.num_rows - closed
+    if held:
+        yield from _answers(pa.Table.from_batches(held))
+
+
+def measured_within(sessions: DataFrame, points: DataFrame, pad_seconds: int = 0) -> DataFrame:
+    """What ``within_windows`` finds, by session and metric: how many points (n), their least and their greatest value.
+
+    No pair of a window and a point is made: these grow with the square of a dense table. A window longer than a cell
+    is cut; each piece goes to the cell in which it begins, each point to its own cell and the one before. In a cell a
+    piece is a range of a metric's points in the order of time, and its ends come from spans of powers of two. What is
+    held at once is a cell, that is what a tenant has in four hours. Equal sessions of a tenant are one."""
+    pad = F.make_dt_interval(secs=F.lit(pad_seconds))
+    micros = lambda at: F.unix_micros(at.cast("timestamp"))
+    cell = lambda at: F.expr(f"({at} - pmod({at}, {CELL})) div {CELL}")
+    spans = sessions.select("tenant_id", "session", micros(F.col("start") - pad).alias("_from"), micros(F.col("end") + pad).alias("_end")).where("_from < _end")
+    cut = spans.withColumn("_at", F.explode(F.sequence("_from", F.col("_end") - 1, F.lit(CELL))))
+    pieces = cut.select("tenant_id", cell("_at").alias("_cell"), "_at", F.least(F.col("_at") + CELL, "_end").alias("_to"), "session", F.lit(None).cast("string").alias("metric_type"), F.lit(None).cast("double").alias("value"))
+    timed = points.select("tenant_id", micros(F.col("timestamp")).alias("_at"), "metric_type", F.col("value").cast("double").alias("value")).where("_at IS NOT NULL")
+    session = sessions.schema["session"].dataType
+    twice = timed.withColumn("_own", cell("_at")).select("tenant_id", F.explode(F.array(F.col("_own"), F.col("_own") - 1)).alias("_cell"), "_at", F.lit(None).cast("long").alias("_to"), F.lit(None).cast(session).alias("session"), "metric_type", "value")
+    rows = pieces.unionByName(twice).where("tenant_id IS NOT NULL").repartition("tenant_id", "_cell").sortWithinPartitions("tenant_id", "_cell")
+    told = rows.mapInArrow(partial(_by_cells, TOGETHER), f"tenant_id {sessions.schema['tenant_id'].dataType.simpleString()}, session {session.simpleString()}, metric_type string, n long, least double, most double")
+    return told.groupBy("tenant_id", "session", "metric_type").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def decimate(points: DataFrame, seconds: int, *keys: str, least: int = 3, most: int = 8) -> DataFrame:
     """Means and envelopes of buckets, for the ``most`` densest metrics of each key that have enough points.
 

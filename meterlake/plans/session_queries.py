@@ -84,8 +84,7 @@ def session_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
     starts = own.where("metric_type = 'workout_heart_rate'")
     windows = starts.select("tenant_id", F.col("point_id").alias("session"), F.col("timestamp").alias("start"), (F.col("timestamp") + F.expr("interval 90 minutes")).alias("end"))
-    met = S.within_windows(windows, own, pad_seconds=300)
-    return met.groupBy("tenant_id", "session", "metric_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return S.measured_within(windows, own, pad_seconds=300)
 
 
 @query(_points("SELECT metric_type, tenant_id, source_id, CAST(floor(epoch(timestamp) / 43200) * 43200 AS BIGINT) AS bucket_epoch, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most, count(*) AS n FROM points JOIN (SELECT tenant_id, source_id, metric_type, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY count(*) DESC, metric_type) AS r FROM points GROUP BY tenant_id, source_id, metric_type HAVING count(*) >= 3) USING (tenant_id, source_id, metric_type) WHERE r <= 3 GROUP BY metric_type, tenant_id, source_id, floor(epoch(timestamp) / 43200)"))

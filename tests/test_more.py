@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from meterlake.operators import sessions
 from meterlake.operators.ingest import bounded_metadata, with_provenance
 from meterlake.operators.sessions import ellipsoid_distance, haversine, track_length
 from meterlake.operators.statistics import merged_quantiles, quantile, quantile_states
@@ -126,3 +128,34 @@ def test_tracks_over_several_days(spark):
     assert got == {"a": (13, pytest.approx(12 * one, rel=1e-9)), "b": (1, 0.0), "c": (5, pytest.approx(2 * one, rel=1e-9))}
     windows = track_length(fixes, "track", distance=ellipsoid_distance)._jdf.queryExecution().analyzed().toString()
     assert "windowspecdefinition(track" in windows and "_day" in windows
+
+
+def test_windows_are_measured_without_pairs(spark, monkeypatch):
+    """Against pairs by brute force: long and equal windows, nulls, NaN, times before 1970, cells in several parts."""
+    monkeypatch.setattr(sessions, "TOGETHER", 64)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    draw = random.Random(5)
+    at = lambda: dt.datetime(1969, 12, 30) + dt.timedelta(seconds=draw.randrange(4 * 86400), microseconds=draw.choice([0, 1, 999_999]))
+    value = lambda: draw.choice([None, float("nan"), 0.0, draw.uniform(-5, 5)])
+    rows = [(draw.choice(["a", "b", "c", None]), draw.choice([at(), at(), None]), draw.choice(["x", "y", None]), value()) for _ in range(3000)]
+    points = spark.createDataFrame(rows, "tenant_id string, timestamp timestamp_ntz, metric_type string, value double").repartition(3)
+    begun = [(draw.choice(["a", "b", "none"]), f"s{k % 90}", at(), draw.choice([1, 60, 5000, 7200, 7201, 200_000, -900])) for k in range(100)]
+    spans = spark.createDataFrame([(t, k, a, a + dt.timedelta(seconds=n)) for t, k, a, n in begun], "tenant_id string, session string, start timestamp_ntz, end timestamp_ntz")
+    counted = sessions.within_windows(spans, points, pad_seconds=30).groupBy("tenant_id", "session", "metric_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    found = sessions.measured_within(spans, points, pad_seconds=30)
+    want = sorted(map(repr, counted.collect()))
+    got = sorted(map(repr, found.select(*counted.columns).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) > 100 and got == want
+    made = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in made
+
+
+def test_a_dense_hour_is_measured_in_seconds(spark):
+    """20,000 windows over 100,000 points: 2,000,000,000 pairs."""
+    points = spark.range(100_000).select(F.lit("t").alias("tenant_id"), F.timestamp_add("SECOND", (F.col("id") % 3600).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("timestamp"), F.lit("m").alias("metric_type"), F.col("id").cast("double").alias("value"))
+    spans = spark.range(20_000).select(F.lit("t").alias("tenant_id"), F.col("id").alias("session"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("start"), F.lit("2024-01-01 02:00:00").cast("timestamp_ntz").alias("end"))
+    begun = time.monotonic()
+    got = sessions.measured_within(spans, points).agg(F.count("*"), F.min("n"), F.max("n"), F.min("least"), F.max("most")).first()
+    assert tuple(got) == (20_000, 100_000, 100_000, 0.0, 99_999.0) and time.monotonic() - begun < 60
