@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree.ElementTree import ParseError, iterparse
 
 import pyarrow as pa
@@ -62,14 +62,18 @@ def _measure(metric: str, value: Column, unit: Column) -> Column:
     return F.struct(F.lit(metric).alias("metric_type"), value.alias("value"), F.coalesce(unit, F.lit("")).alias("unit")).cast(MEASURE)
 
 
+def _bound(made: Column, used: Callable[[Column], Column]) -> Column:
+    """What ``used`` makes of a value that is made once: the only element of an array is bound to a name."""
+    return F.get(F.transform(F.array(made), used), F.lit(0))
+
+
 def first_of_each(measures: Column) -> Column:
     """Of measures with a value those whose metric none before them has."""
 
     def firsts(there: Column) -> Column:
         return F.filter(there, lambda m, i: ~F.exists(F.slice(there, 1, i), lambda e: e["metric_type"] == m["metric_type"]))
 
-    # The only element of an array is bound to a name, so that it is made once.
-    return F.get(F.transform(F.array(F.filter(measures, lambda m: m["value"].isNotNull())), firsts), F.lit(0))
+    return _bound(F.filter(measures, lambda m: m["value"].isNotNull()), firsts)
 
 
 def _unfolded(workouts: DataFrame) -> DataFrame:
@@ -92,7 +96,8 @@ def pushed_workouts(payloads: DataFrame) -> DataFrame:
     value. A stated figure goes before a series' own. A workout without a start, or what isn't JSON, is left out."""
     number = lambda v, path: F.coalesce(F.try_variant_get(v, path, "double"), F.try_variant_get(v, f"{path}.qty", "double"))
     listed = payloads.select(F.try_variant_get(F.try_parse_json("payload"), "$.data.workouts", "array<variant>").alias("ws"))
-    rows = listed.select(F.explode("ws").alias("w"))
+    # An inner explode would have its list tested for being empty below, which makes it three times.
+    rows = listed.select(F.explode_outer("ws").alias("w"))
     told = lambda *paths: F.coalesce(*[F.try_variant_get("w", f"$.{p}", "string") for p in paths])
     samples = lambda field: F.try_variant_get("w", f"$.{field}", "array<variant>")
     sample = lambda s: F.coalesce(F.try_variant_get(s, "$.Avg", "double"), F.try_variant_get(s, "$.qty", "double"))
@@ -105,13 +110,25 @@ def pushed_workouts(payloads: DataFrame) -> DataFrame:
         how, _, cells = line.partition(": ")
         for field, metric in _pairs(cells):
             folded.setdefault((how, metric), []).append(field)
+
+    def series(how: str) -> Callable[[Column], Column]:
+        sums = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        folds = {"max": F.array_max, "sum": sums, "average": lambda v: sums(v) / F.size(v)}
+        most = lambda s: F.coalesce(F.try_variant_get(s, "$.Max", "double"), sample(s))
+
+        def told_by(every: Column) -> Column:
+            values = F.array_compact(F.transform(every, most if how == "max" else sample))
+            return F.struct(_bound(values, lambda v: F.when(F.size(v) > 0, folds[how](v))).alias("value"), F.try_variant_get(F.get(every, F.lit(0)), "$.units", "string").alias("unit"))
+
+        return told_by
+
+    def as_measure(metric: str) -> Callable[[Column], Column]:
+        return lambda t: _measure(metric, t["value"], t["unit"])
+
     for (how, metric), fields in folded.items():
-        every = F.flatten(F.array_compact(F.array(*[samples(f) for f in fields])))
-        values = F.array_compact(F.transform(every, (lambda s: F.coalesce(F.try_variant_get(s, "$.Max", "double"), sample(s))) if how == "max" else sample))
-        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-        value = F.array_max(values) if how == "max" else total if how == "sum" else total / F.size(values)
-        unit = F.try_variant_get(F.get(every, F.lit(0)), "$.units", "string")
-        stated.append(_measure(metric, F.when(F.size(values) > 0, value), unit))
+        lists = [samples(f) for f in fields]
+        every = lists[0] if len(lists) == 1 else F.flatten(F.array_compact(F.array(*lists)))
+        stated.append(_bound(_bound(every, series(how)), as_measure(metric)))
     beats = F.transform(samples("heartRateData"), lambda s: F.struct(parsed_timestamp(F.coalesce(F.try_variant_get(s, "$.date", "string"), F.try_variant_get(s, "$.timestamp", "string"))).alias("at"), sample(s).alias("value"), F.try_variant_get(s, "$.Min", "double").alias("bucket_min"), F.try_variant_get(s, "$.Max", "double").alias("bucket_max")))
     return rows.select(
         told("id").alias("stated_id"),
@@ -127,10 +144,16 @@ def health_workouts(payloads: DataFrame, source: str) -> DataFrame:
     """Events of pushed workouts: their measures, and each sample of the pulse at its own time (workout_heart_rate).
     Samples without a time or a value give none."""
     workouts = _sessions(pushed_workouts(payloads), F.lit(source))
-    beats = workouts.select("session_id", "workout_name", F.explode("beats").alias("b")).where("b.at IS NOT NULL AND b.value IS NOT NULL")
-    meta = F.to_json(F.struct("session_id", "workout_name", "b.bucket_min", "b.bucket_max"))
-    stream = beats.select(F.lit("workout_heart_rate").alias("metric_type"), F.col("b.at").alias("timestamp"), F.col("b.value").alias("value"), F.lit("bpm").alias("unit"), meta.alias("metadata"))
-    return _unfolded(workouts).unionByName(stream)
+    start = F.col("start")
+    event = lambda metric, at, value, unit, low, high: F.struct(metric.alias("metric_type"), at.alias("timestamp"), value.alias("value"), unit.alias("unit"), low.alias("bucket_min"), high.alias("bucket_max"), F.lit(at is not start).alias("beat"))
+    none = F.lit(None).cast("double")
+    measures = F.transform("measures", lambda m: event(m["metric_type"], start, m["value"], m["unit"], none, none))
+    usable = F.filter(F.coalesce("beats", F.array()), lambda b: b["at"].isNotNull() & b["value"].isNotNull())
+    beats = F.transform(usable, lambda b: event(F.lit("workout_heart_rate"), b["at"], b["value"], F.lit("bpm"), b["bucket_min"], b["bucket_max"]))
+    own = F.to_json(F.struct("session_id", "workout_name", "activity_type", "session_start", "session_end"))
+    rows = workouts.select("session_id", "workout_name", own.alias("_own"), F.explode_outer(F.concat(measures, beats)).alias("e")).where("e IS NOT NULL")
+    meta = F.when(F.col("e.beat"), F.to_json(F.struct("session_id", "workout_name", "e.bucket_min", "e.bucket_max"))).otherwise(F.col("_own"))
+    return rows.select("e.metric_type", "e.timestamp", "e.value", "e.unit", meta.alias("metadata"))
 
 
 ELEMENTS = "archive string, member string, tag string, attributes map<string,string>, children array<struct<tag:string,attributes:map<string,string>>>"

@@ -32,6 +32,12 @@ def test_pushed_workouts(spark):
     assert len({json.loads(r.metadata)["session_id"] for r in events}) == 2
 
 
+def test_a_payload_of_workouts_is_read_once(spark):
+    events = health_workouts(spark.createDataFrame([("{}",)], "payload string"), "src")
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.lower().count("parsejson") == 1
+
+
 EXPORT = f"""<?xml version="1.0"?><!DOCTYPE HealthData [<!ELEMENT HealthData ANY>]><HealthData>
 <Record type="HKQuantityTypeIdentifierHeartRate" startDate="{START}" value="90" unit="count/min"/>
 <Workout workoutActivityType="HKWorkoutActivityTypeTrailRunning" startDate="{START}" endDate="2026-05-01 11:00:00 +0200" duration="60" durationUnit="min">
